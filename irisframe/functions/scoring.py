@@ -6,12 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def softmax(logits: Column) -> Column:
-    """Stable softmax: shift by the maximum before exponentiating."""
+def softmax(logits: Column, num_classes: int | None = None) -> Column:
+    """Stable softmax: shift by the maximum before exponentiating.
+
+    With ``num_classes`` the expression is unrolled, so it compiles into the
+    stage and shares its maximum and total; rows must have that many logits.
+    """
+    if num_classes is None:
+        size = F.size(logits)
+        tops = F.array_repeat(F.array_max(logits), size)
+        exps = F.zip_with(logits, tops, lambda z, top: F.exp(z - top))
+        # The total is a second argument, not part of the lambda, so that it is
+        # computed once per row.
+        totals = F.array_repeat(F.aggregate(exps, F.lit(0.0), lambda a, x: a + x), size)
+        return F.zip_with(exps, totals, lambda e, total: e / total)
+    exps = _shifted_exps(logits, num_classes)
+    total = _left_sum(exps)
+    return F.array(*[e / total for e in exps])
+
+
+def _shifted_exps(logits: Column, num_classes: int) -> list[Column]:
     top = F.array_max(logits)
-    exps = F.transform(logits, lambda z: F.exp(z - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda e: e / total)
+    return [F.exp(F.get(logits, F.lit(k)) - top) for k in range(num_classes)]
+
+
+def _left_sum(parts: list[Column]) -> Column:
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + part
+    return total
 
 
 def argmax(values: Column) -> Column:
@@ -19,19 +42,27 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def log_sum_exp(logits: Column) -> Column:
+def log_sum_exp(logits: Column, num_classes: int | None = None) -> Column:
     top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, z: a + F.exp(z - top)))
+    if num_classes is not None:
+        return top + F.log(_left_sum(_shifted_exps(logits, num_classes)))
+    shifted = F.zip_with(logits, F.array_repeat(top, F.size(logits)), lambda z, t: z - t)
+    return top + F.log(F.aggregate(shifted, F.lit(0.0), lambda a, z: a + F.exp(z)))
 
 
-def cross_entropy(logits: Column, label: Column, smoothing: float = 0.0) -> Column:
+def cross_entropy(
+    logits: Column, label: Column, smoothing: float = 0.0, num_classes: int | None = None
+) -> Column:
     """Negative log likelihood of the label, with the given share of the target
     spread evenly over all classes."""
-    lse = log_sum_exp(logits)
+    lse = log_sum_exp(logits, num_classes)
     nll = lse - F.get(logits, label)
     if smoothing == 0.0:
         return nll
-    mean_logit = F.aggregate(logits, F.lit(0.0), lambda a, z: a + z) / F.size(logits)
+    if num_classes is not None:
+        mean_logit = _left_sum([F.get(logits, F.lit(k)) for k in range(num_classes)]) / num_classes
+    else:
+        mean_logit = F.aggregate(logits, F.lit(0.0), lambda a, z: a + z) / F.size(logits)
     return F.lit(1.0 - smoothing) * nll + F.lit(smoothing) * (lse - mean_logit)
 
 
@@ -39,17 +70,21 @@ def one_hot(label: Column, num_classes: int) -> Column:
     return F.array(*[(label == k).cast("int") for k in range(num_classes)])
 
 
-def has_bad_logits(logits: Column) -> Column:
-    """True for rows that cannot be scored: null, empty, or any null/NaN element."""
-    return (
-        logits.isNull()
-        | (F.size(logits) == 0)
-        | F.exists(logits, lambda z: z.isNull() | F.isnan(z))
-    )
+def has_bad_logits(logits: Column, num_classes: int | None = None) -> Column:
+    """True for rows that cannot be scored: null, wrong length, or a null/NaN element."""
+    unusable = lambda z: z.isNull() | F.isnan(z)
+    if num_classes is None:
+        return logits.isNull() | (F.size(logits) == 0) | F.exists(logits, unusable)
+    bad = logits.isNull() | (F.size(logits) != num_classes)
+    for k in range(num_classes):
+        bad = bad | unusable(F.get(logits, F.lit(k)))
+    return bad
 
 
-def score_predictions(df: DataFrame, logits: str = "logits") -> tuple[DataFrame, DataFrame]:
+def score_predictions(
+    df: DataFrame, logits: str = "logits", num_classes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Adds ``probs`` and ``pred``; returns (scored, rejected) tables."""
-    bad = has_bad_logits(F.col(logits))
-    good = df.filter(~bad).withColumn("probs", softmax(F.col(logits)))
+    bad = has_bad_logits(F.col(logits), num_classes)
+    good = df.filter(~bad).withColumn("probs", softmax(F.col(logits), num_classes))
     return good.withColumn("pred", argmax(F.col("probs"))), df.filter(bad)

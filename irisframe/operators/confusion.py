@@ -62,7 +62,7 @@ def class_counts(cell: DataFrame, *, keys: Sequence[str] = (), classes: Sequence
     if classes is not None and not keys:
         zero = F.lit(0).cast("long")
         kind = rows.schema["class"].dataType
-        absent = rows.sparkSession.range(1).select(
+        absent = rows.sparkSession.range(0, 1, 1, 1).select(
             F.explode(F.array(*[F.lit(c).cast(kind) for c in classes])).alias("class"),
             zero.alias("support"),
             zero.alias("predicted"),
@@ -104,7 +104,7 @@ def confusion_matrix(preds: DataFrame, classes: Sequence | None = None) -> DataF
         seen = cell.select(F.explode(F.array("label", "pred")).alias("c"))
         grid = seen.agg(F.collect_set("c").alias("v"))
     else:
-        grid = preds.sparkSession.range(1).select(
+        grid = preds.sparkSession.range(0, 1, 1, 1).select(
             F.array(*[F.lit(c).cast(kind) for c in classes]).alias("v")
         )
     grid = grid.select(F.explode("v").alias("label"), "v").select("label", F.explode("v").alias("pred"))
@@ -224,7 +224,7 @@ def class_table(preds: DataFrame, variant: str, num_classes: int, probs: str = "
 
     fields = ["support", "predicted", "tp", *extra]
     zero = [F.lit(0).cast("double" if f in extra else "long").alias(f) for f in fields]
-    absent = preds.sparkSession.range(num_classes).select(F.col("id").cast("int").alias("class"), *zero)
+    absent = preds.sparkSession.range(0, num_classes, 1, 1).select(F.col("id").cast("int").alias("class"), *zero)
     rows = cell.select(F.explode(F.array(*[side(s) for s in sides])).alias("s")).select("s.*")
     table = rows.unionByName(absent).groupBy("class").agg(*[F.sum(f).alias(f) for f in fields])
     everything = W.partitionBy()  # K rows

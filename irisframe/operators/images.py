@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ..config import IMAGENET_MEAN, IMAGENET_STD, SPLITS, SYMMETRIC_MEAN, SYMMETRIC_STD
 from ..functions.hashing import unit_uniform
 
+# Output rows per yielded batch: pixels leave Python as floats, four times their size.
+ROWS_PER_YIELD = 64
+
 Kernel = Callable[[np.ndarray, Sequence[float]], np.ndarray]
 
 
@@ -63,8 +66,13 @@ def apply_steps(
     out_type = "array<float>" if binary else "array<double>"
     dtype = np.float32 if binary else np.float64
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            for start in range(0, len(pdf), ROWS_PER_YIELD):
+                yield pdf.iloc[start : start + ROWS_PER_YIELD]
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches):
             u = pdf[[f"_u{k}" for k in range(at)]].to_numpy(np.float64)
             shapes, flat = [], []
             dims = zip(pdf["height"], pdf["width"], pdf["channels"])

@@ -88,11 +88,13 @@ def bucket_from_bounds(df: DataFrame, keys: Sequence[str], bounds: Sequence[tupl
         steps.append(width)
         width //= 2
     reached = lambda at: (at <= len(bounds)) & (F.get(table, at - 1) <= row)
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda pos, s: F.when(reached(pos + s), pos + s).otherwise(pos),
     )
+    # Never null, so a join on it needs no null check that computes it again.
+    return F.coalesce(found, F.lit(0))
 
 
 def prefix_scan(

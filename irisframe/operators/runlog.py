@@ -89,7 +89,7 @@ def early_stop(
     if delta == 0:
         out = _stop_by_records(scored, bucket, patience)
     else:
-        out = _stop_by_fold(scored, delta, patience)
+        out = _stop_by_fold(scored, _lengths(df, run), delta, patience)
     sign = 1.0 if mode == "max" else -1.0
     return out.select(
         F.col("run").alias(run),
@@ -169,12 +169,15 @@ def _frame(rows: list[list]) -> pd.DataFrame:
     return pdf.astype({"at_best": "float64", "at_pos": "Int64"})
 
 
-def _stop_by_fold(scored: DataFrame, delta: float, patience: int) -> DataFrame:
+def _lengths(df: DataFrame, run: str) -> DataFrame:
+    return df.groupBy(F.col(run).alias("run")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stop_by_fold(scored: DataFrame, sizes: DataFrame, delta: float, patience: int) -> DataFrame:
     """With delta > 0 an improvement is still a strict record, but not every
     record is one: walk the records only."""
     new = F.col("before").isNull() | (F.col("score") > F.col("before"))
     walked = fold_improvements(scored.filter(new), lambda s, best: s > best + delta, patience)
-    sizes = scored.groupBy("run").agg(F.max("pos").alias("n"))
     ended = walked.join(sizes, "run").withColumn(
         "wait_from",
         F.when(F.col("at_pos").isNotNull(), F.col("at_pos")).when(
@@ -216,11 +219,10 @@ def plateau_rate(
     gain = 1.0 + settings.threshold
     cycle = settings.patience + 1
     walked = fold_improvements(scored.filter(may), lambda s, best: s > best * gain, cycle)
-    sizes = scored.groupBy("run").agg(F.max("pos").alias("n"))
     cuts = F.col("waits") + F.floor((F.col("n") - F.col("pos")) / cycle)
     rate = F.lit(settings.initial_rate) * F.pow(F.lit(settings.factor), F.col("cuts"))
     return (
-        walked.join(sizes, "run")
+        walked.join(_lengths(df, run), "run")
         .withColumn("cuts", cuts)
         .select(
             F.col("run").alias(run),

@@ -51,14 +51,14 @@ def cross_entropy_smoothed(spark, folder):
     z, y = F.col("logits"), F.col("label")
     losses = {"ce": 0.0, "ce_10": 0.1, "ce_15": 0.15, "ce_20": 0.2}
     return views.logit_table(spark, folder).select(
-        "vec_id", *[r6(scoring.cross_entropy(z, y, eps)).alias(n) for n, eps in losses.items()]
+        "vec_id", *[r6(scoring.cross_entropy(z, y, eps, NUM_CLASSES)).alias(n) for n, eps in losses.items()]
     )
 
 
 @query
 def loss_batch_mean(spark, folder):
     rows = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = scoring.cross_entropy(F.col("logits"), F.col("label"), 0.1)
+    loss = scoring.cross_entropy(F.col("logits"), F.col("label"), 0.1, NUM_CLASSES)
     return rounded(summaries.mean_of_batch_means(rows, loss))
 
 
@@ -173,7 +173,7 @@ def _summary(spark, folder):
     """One row: loss, accuracy, weighted P/R/F1 and both AUC means."""
     preds = predictions(spark, folder)
     batches = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy(F.col("logits"), F.col("label")))
+    loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy(F.col("logits"), F.col("label"), 0.0, NUM_CLASSES))
     prf, auc = summaries.summary_parts(preds, NUM_CLASSES)
     one = F.lit(1).alias("k")
     joined = prf.select("*", one).join(loss.select("*", one), "k").join(auc.select("*", one), "k")

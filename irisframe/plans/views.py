@@ -40,7 +40,7 @@ def logit_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    scored, _ = score_predictions(logit_table(spark, folder))
+    scored, _ = score_predictions(logit_table(spark, folder), num_classes=NUM_CLASSES)
     return scored
 
 
