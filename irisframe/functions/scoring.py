@@ -1,4 +1,9 @@
-"""Per-row scoring of a vector of class logits."""
+"""Per-row scoring of a vector of class logits.
+
+Functions take column names. Where the number of classes is known, expressions
+are unrolled as SQL text: they compile into the stage, while array lambdas are
+interpreted per element.
+"""
 
 from __future__ import annotations
 
@@ -6,85 +11,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def softmax(logits: Column, num_classes: int | None = None) -> Column:
-    """Stable softmax: shift by the maximum before exponentiating.
-
-    With ``num_classes`` the expression is unrolled, so it compiles into the
-    stage and shares its maximum and total; rows must have that many logits.
-    """
-    if num_classes is None:
-        size = F.size(logits)
-        tops = F.array_repeat(F.array_max(logits), size)
-        exps = F.zip_with(logits, tops, lambda z, top: F.exp(z - top))
-        # The total is a second argument, not part of the lambda, so that it is
-        # computed once per row.
-        totals = F.array_repeat(F.aggregate(exps, F.lit(0.0), lambda a, x: a + x), size)
-        return F.zip_with(exps, totals, lambda e, total: e / total)
-    exps = _shifted_exps(logits, num_classes)
-    total = _left_sum(exps)
-    return F.array(*[e / total for e in exps])
-
-
-def _shifted_exps(logits: Column, num_classes: int) -> list[Column]:
-    top = F.array_max(logits)
-    return [F.exp(F.get(logits, F.lit(k)) - top) for k in range(num_classes)]
+def softmax(logits: str) -> Column:
+    """Stable softmax for any vector length: shift by the maximum, then scale."""
+    z = F.col(logits)
+    size = F.size(z)
+    # Maximum and total are second arguments, not part of the lambdas, so that
+    # each is computed once per row.
+    exps = F.zip_with(z, F.array_repeat(F.array_max(z), size), lambda v, top: F.exp(v - top))
+    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(exps, F.array_repeat(total, size), lambda e, t: e / t)
 
 
-def _left_sum(parts: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for part in parts:
-        total = total + part
-    return total
+def with_softmax(df: DataFrame, logits: str, num_classes: int | None = None, name: str = "probs") -> DataFrame:
+    """Add the softmax of ``logits``; unrolled when ``num_classes`` is given."""
+    if num_classes is None:
+        return df.withColumn(name, softmax(logits))
+    each = range(num_classes)
+    exps = ", ".join(f"exp(get(`{logits}`, {k}) - array_max(`{logits}`))" for k in each)
+    total = " + ".join(f"get(_exps, {k})" for k in each)
+    share = ", ".join(f"get(_exps, {k}) / _total" for k in each)
+    staged = df.withColumn("_exps", F.expr(f"array({exps})")).withColumn("_total", F.expr(total))
+    return staged.withColumn(name, F.expr(f"array({share})")).drop("_exps", "_total")
 
 
-def argmax(values: Column) -> Column:
+def argmax(values: str) -> Column:
     """Zero-based position of the maximum; the lowest position wins a tie."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return F.expr(f"cast(array_position(`{values}`, array_max(`{values}`)) - 1 as int)")
 
 
-def log_sum_exp(logits: Column, num_classes: int | None = None) -> Column:
-    top = F.array_max(logits)
+def log_sum_exp(logits: str, num_classes: int | None = None) -> Column:
+    top = f"array_max(`{logits}`)"
     if num_classes is not None:
-        return top + F.log(_left_sum(_shifted_exps(logits, num_classes)))
-    shifted = F.zip_with(logits, F.array_repeat(top, F.size(logits)), lambda z, t: z - t)
-    return top + F.log(F.aggregate(shifted, F.lit(0.0), lambda a, z: a + F.exp(z)))
+        exps = " + ".join(f"exp(get(`{logits}`, {k}) - {top})" for k in range(num_classes))
+        return F.expr(f"{top} + ln({exps})")
+    z = F.col(logits)
+    shifted = F.zip_with(z, F.array_repeat(F.array_max(z), F.size(z)), lambda v, t: v - t)
+    return F.array_max(z) + F.log(F.aggregate(shifted, F.lit(0.0), lambda a, v: a + F.exp(v)))
 
 
 def cross_entropy(
-    logits: Column, label: Column, smoothing: float = 0.0, num_classes: int | None = None
+    logits: str, label: str, smoothing: float = 0.0, num_classes: int | None = None
 ) -> Column:
     """Negative log likelihood of the label, with the given share of the target
     spread evenly over all classes."""
     lse = log_sum_exp(logits, num_classes)
-    nll = lse - F.get(logits, label)
+    nll = lse - F.get(F.col(logits), F.col(label))
     if smoothing == 0.0:
         return nll
     if num_classes is not None:
-        mean_logit = _left_sum([F.get(logits, F.lit(k)) for k in range(num_classes)]) / num_classes
+        total = F.expr(" + ".join(f"get(`{logits}`, {k})" for k in range(num_classes)))
     else:
-        mean_logit = F.aggregate(logits, F.lit(0.0), lambda a, z: a + z) / F.size(logits)
-    return F.lit(1.0 - smoothing) * nll + F.lit(smoothing) * (lse - mean_logit)
+        total = F.aggregate(F.col(logits), F.lit(0.0), lambda a, z: a + z)
+    return F.lit(1.0 - smoothing) * nll + F.lit(smoothing) * (lse - total / F.size(logits))
 
 
 def one_hot(label: Column, num_classes: int) -> Column:
     return F.array(*[(label == k).cast("int") for k in range(num_classes)])
 
 
-def has_bad_logits(logits: Column, num_classes: int | None = None) -> Column:
+def has_bad_logits(logits: str, num_classes: int | None = None) -> Column:
     """True for rows that cannot be scored: null, wrong length, or a null/NaN element."""
-    unusable = lambda z: z.isNull() | F.isnan(z)
     if num_classes is None:
-        return logits.isNull() | (F.size(logits) == 0) | F.exists(logits, unusable)
-    bad = logits.isNull() | (F.size(logits) != num_classes)
-    for k in range(num_classes):
-        bad = bad | unusable(F.get(logits, F.lit(k)))
-    return bad
+        z = F.col(logits)
+        return z.isNull() | (F.size(z) == 0) | F.exists(z, lambda v: v.isNull() | F.isnan(v))
+    # A null or NaN in any element makes the sum null or NaN. Infinities can do
+    # the same, and are not usable logits either.
+    total = " + ".join(f"get(`{logits}`, {k})" for k in range(num_classes))
+    return F.expr(
+        f"`{logits}` is null or size(`{logits}`) <> {num_classes} or ({total}) is null or isnan({total})"
+    )
 
 
 def score_predictions(
     df: DataFrame, logits: str = "logits", num_classes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Adds ``probs`` and ``pred``; returns (scored, rejected) tables."""
-    bad = has_bad_logits(F.col(logits), num_classes)
-    good = df.filter(~bad).withColumn("probs", softmax(F.col(logits), num_classes))
-    return good.withColumn("pred", argmax(F.col("probs"))), df.filter(bad)
+    bad = has_bad_logits(logits, num_classes)
+    good = with_softmax(df.filter(~bad), logits, num_classes)
+    return good.withColumn("pred", argmax("probs")), df.filter(bad)

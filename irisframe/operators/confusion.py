@@ -9,87 +9,98 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OVERALL = "Overall (Weighted)"
+MEASURES = ("precision", "recall", "f1")
+VARIANTS = ("amd", "oct", "two_stream")
+# Sums of probabilities that the class tables need, per (label, pred) cell.
+PROB_SUMS = ("own_sum", "own_sq", "p_count", "p_sum", "p_sq")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b with 0 for a zero denominator."""
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+def ratio(a: str, b: str) -> str:
+    """SQL for a / b with 0 for a zero denominator."""
+    return f"coalesce(try_divide({a}, {b}), 0D)"
 
 
 def cells(preds: DataFrame, *, keys: Sequence[str] = (), probs: str | None = None) -> DataFrame:
     """Counts per (label, pred), plus probability sums when ``probs`` is named."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if probs:
-        own = F.get(F.col(probs), F.col("label"))
-        total = F.aggregate(F.col(probs), F.lit(0.0), lambda a, p: a + p)
-        squares = F.aggregate(F.col(probs), F.lit(0.0), lambda a, p: a + p * p)
-        aggs += [
-            F.sum(own).alias("own_sum"),
-            F.sum(own * own).alias("own_sq"),
-            F.sum(F.size(probs)).alias("p_count"),
-            F.sum(total).alias("p_sum"),
-            F.sum(squares).alias("p_sq"),
-        ]
+        own = f"get({probs}, label)"
+        total = f"aggregate({probs}, 0D, (a, p) -> a + p)"
+        squares = f"aggregate({probs}, 0D, (a, p) -> a + p * p)"
+        values = (own, f"{own} * {own}", f"size({probs})", total, squares)
+        aggs += [F.expr(f"sum({v})").alias(name) for v, name in zip(values, PROB_SUMS)]
     return preds.groupBy(*keys, "label", "pred").agg(*aggs)
 
 
-def class_counts(cell: DataFrame, *, keys: Sequence[str] = (), classes: Sequence | None = None) -> DataFrame:
+def _zero_rows(like: DataFrame, classes: Sequence, fields: Sequence[str]) -> DataFrame:
+    """A row of zeros per declared class, typed as in ``like``."""
+    types = dict(like.dtypes)
+    zeros = [f"cast(0 as {types[f]}) as {f}" for f in fields]
+    classes = list(classes)
+    if classes == list(range(len(classes))):
+        listed = like.sparkSession.range(0, len(classes), 1, 1)
+        return listed.selectExpr(f"cast(id as {types['class']}) as class", *zeros)
+    one = like.sparkSession.range(0, 1, 1, 1)
+    named = F.explode(F.array(*[F.lit(c).cast(types["class"]) for c in classes]))
+    return one.select(named.alias("class")).selectExpr("class", *zeros)
+
+
+def class_counts(
+    cell: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    classes: Sequence | None = None,
+    sums: Sequence[str] = (),
+) -> DataFrame:
     """Per class: true positives, support, predicted count, and the table size.
 
     Classes are those seen as label or prediction. With ``classes`` given,
-    absent ones appear with zeros, as a declared report needs.
+    absent ones appear with zeros, as a declared report needs. ``sums`` are
+    further cell columns to add up by label.
     """
-    sides = F.array(
-        F.struct(
-            F.col("label").alias("class"),
-            F.col("n").alias("support"),
-            F.lit(0).cast("long").alias("predicted"),
-            F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
-        ),
-        F.struct(
-            F.col("pred").alias("class"),
-            F.lit(0).cast("long").alias("support"),
-            F.col("n").alias("predicted"),
-            F.lit(0).cast("long").alias("tp"),
-        ),
+    by_label = "".join(f", {s}" for s in sums)
+    by_pred = "".join(f", cast(0 as {dict(cell.dtypes)[s]})" for s in sums)
+    fields = ["support", "predicted", "tp", *sums]
+    rows = cell.selectExpr(
+        *keys,
+        f"stack(2, label, n, 0L, if(label = pred, n, 0L){by_label}, pred, 0L, n, 0L{by_pred})"
+        f" as (class, {', '.join(fields)})",
     )
-    rows = cell.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
     if classes is not None and not keys:
-        zero = F.lit(0).cast("long")
-        kind = rows.schema["class"].dataType
-        absent = rows.sparkSession.range(0, 1, 1, 1).select(
-            F.explode(F.array(*[F.lit(c).cast(kind) for c in classes])).alias("class"),
-            zero.alias("support"),
-            zero.alias("predicted"),
-            zero.alias("tp"),
-        )
-        rows = rows.unionByName(absent)
-    per_class = rows.groupBy(*keys, "class").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp")
-    )
+        rows = rows.unionByName(_zero_rows(rows, classes, fields))
+    per_class = rows.groupBy(*keys, "class").agg(*[F.sum(f).alias(f) for f in fields])
     # At most K rows per key, so the total is a window over a handful of rows.
     return per_class.withColumn("total", F.sum("support").over(W.partitionBy(*keys)))
 
 
 def with_prf(counts: DataFrame) -> DataFrame:
     """Precision, recall and F1 per class; 0/0 is 0."""
-    return counts.withColumns(
-        {
-            "precision": ratio(F.col("tp"), F.col("predicted")),
-            "recall": ratio(F.col("tp"), F.col("support")),
-            "f1": ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")),
-        }
+    return counts.selectExpr(
+        "*",
+        f"{ratio('tp', 'predicted')} as precision",
+        f"{ratio('tp', 'support')} as recall",
+        f"{ratio('2 * tp', 'predicted + support')} as f1",
     )
 
 
+def _mean_columns() -> dict[str, str]:
+    """SQL of the overall figures of a class table, by name."""
+    out = {"accuracy": ratio("sum(tp)", "sum(support)")}
+    for m in MEASURES:
+        # A declared class nobody has or predicts must not lower the macro mean.
+        out[f"macro_{m}"] = f"avg(if(support > 0 or predicted > 0, {m}, null))"
+        out[f"weighted_{m}"] = ratio(f"sum({m} * support)", "sum(support)")
+    return out
+
+
 def class_prf(preds: DataFrame, classes: Sequence | None = None) -> DataFrame:
     table = with_prf(class_counts(cells(preds), classes=classes))
-    return table.select("class", "precision", "recall", "f1", "support")
+    return table.select("class", *MEASURES, "support")
 
 
 def confusion_matrix(preds: DataFrame, classes: Sequence | None = None) -> DataFrame:
@@ -104,9 +115,8 @@ def confusion_matrix(preds: DataFrame, classes: Sequence | None = None) -> DataF
         seen = cell.select(F.explode(F.array("label", "pred")).alias("c"))
         grid = seen.agg(F.collect_set("c").alias("v"))
     else:
-        grid = preds.sparkSession.range(0, 1, 1, 1).select(
-            F.array(*[F.lit(c).cast(kind) for c in classes]).alias("v")
-        )
+        listed = F.array(*[F.lit(c).cast(kind) for c in classes])
+        grid = preds.sparkSession.range(0, 1, 1, 1).select(listed.alias("v"))
     grid = grid.select(F.explode("v").alias("label"), "v").select("label", F.explode("v").alias("pred"))
     zeros = grid.withColumn("n", F.lit(0).cast("long"))
     return cell.unionByName(zeros).groupBy("label", "pred").agg(F.sum("n").alias("n"))
@@ -117,20 +127,11 @@ def confusion_wide(matrix: DataFrame, classes: Sequence) -> DataFrame:
     return matrix.groupBy("label").pivot("pred", list(classes)).agg(F.first("n"))
 
 
-def averages(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Accuracy and the macro and support-weighted means of P, R and F1."""
-    # A declared class nobody has or predicts must not lower the macro mean.
-    present = (F.col("support") > 0) | (F.col("predicted") > 0)
-    aggs = [ratio(F.sum("tp"), F.sum("support")).alias("accuracy")]
-    for m in ("precision", "recall", "f1"):
-        aggs.append(F.avg(F.when(present, F.col(m))).alias(f"macro_{m}"))
-        aggs.append(ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}"))
-    aggs.append(F.sum("support").alias("support"))
-    return table.groupBy(*keys).agg(*aggs) if keys else table.agg(*aggs)
-
-
 def macro_weighted(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return averages(with_prf(class_counts(cells(preds, keys=keys), keys=keys)), keys)
+    """Accuracy and the macro and support-weighted means of P, R and F1."""
+    table = with_prf(class_counts(cells(preds, keys=keys), keys=keys))
+    aggs = [F.expr(v).alias(k) for k, v in _mean_columns().items()]
+    return table.groupBy(*keys).agg(*aggs, F.sum("support").alias("support"))
 
 
 def accuracy(preds: DataFrame) -> DataFrame:
@@ -147,49 +148,42 @@ def classification_report(
     report does. ``sort_key`` gives the printed order.
     """
     table = with_prf(class_counts(cells(preds), classes=classes))
-    present = (F.col("support") > 0) | (F.col("predicted") > 0)
-    means = []
-    for m in ("precision", "recall", "f1"):
-        means.append(F.avg(F.when(present, F.col(m))).alias(f"macro_{m}"))
-        means.append(
-            ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}")
-        )
     both = table.rollup("class").agg(
         F.grouping("class").alias("overall"),
-        *[F.max(m).alias(m) for m in ("precision", "recall", "f1")],
-        *means,
-        ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
-        F.sum("support").cast("double").alias("support"),
+        *[F.max(m).alias(m) for m in MEASURES],
+        *[F.expr(v).alias(k) for k, v in _mean_columns().items()],
+        F.expr("cast(sum(support) as double)").alias("support"),
     )
-
-    def line(name, key, p, r, f, s):
-        cols = {"name": name, "sort_key": key, "precision": p, "recall": r, "f1": f, "support": s}
-        return F.struct(*[c.alias(k) for k, c in cols.items()])
-
-    col, big = F.col, F.lit(2**31)
-    if names is None:
-        name = col("class").cast("string")
-    else:
-        name = F.get(F.array(*[F.lit(n) for n in names]), col("class"))
     # Labels that are numbers sort by value; others keep the report's name order.
     numeric = dict(table.dtypes)["class"] in ("int", "bigint", "smallint", "tinyint")
-    key = col("class").cast("long") if numeric else F.lit(0).cast("long")
-    acc = col("accuracy")
-    lines = F.when(
-        col("overall") == 1,
-        F.array(
-            line(F.lit("accuracy"), big, acc, acc, acc, acc),
-            line(F.lit("macro avg"), big + 1, *[col(f"macro_{m}") for m in ("precision", "recall", "f1")], col("support")),
-            line(F.lit("weighted avg"), big + 2, *[col(f"weighted_{m}") for m in ("precision", "recall", "f1")], col("support")),
-        ),
-    ).otherwise(F.array(line(name, key, col("precision"), col("recall"), col("f1"), col("support"))))
-    return both.select(F.explode(lines).alias("r")).select("r.*")
+    key = "cast(class as bigint)" if numeric else "0L"
+    if names is None:
+        name = F.col("class").cast("string")
+    else:
+        name = F.get(F.array(*[F.lit(n) for n in names]), F.col("class"))
+    last = 2**31
+    means = {kind: ", ".join(f"{kind}_{m}" for m in MEASURES) for kind in ("macro", "weighted")}
+
+    def line(name: str, sort_key: str, values: str) -> str:
+        figures = ", ".join(f"'{m}', {v}" for m, v in zip((*MEASURES, "support"), values.split(", ")))
+        return f"named_struct('name', {name}, 'sort_key', {sort_key}, {figures})"
+
+    overall = ", ".join(
+        [
+            line("'accuracy'", f"{last}L", "accuracy, accuracy, accuracy, accuracy"),
+            line("'macro avg'", f"{last + 1}L", f"{means['macro']}, support"),
+            line("'weighted avg'", f"{last + 2}L", f"{means['weighted']}, support"),
+        ]
+    )
+    own = line("_name", key, f"{', '.join(MEASURES)}, support")
+    lines = f"if(overall = 1, array({overall}), array({own}))"
+    return both.withColumn("_name", name).selectExpr(f"inline({lines})")
 
 
-def _spread(count: Column, total: Column, squares: Column) -> Column:
-    """Population standard deviation from sums of values in [0, 1]."""
-    mean = F.try_divide(total, count)
-    return F.sqrt(F.greatest(F.try_divide(squares, count) - mean * mean, F.lit(0.0)))
+def _spread(count: str, total: str, squares: str) -> str:
+    """SQL for the population standard deviation from sums of values in [0, 1]."""
+    mean = f"try_divide({total}, {count})"
+    return f"sqrt(greatest(try_divide({squares}, {count}) - {mean} * {mean}, 0D))"
 
 
 def class_table(preds: DataFrame, variant: str, num_classes: int, probs: str = "probs") -> DataFrame:
@@ -202,89 +196,58 @@ def class_table(preds: DataFrame, variant: str, num_classes: int, probs: str = "
     own rows, overall the mean of those; overall P and R are numbers.
     Values are unrounded; null stands for a value the variant does not report.
     """
-    if variant not in ("amd", "oct", "two_stream"):
+    if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}")
-    cell = cells(preds, probs=None if variant == "oct" else probs)
-    classes = range(num_classes)
-    sides = [
-        {"class": "label", "support": "n", "predicted": None, "tp": "hit"},
-        {"class": "pred", "support": None, "predicted": "n", "tp": None},
-    ]
-    extra = [] if variant == "oct" else ["own_sum", "own_sq", "p_count", "p_sum", "p_sq"]
-    cell = cell.withColumn("hit", F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0)))
-
-    def side(spec):
-        first = spec["predicted"] is None
-        cols = [F.col(spec["class"]).cast("int").alias("class")]
-        for c in ("support", "predicted", "tp"):
-            cols.append((F.col(spec[c]) if spec[c] else F.lit(0)).cast("long").alias(c))
-        for c in extra:
-            cols.append((F.col(c) if first else F.lit(0)).cast("double").alias(c))
-        return F.struct(*cols)
-
-    fields = ["support", "predicted", "tp", *extra]
-    zero = [F.lit(0).cast("double" if f in extra else "long").alias(f) for f in fields]
-    absent = preds.sparkSession.range(0, num_classes, 1, 1).select(F.col("id").cast("int").alias("class"), *zero)
-    rows = cell.select(F.explode(F.array(*[side(s) for s in sides])).alias("s")).select("s.*")
-    table = rows.unionByName(absent).groupBy("class").agg(*[F.sum(f).alias(f) for f in fields])
-    everything = W.partitionBy()  # K rows
-    table = with_prf(table.withColumn("total", F.sum("support").over(everything)))
-    col = F.col
-    overall_acc = ratio(F.sum("tp").over(everything), col("total"))
-    if variant == "amd":
-        table = table.withColumn("accuracy", overall_acc)
-        spread = _spread(*[F.sum(c).over(everything) for c in ("p_count", "p_sum", "p_sq")])
-        table = table.withColumn("std", spread)
-        overall_std = F.max("std")
-    elif variant == "oct":
-        wrong = col("predicted") + col("support") - 2 * col("tp")
-        table = table.withColumn("accuracy", ratio(col("total") - wrong, col("total")))
-        share = ratio(col("predicted"), col("total"))
-        table = table.withColumn("std", F.sqrt(share * (1.0 - share)))
-        mean = F.sum(col("class") * col("predicted")) / F.max("total")
-        square = F.sum(col("class") * col("class") * col("predicted")) / F.max("total")
-        overall_std = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    else:
-        table = table.withColumn("accuracy", col("recall"))
-        own = _spread(col("support"), col("own_sum"), col("own_sq"))
-        table = table.withColumn("std", F.coalesce(own, F.lit(0.0)))
-        overall_std = F.avg("std")
-    weighted = {m: ratio(F.sum(col(m) * col("support")), F.sum("support")) for m in ("precision", "recall", "f1")}
-    none = F.lit(None).cast("double")
+    sums = () if variant == "oct" else PROB_SUMS
+    cell = cells(preds, probs=probs if sums else None)
+    table = with_prf(class_counts(cell, classes=range(num_classes), sums=sums))
+    # Windows without keys run over the K class rows.
+    acc, std, all_std = {
+        "amd": (
+            ratio("sum(tp) over ()", "total"),
+            _spread(*[f"sum({c}) over ()" for c in ("p_count", "p_sum", "p_sq")]),
+            "max(std)",
+        ),
+        "oct": (
+            ratio("total - predicted - support + 2 * tp", "total"),
+            f"sqrt({ratio('predicted', 'total')} * (1D - {ratio('predicted', 'total')}))",
+            "sqrt(greatest(sum(class * class * predicted) / max(total)"
+            " - pow(sum(class * predicted) / max(total), 2), 0D))",
+        ),
+        "two_stream": (
+            "recall",
+            f"coalesce({_spread('support', 'own_sum', 'own_sq')}, 0D)",
+            "avg(std)",
+        ),
+    }[variant]
+    table = table.selectExpr("*", f"{acc} as class_accuracy", f"{std} as std")
+    means = _mean_columns()
     both = table.rollup("class").agg(
         F.grouping("class").alias("overall"),
-        F.max("accuracy").alias("accuracy"),
-        ratio(F.sum("tp"), F.sum("support")).alias("all_accuracy"),
-        *[F.max(m).alias(m) for m in ("precision", "recall", "f1", "std")],
-        *[v.alias(f"all_{m}") for m, v in weighted.items()],
-        overall_std.alias("all_std"),
+        *[F.max(m).alias(m) for m in (*MEASURES, "class_accuracy", "std")],
+        *[F.expr(means[k]).alias(k) for k in ("accuracy", *[f"weighted_{m}" for m in MEASURES])],
+        F.expr(all_std).alias("all_std"),
     )
-    is_all = col("overall") == 1
-    keep_pr = variant == "two_stream"
-    return both.select(
-        F.when(is_all, F.lit(num_classes)).otherwise(col("class")).alias("sort_key"),
-        F.when(is_all, F.lit(OVERALL)).otherwise(col("class").cast("string")).alias("class"),
-        F.when(is_all, col("all_accuracy")).otherwise(col("accuracy")).alias("accuracy"),
-        F.when(is_all, col("all_precision") if keep_pr else none).otherwise(col("precision")).alias("precision"),
-        F.when(is_all, col("all_recall") if keep_pr else none).otherwise(col("recall")).alias("recall"),
-        F.when(is_all, col("all_f1")).otherwise(col("f1")).alias("f1"),
-        F.when(is_all, col("all_std")).otherwise(col("std")).alias("std"),
+    overall_pr = ("weighted_precision", "weighted_recall")
+    p, r = overall_pr if variant == "two_stream" else ("cast(null as double)",) * 2
+    return both.selectExpr(
+        f"if(overall = 1, {num_classes}, class) as sort_key",
+        f"if(overall = 1, '{OVERALL}', cast(class as string)) as class",
+        "if(overall = 1, accuracy, class_accuracy) as accuracy",
+        f"if(overall = 1, {p}, precision) as precision",
+        f"if(overall = 1, {r}, recall) as recall",
+        "if(overall = 1, weighted_f1, f1) as f1",
+        "if(overall = 1, all_std, std) as std",
     )
 
 
 def formatted_class_table(table: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """The printed view: four decimals, N/A and a plus-minus sign before the std."""
-
-    def text(c: str) -> Column:
-        return F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.4f", F.col(c)))
-
     label = F.col("class")
     if names is not None:
         listed = F.get(F.array(*[F.lit(n) for n in names]), F.col("sort_key"))
         label = F.coalesce(listed, label)
-    return table.select(
-        "sort_key",
-        label.alias("class"),
-        *[text(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-        F.format_string("±%.4f", F.col("std")).alias("std"),
-    )
+    figures = ("accuracy", *MEASURES)
+    text = [f"if({c} is null, 'N/A', format_string('%.4f', {c})) as {c}" for c in figures]
+    shown = table.withColumn("class", label)
+    return shown.selectExpr("sort_key", "class", *text, "format_string('±%.4f', std) as std")

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan, range_bucket
 
 
-def scores_from_probs(preds: DataFrame, num_classes: int, *, keys: Sequence[str] = (), probs: str = "probs") -> DataFrame:
+def scores_from_probs(preds: DataFrame, *, keys: Sequence[str] = (), probs: str = "probs") -> DataFrame:
     """Long form (class, score, hit): one narrow row per sample and class."""
-    pairs = F.array(*[
-        F.struct(F.lit(k).alias("class"), F.get(F.col(probs), F.lit(k)).alias("score"))
-        for k in range(num_classes)
-    ])
-    long = preds.select(*keys, "label", F.explode(pairs).alias("s"))
-    return long.select(*keys, "s.class", "s.score", (F.col("label") == F.col("s.class")).alias("hit"))
+    # The outer form keeps Spark from deriving a "not empty" filter, which would be
+    # pushed below the scoring projections and compute the scores twice.
+    long = preds.select(*keys, "label", F.posexplode_outer(probs).alias("class", "score"))
+    long = long.filter(F.col("class").isNotNull())
+    return long.select(*keys, "class", "score", (F.col("label") == F.col("class")).alias("hit"))
 
 
 def scores_from_column(df: DataFrame, label: str, score: str, classes: Sequence) -> DataFrame:

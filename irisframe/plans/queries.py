@@ -41,24 +41,23 @@ def rounded(df: DataFrame) -> DataFrame:
 @query
 def softmax_argmax(spark, folder):
     preds = predictions(spark, folder)
-    return preds.select("vec_id", "pred", F.posexplode("probs").alias("class", "p")).select(
+    return preds.select("vec_id", "pred", F.posexplode_outer("probs").alias("class", "p")).select(
         "vec_id", "pred", "class", r6("p").alias("prob")
     )
 
 
 @query
 def cross_entropy_smoothed(spark, folder):
-    z, y = F.col("logits"), F.col("label")
     losses = {"ce": 0.0, "ce_10": 0.1, "ce_15": 0.15, "ce_20": 0.2}
     return views.logit_table(spark, folder).select(
-        "vec_id", *[r6(scoring.cross_entropy(z, y, eps, NUM_CLASSES)).alias(n) for n, eps in losses.items()]
+        "vec_id", *[r6(scoring.cross_entropy("logits", "label", eps, NUM_CLASSES)).alias(n) for n, eps in losses.items()]
     )
 
 
 @query
 def loss_batch_mean(spark, folder):
     rows = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = scoring.cross_entropy(F.col("logits"), F.col("label"), 0.1, NUM_CLASSES)
+    loss = scoring.cross_entropy("logits", "label", 0.1, NUM_CLASSES)
     return rounded(summaries.mean_of_batch_means(rows, loss))
 
 
@@ -66,7 +65,7 @@ def loss_batch_mean(spark, folder):
 def onehot_labels(spark, folder):
     hot = scoring.one_hot(F.col("label"), NUM_CLASSES)
     rows = table(spark, folder, "embeddings")
-    return rows.select("vec_id", F.posexplode(hot).alias("class", "hot"))
+    return rows.select("vec_id", F.posexplode_outer(hot).alias("class", "hot"))
 
 
 # Metrics ---------------------------------------------------------------------
@@ -134,7 +133,7 @@ def class_table_text(spark, folder):
 
 
 def _running(spark, folder):
-    return curves.cumulative(curves.scores_from_probs(predictions(spark, folder), NUM_CLASSES))
+    return curves.cumulative(curves.scores_from_probs(predictions(spark, folder)))
 
 
 @query
@@ -173,8 +172,8 @@ def _summary(spark, folder):
     """One row: loss, accuracy, weighted P/R/F1 and both AUC means."""
     preds = predictions(spark, folder)
     batches = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy(F.col("logits"), F.col("label"), 0.0, NUM_CLASSES))
-    prf, auc = summaries.summary_parts(preds, NUM_CLASSES)
+    loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy("logits", "label", 0.0, NUM_CLASSES))
+    prf, auc = summaries.summary_parts(preds)
     one = F.lit(1).alias("k")
     joined = prf.select("*", one).join(loss.select("*", one), "k").join(auc.select("*", one), "k")
     return joined.select(
@@ -268,12 +267,12 @@ def _fold_predictions(spark, folder):
 
 @query
 def cv_results(spark, folder):
-    return rounded(summaries.cv_results(_fold_predictions(spark, folder), NUM_CLASSES))
+    return rounded(summaries.cv_results(_fold_predictions(spark, folder)))
 
 
 @query
 def cv_means(spark, folder):
-    return rounded(summaries.cv_means(summaries.cv_results(_fold_predictions(spark, folder), NUM_CLASSES)))
+    return rounded(summaries.cv_means(summaries.cv_results(_fold_predictions(spark, folder))))
 
 
 @query
@@ -630,4 +629,4 @@ def fusion_head(spark, folder):
 def cv_fit(spark, folder):
     folded = splits.stratified_folds(table(spark, folder, "embeddings"), "label", "vec_id")
     preds = heads.cross_validated(folded, "embedding", 5, iterations=10)
-    return rounded(summaries.cv_results(preds, NUM_CLASSES))
+    return rounded(summaries.cv_results(preds))

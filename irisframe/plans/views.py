@@ -23,20 +23,18 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def logits(vector: Column) -> Column:
+def logits(vector: str) -> Column:
     """Ten class logits from a whole 64-vector: logit k adds every 10th component from k."""
-    out = []
-    for k in range(NUM_CLASSES):
-        total = F.get(vector, F.lit(k)).cast("double")
-        for j in range(k + NUM_CLASSES, VECTOR_WIDTH, NUM_CLASSES):
-            total = total + F.get(vector, F.lit(j)).cast("double")
-        out.append(total)
-    return F.array(*out)
+    sums = [
+        " + ".join(f"cast(get({vector}, {j}) as double)" for j in range(k, VECTOR_WIDTH, NUM_CLASSES))
+        for k in range(NUM_CLASSES)
+    ]
+    return F.expr("array(" + ", ".join(sums) + ")")
 
 
 def logit_table(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    return vectors.select("vec_id", "label", logits(F.col("embedding")).alias("logits"))
+    return vectors.select("vec_id", "label", logits("embedding").alias("logits"))
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +83,6 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def pixels_long(df: DataFrame, px: str = "px") -> DataFrame:
     """(vec_id, pos, value): one row per output pixel."""
-    return df.select("vec_id", F.posexplode(px).alias("pos", "v")).select(
+    return df.select("vec_id", F.posexplode_outer(px).alias("pos", "v")).select(
         "vec_id", "pos", r6("v").alias("value")
     )

@@ -90,7 +90,7 @@ def test_class_tables(preds):
 
 @pytest.mark.parametrize("rows_per_bucket", [2, 7, 1000])
 def test_areas(preds, rows_per_bucket):
-    scores = curves.scores_from_probs(preds, 3)
+    scores = curves.scores_from_probs(preds)
     running = curves.cumulative(scores, rows_per_bucket=rows_per_bucket)
     got = {r["class"]: r for r in curves.curve_areas(running).collect()}
     close([got[k].auc for k in range(3)], [0.833333, 0.809524, 1.0])
@@ -100,7 +100,7 @@ def test_areas(preds, rows_per_bucket):
 
 
 def test_auc_is_the_pairwise_rank_statistic(preds):
-    areas = curves.curve_areas(curves.cumulative(curves.scores_from_probs(preds, 3))).collect()
+    areas = curves.curve_areas(curves.cumulative(curves.scores_from_probs(preds))).collect()
     for r in areas:
         k = r["class"]
         pos = [p[3][k] for p in ROWS if p[2] == k]
@@ -111,12 +111,12 @@ def test_auc_is_the_pairwise_rank_statistic(preds):
 
 def test_single_class_has_no_auc(spark):
     df = spark.createDataFrame([(0, [0.9, 0.1]), (0, [0.8, 0.2])], "label int, probs array<double>")
-    got = {r["class"]: r for r in curves.curve_areas(curves.cumulative(curves.scores_from_probs(df, 2))).collect()}
+    got = {r["class"]: r for r in curves.curve_areas(curves.cumulative(curves.scores_from_probs(df))).collect()}
     assert got[0].auc is None and got[1].auc is None and got[1].ap is None
 
 
 def test_curve_points(preds):
-    running = curves.cumulative(curves.scores_from_probs(preds, 3))
+    running = curves.cumulative(curves.scores_from_probs(preds))
     roc = [r for r in curves.roc_points(running, 3).collect() if r["class"] == 2]
     assert min(r.tpr for r in roc) == 0 and max(r.fpr for r in roc) == 1
     assert math.isinf(max(r.threshold for r in roc))
@@ -130,9 +130,9 @@ def test_losses(preds):
     close((row.sample_mean_loss, row.batch_mean_loss), (0.747961, 0.776016))
     logits = preds.withColumn("z", F.transform("probs", lambda p: F.log(p) + 3.0))
     for k in (None, 3):
-        loss = scoring.cross_entropy(F.col("z"), F.col("label"), 0.1, k)
+        loss = scoring.cross_entropy("z", "label", 0.1, k)
         close(logits.agg(F.avg(loss)).first()[0], 0.800416)
-        back = logits.select("probs", scoring.softmax(F.col("z"), k).alias("p")).collect()
+        back = scoring.with_softmax(logits, "z", k, "p").collect()
         for r in back:
             close(r.p, r.probs, 1e-12)
 
@@ -149,8 +149,8 @@ def test_argmax_ties_and_rejected_logits(spark):
 
 def test_cv_results_and_means(preds):
     folded = preds.withColumn("fold", F.col("id") % 2)
-    rows = {r.fold: r for r in summaries.cv_results(folded, 3).collect()}
+    rows = {r.fold: r for r in summaries.cv_results(folded).collect()}
     one = confusion.macro_weighted(folded.filter("fold = 1")).first()
     close((rows[1].macro_f1, rows[1].accuracy), (one.macro_f1, one.accuracy))
-    means = summaries.cv_means(summaries.cv_results(folded, 3)).first()
+    means = summaries.cv_means(summaries.cv_results(folded)).first()
     close(means.macro_f1, (rows[0].macro_f1 + rows[1].macro_f1) / 2)
