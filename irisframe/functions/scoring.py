@@ -11,27 +11,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def softmax(logits: str) -> Column:
-    """Stable softmax for any vector length: shift by the maximum, then scale."""
-    z = F.col(logits)
-    size = F.size(z)
-    # Maximum and total are second arguments, not part of the lambdas, so that
-    # each is computed once per row.
-    exps = F.zip_with(z, F.array_repeat(F.array_max(z), size), lambda v, top: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(exps, F.array_repeat(total, size), lambda e, t: e / t)
+def _with_exps(df: DataFrame, logits: str, num_classes: int | None) -> DataFrame:
+    """Add ``_exps`` (logits shifted by their maximum, exponentiated) and their
+    sum ``_sum``, which is null or NaN exactly when the row cannot be scored."""
+    if num_classes is None:
+        z = F.col(logits)
+        # The maximum is a second argument, not part of the lambda, so that it is
+        # computed once per row.
+        tops = F.array_repeat(F.array_max(z), F.size(z))
+        staged = df.withColumn("_exps", F.zip_with(z, tops, lambda v, top: F.exp(v - top)))
+        total = f"if(size(`{logits}`) > 0, aggregate(_exps, 0D, (a, x) -> a + x), null)"
+    else:
+        each = range(num_classes)
+        exps = ", ".join(f"exp(get(`{logits}`, {k}) - array_max(`{logits}`))" for k in each)
+        staged = df.withColumn("_exps", F.expr(f"array({exps})"))
+        sums = " + ".join(f"get(_exps, {k})" for k in each)
+        total = f"if(size(`{logits}`) = {num_classes}, {sums}, null)"
+    # A one-row generator. Filters on its output are not pushed below it, where
+    # they would repeat everything the logits were computed from.
+    return staged.withColumn("_total", F.expr(total)).select("*", F.expr("explode(array(_total)) as _sum"))
 
 
-def with_softmax(df: DataFrame, logits: str, num_classes: int | None = None, name: str = "probs") -> DataFrame:
-    """Add the softmax of ``logits``; unrolled when ``num_classes`` is given."""
+def _shares(staged: DataFrame, num_classes: int | None, name: str) -> DataFrame:
     if num_classes is None:
-        return df.withColumn(name, softmax(logits))
-    each = range(num_classes)
-    exps = ", ".join(f"exp(get(`{logits}`, {k}) - array_max(`{logits}`))" for k in each)
-    total = " + ".join(f"get(_exps, {k})" for k in each)
-    share = ", ".join(f"get(_exps, {k}) / _total" for k in each)
-    staged = df.withColumn("_exps", F.expr(f"array({exps})")).withColumn("_total", F.expr(total))
-    return staged.withColumn(name, F.expr(f"array({share})")).drop("_exps", "_total")
+        divisor = F.array_repeat(F.col("_sum"), F.size("_exps"))
+        probs = F.zip_with(F.col("_exps"), divisor, lambda e, t: e / t)
+    else:
+        probs = F.expr("array(" + ", ".join(f"get(_exps, {k}) / _sum" for k in range(num_classes)) + ")")
+    return staged.withColumn(name, probs).drop("_exps", "_total", "_sum")
+
+
+def with_softmax(df: DataFrame, logits: str, num_classes: int | None = None, name: str = "probs") -> DataFrame:
+    """Add the stable softmax of ``logits``; unrolled when ``num_classes`` is given."""
+    return _shares(_with_exps(df, logits, num_classes), num_classes, name)
 
 
 def argmax(values: str) -> Column:
@@ -69,23 +81,14 @@ def one_hot(label: Column, num_classes: int) -> Column:
     return F.array(*[(label == k).cast("int") for k in range(num_classes)])
 
 
-def has_bad_logits(logits: str, num_classes: int | None = None) -> Column:
-    """True for rows that cannot be scored: null, wrong length, or a null/NaN element."""
-    if num_classes is None:
-        z = F.col(logits)
-        return z.isNull() | (F.size(z) == 0) | F.exists(z, lambda v: v.isNull() | F.isnan(v))
-    # A null or NaN in any element makes the sum null or NaN. Infinities can do
-    # the same, and are not usable logits either.
-    total = " + ".join(f"get(`{logits}`, {k})" for k in range(num_classes))
-    return F.expr(
-        f"`{logits}` is null or size(`{logits}`) <> {num_classes} or ({total}) is null or isnan({total})"
-    )
-
-
 def score_predictions(
     df: DataFrame, logits: str = "logits", num_classes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Adds ``probs`` and ``pred``; returns (scored, rejected) tables."""
-    bad = has_bad_logits(logits, num_classes)
-    good = with_softmax(df.filter(~bad), logits, num_classes)
-    return good.withColumn("pred", argmax("probs")), df.filter(bad)
+    """Adds ``probs`` and ``pred``; returns (scored, rejected) tables.
+
+    Rejected rows have no logits, the wrong number of them, or a null or NaN.
+    """
+    staged = _with_exps(df, logits, num_classes)
+    bad = F.col("_sum").isNull() | F.isnan("_sum")
+    good = _shares(staged.filter(~bad), num_classes, "probs")
+    return good.withColumn("pred", argmax("probs")), staged.filter(bad).select(*df.columns)

@@ -26,16 +26,23 @@ def scores_from_column(df: DataFrame, label: str, score: str, classes: Sequence)
     return long.select("class", "score", (F.col("_label") == F.col("class")).alias("hit"))
 
 
-def cumulative(scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def cumulative(
+    scores: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    rows: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """Per distinct score: positives, negatives, and running TP / FP by falling score.
 
     Equal scores are merged before anything is ordered, so a score shared by a
-    third of all rows is one row in the scan.
+    third of all rows is one row in the scan. ``rows``, the expected number of
+    score rows, saves a pass when the caller knows it.
     """
     group = [*keys, "class"]
     hit = F.col("hit").cast("long")
     slim = scores.withColumn("_down", -F.col("score"))
-    bucket = range_bucket(slim, [*group, "_down"], rows_per_bucket=rows_per_bucket)
+    bucket = range_bucket(slim, [*group, "_down"], rows=rows, rows_per_bucket=rows_per_bucket)
     points = slim.groupBy(*group, "_down").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     ran = prefix_scan(
         points, group, ["_down"], {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))}, bucket

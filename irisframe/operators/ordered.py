@@ -47,6 +47,7 @@ def range_bucket(
     df: DataFrame,
     keys: Sequence[str],
     *,
+    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
     seed: int = 7,
@@ -54,12 +55,13 @@ def range_bucket(
     """An equi-depth bucket number over the order of ``keys``, or None if one
     bucket is enough.
 
-    The bounds come from a small sample taken once; afterwards the bucket is a
+    ``rows`` saves the counting pass; an estimate is enough, as it only sets how
+    many buckets there are. The bounds come from a small sample taken once; afterwards the bucket is a
     fixed function of the row, so recomputing a lost partition cannot move rows.
     Keys must be integers, doubles or strings.
     """
     slim = df.select(*keys)
-    rows = slim.count()
+    rows = slim.count() if rows is None else rows
     buckets = min(max_buckets, -(-rows // rows_per_bucket))
     if buckets <= 1:
         return None
@@ -141,11 +143,12 @@ def global_index(
     group: Sequence[str] = (),
     bucket: Column | None = None,
     name: str = "idx",
+    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Dense zero-based position along ``order`` (within ``group`` when given)."""
     if bucket is None:
-        bucket = range_bucket(df, [*group, *order], rows_per_bucket=rows_per_bucket)
+        bucket = range_bucket(df, [*group, *order], rows=rows, rows_per_bucket=rows_per_bucket)
     counted = prefix_scan(df, group, order, {name: Scan("sum", F.lit(1).cast("long"))}, bucket)
     return counted.withColumn(name, F.col(name) - 1)
 

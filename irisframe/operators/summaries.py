@@ -40,8 +40,11 @@ def generator_losses(df: DataFrame, settings: LossSettings = LOSSES) -> DataFram
     return parts.withColumn("total_loss", c("loss_gan") + weighted)
 
 
-def cv_results(preds: DataFrame, fold: str = "fold") -> DataFrame:
-    """Accuracy, macro P/R/F1 and macro one-vs-rest AUC per fold."""
+def cv_results(preds: DataFrame, fold: str = "fold", *, score_rows: int | None = None) -> DataFrame:
+    """Accuracy, macro P/R/F1 and macro one-vs-rest AUC per fold.
+
+    ``score_rows``: predictions times classes, when known.
+    """
     prf = macro_weighted(preds, [fold]).select(
         fold,
         "accuracy",
@@ -49,7 +52,7 @@ def cv_results(preds: DataFrame, fold: str = "fold") -> DataFrame:
         F.col("macro_recall").alias("recall"),
         "macro_f1",
     )
-    running = cumulative(scores_from_probs(preds, keys=[fold]), keys=[fold])
+    running = cumulative(scores_from_probs(preds, keys=[fold]), keys=[fold], rows=score_rows)
     auc = macro_weighted_auc(curve_areas(running, [fold]), [fold])
     return prf.join(auc.select(fold, F.col("macro_auc").alias("roc_auc")), fold)
 
@@ -59,9 +62,9 @@ def cv_means(results: DataFrame) -> DataFrame:
     return results.agg(*[F.avg(m).alias(m) for m in CV_METRICS])
 
 
-def summary_parts(preds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def summary_parts(preds: DataFrame, *, score_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row of P/R/F1 averages, one row of AUC averages)."""
-    running = cumulative(scores_from_probs(preds))
+    running = cumulative(scores_from_probs(preds), rows=score_rows)
     return macro_weighted(preds), macro_weighted_auc(curve_areas(running))
 
 

@@ -133,7 +133,8 @@ def class_table_text(spark, folder):
 
 
 def _running(spark, folder):
-    return curves.cumulative(curves.scores_from_probs(predictions(spark, folder)))
+    scores = curves.scores_from_probs(predictions(spark, folder))
+    return curves.cumulative(scores, rows=views.score_rows(spark, folder))
 
 
 @query
@@ -173,7 +174,7 @@ def _summary(spark, folder):
     preds = predictions(spark, folder)
     batches = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
     loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy("logits", "label", 0.0, NUM_CLASSES))
-    prf, auc = summaries.summary_parts(preds)
+    prf, auc = summaries.summary_parts(preds, score_rows=views.score_rows(spark, folder))
     one = F.lit(1).alias("k")
     joined = prf.select("*", one).join(loss.select("*", one), "k").join(auc.select("*", one), "k")
     return joined.select(
@@ -265,14 +266,19 @@ def _fold_predictions(spark, folder):
     return splits.stratified_folds(predictions(spark, folder), "label", "vec_id")
 
 
+def _cv_results(spark, folder):
+    rows = views.score_rows(spark, folder)
+    return summaries.cv_results(_fold_predictions(spark, folder), score_rows=rows)
+
+
 @query
 def cv_results(spark, folder):
-    return rounded(summaries.cv_results(_fold_predictions(spark, folder)))
+    return rounded(_cv_results(spark, folder))
 
 
 @query
 def cv_means(spark, folder):
-    return rounded(summaries.cv_means(summaries.cv_results(_fold_predictions(spark, folder))))
+    return rounded(summaries.cv_means(_cv_results(spark, folder)))
 
 
 @query
@@ -629,4 +635,4 @@ def fusion_head(spark, folder):
 def cv_fit(spark, folder):
     folded = splits.stratified_folds(table(spark, folder, "embeddings"), "label", "vec_id")
     preds = heads.cross_validated(folded, "embedding", 5, iterations=10)
-    return rounded(summaries.cv_results(preds))
+    return rounded(summaries.cv_results(preds, score_rows=views.score_rows(spark, folder)))

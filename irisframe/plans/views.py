@@ -24,12 +24,18 @@ def r6(c: Column | str) -> Column:
 
 
 def logits(vector: str) -> Column:
-    """Ten class logits from a whole 64-vector: logit k adds every 10th component from k."""
-    sums = [
-        " + ".join(f"cast(get({vector}, {j}) as double)" for j in range(k, VECTOR_WIDTH, NUM_CLASSES))
-        for k in range(NUM_CLASSES)
-    ]
-    return F.expr("array(" + ", ".join(sums) + ")")
+    """Ten class logits from a whole 64-vector: logit k adds every 10th component from k.
+
+    Written as vector additions of slices. Unrolled, the 64 terms would make the
+    compiled stage too large for the JVM to optimise.
+    """
+    total = f"transform(slice({vector}, 1, {NUM_CLASSES}), x -> cast(x as double))"
+    for start in range(NUM_CLASSES + 1, VECTOR_WIDTH + 1, NUM_CLASSES):
+        part = f"slice({vector}, {start}, {NUM_CLASSES})"
+        # The last slice is shorter than the others.
+        term = "cast(x as double)" if start + NUM_CLASSES <= VECTOR_WIDTH + 1 else "coalesce(cast(x as double), 0D)"
+        total = f"zip_with({total}, {part}, (a, x) -> a + {term})"
+    return F.expr(total)
 
 
 def logit_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,8 +48,14 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scored
 
 
+def score_rows(spark: SparkSession, folder: str) -> int:
+    """Predictions times classes; the row count comes from the file footers."""
+    return table(spark, folder, "embeddings").count() * NUM_CLASSES
+
+
 def batched_logits(spark: SparkSession, folder: str, batch_size: int) -> DataFrame:
-    return batched(global_index(logit_table(spark, folder), ["vec_id"]), batch_size)
+    rows = table(spark, folder, "embeddings").count()
+    return batched(global_index(logit_table(spark, folder), ["vec_id"], rows=rows), batch_size)
 
 
 def document_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,8 +87,8 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
-    placed = global_index(vectors, ["vec_id"])
-    n = vectors.count()
+    n = table(spark, folder, "embeddings").count()
+    placed = global_index(vectors, ["vec_id"], rows=n)
     left = placed.select("vec_id", "label", F.col("v").alias("a"), ((F.col("idx") + 1) % n).alias("at"))
     return left.join(placed.select(F.col("idx").alias("at"), F.col("v").alias("b")), "at").drop("at")
 
