@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import declared_index
 from .ordered import global_index
-from .small import checked_broadcast
+from .small import evaluated_if_small
 
 
 def label_declared(df: DataFrame, classes: Sequence[str], column: str = "class") -> DataFrame:
@@ -24,6 +25,11 @@ def split_unknown(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def label_alphabetical(df: DataFrame, column: str = "class") -> DataFrame:
     """Add ``label``: position of the class among the sorted distinct classes."""
-    classes = global_index(df.select(column).distinct(), [column], name="label")
-    classes = classes.select(column, F.col("label").cast("int").alias("label"))
-    return df.join(checked_broadcast(classes), column)
+    classes = df.select(column).distinct()
+    local = evaluated_if_small(classes)
+    if local is None:
+        labels = global_index(classes, [column], name="label")
+    else:
+        rank = F.row_number().over(W.orderBy(column))
+        labels = F.broadcast(local.withColumn("label", rank - 1))
+    return df.join(labels.withColumn("label", F.col("label").cast("int")), column)

@@ -11,9 +11,11 @@ from ..functions.paths import synthetic_number
 from .ordered import ROWS_PER_BUCKET, global_index
 
 
-def with_position(df: DataFrame, path: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def with_position(
+    df: DataFrame, path: str, *, rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Add ``idx``, the zero-based position in path order."""
-    return global_index(df, [path], rows_per_bucket=rows_per_bucket)
+    return global_index(df, [path], rows=rows, rows_per_bucket=rows_per_bucket)
 
 
 def _numbered(synthetic: DataFrame, domain: str, path: str) -> DataFrame:
@@ -75,8 +77,8 @@ def pair_unpaired(
         (F.col("id") % nx).alias("_xi"),
         (hash_int(seeded_hash(seed, epoch, F.col("id"))) % ny).alias("_yi"),
     )
-    xs = with_position(x.select(x_path), x_path).withColumnRenamed("idx", "_xi")
-    ys = with_position(y.select(y_path), y_path).withColumnRenamed("idx", "_yi")
+    xs = with_position(x.select(x_path), x_path, rows=nx).withColumnRenamed("idx", "_xi")
+    ys = with_position(y.select(y_path), y_path, rows=ny).withColumnRenamed("idx", "_yi")
     return rows.join(xs, "_xi").join(ys, "_yi").select("i", x_path, y_path)
 
 

@@ -133,8 +133,9 @@ def fold_improvements(
 ) -> DataFrame:
     """Walk each run's candidate rows in order and keep the improving ones.
 
-    Rows arrive sorted and are consumed as a stream: memory holds one Arrow
-    batch and one run's state. Per run it reports the best value and position
+    The rule is sequential, so a run's candidates pass through one task. There
+    they arrive sorted and are consumed as a stream: memory holds one Arrow
+    batch and one run's state, never a whole run. Per run it reports the best value and position
     at the first gap of ``patience`` rows without improvement (``at_*``), the
     final ones, and how many whole ``patience``-row waits were completed.
     """

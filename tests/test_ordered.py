@@ -67,3 +67,13 @@ def test_checked_broadcast_falls_back(spark):
     assert "LocalTableScan" in small._jdf.queryExecution().toString() or small.count() == 10
     assert checked_broadcast(df, 9) is df
     assert checked_broadcast(df.filter("id < 0"), 9).count() == 0
+
+
+def test_alphabetical_labels_for_many_classes(spark, monkeypatch):
+    from irisframe.operators import class_index
+
+    df = spark.range(300).select(F.concat(F.lit("c"), F.col("id") % 100).alias("class"))
+    small = {r["class"]: r.label for r in class_index.label_alphabetical(df).distinct().collect()}
+    monkeypatch.setattr(class_index, "evaluated_if_small", lambda d: None)
+    large = {r["class"]: r.label for r in class_index.label_alphabetical(df).distinct().collect()}
+    assert small == large == {c: i for i, c in enumerate(sorted(f"c{i}" for i in range(100)))}
