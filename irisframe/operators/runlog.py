@@ -262,5 +262,9 @@ def with_phase(df: DataFrame, epoch: str, unfreeze_at: int) -> DataFrame:
 
 def minutes_per_run(df: DataFrame, run: str, ts: str) -> DataFrame:
     """Elapsed minutes between a run's first and last log time."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.groupBy(run).agg(((F.max(micros) - F.min(micros)) / 60_000_000.0).alias("minutes"))
+    # An interval, taken apart: the same for either timestamp type and any
+    # session time zone.
+    span = f"(max({ts}) - min({ts}))"
+    parts = (("DAY", "* 1440"), ("HOUR", "* 60"), ("MINUTE", ""), ("SECOND", "/ 60D"))
+    minutes = " + ".join(f"extract({unit} FROM {span}) {scale}" for unit, scale in parts)
+    return df.groupBy(run).agg(F.expr(f"cast({minutes} as double)").alias("minutes"))
