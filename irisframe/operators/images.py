@@ -12,15 +12,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IMAGENET_MEAN, IMAGENET_STD, SPLITS, SYMMETRIC_MEAN, SYMMETRIC_STD
 from ..functions.hashing import unit_uniform
 
-# Output rows per yielded batch: pixels leave Python as floats, four times their size.
-ROWS_PER_YIELD = 64
+# Pixels per yielded batch, whatever the image size.
+PIXELS_PER_YIELD = 1 << 24
 
 Kernel = Callable[[np.ndarray, Sequence[float]], np.ndarray]
 
@@ -66,32 +66,43 @@ def apply_steps(
     out_type = "array<float>" if binary else "array<double>"
     dtype = np.float32 if binary else np.float64
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), ROWS_PER_YIELD):
-                yield pdf.iloc[start : start + ROWS_PER_YIELD]
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches):
-            u = pdf[[f"_u{k}" for k in range(at)]].to_numpy(np.float64)
-            shapes, flat = [], []
-            dims = zip(pdf["height"], pdf["width"], pdf["channels"])
-            for row, ((h, w, c), raw) in enumerate(zip(dims, pdf[pixels])):
-                img = np.frombuffer(raw, np.uint8) if binary else np.asarray(raw)
-                img = img.astype(dtype).reshape(h, w, c)
-                for step, (lo, hi) in zip(steps, spans):
-                    draws = u[row, lo:hi]
-                    if step.chance < 1 and draws[-1] >= step.chance:
-                        continue
-                    img = step.kernel(img, draws)
-                shapes.append(img.shape)
-                flat.append(np.ascontiguousarray(img, dtype).ravel())
-            dims = np.array(shapes, np.int32).reshape(-1, 3)
-            rest = pdf.drop(columns=[pixels, *[f"_u{k}" for k in range(at)]])
-            yield rest.assign(height=dims[:, 0], width=dims[:, 1], channels=dims[:, 2], px=flat)
+    names = [n for n in df.columns if n != pixels]
+
+    def transform(raw, shape, u: np.ndarray) -> np.ndarray:
+        img = np.frombuffer(raw.as_buffer(), np.uint8) if binary else raw.values.to_numpy()
+        img = img.astype(dtype).reshape(shape)
+        for step, (lo, hi) in zip(steps, spans):
+            draws = u[lo:hi]
+            if step.chance == 1 or draws[-1] < step.chance:
+                img = step.kernel(img, draws)
+        return np.ascontiguousarray(img, dtype)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn_columns = [batch.column(f"_u{k}").to_numpy() for k in range(at)]
+            u = np.column_stack(drawn_columns) if at else np.empty((batch.num_rows, 0))
+            shapes = zip(*[batch.column(c).to_pylist() for c in ("height", "width", "channels")])
+            start, done, held = 0, [], 0
+            for row, (raw, shape) in enumerate(zip(batch.column(pixels), shapes)):
+                done.append(transform(raw, shape, u[row]))
+                held += done[-1].size
+                if held >= PIXELS_PER_YIELD or row + 1 == batch.num_rows:
+                    yield _packed(batch.select(names).slice(start, len(done)), done)
+                    start, done, held = row + 1, [], 0
 
     fields = [f"`{n}` {t}" for n, t in df.dtypes if n != pixels]
-    return drawn.mapInPandas(apply, ", ".join([*fields, f"px {out_type}"]))
+    return drawn.mapInArrow(apply, ", ".join([*fields, f"px {out_type}"]))
+
+
+def _packed(rest: pa.RecordBatch, done: list[np.ndarray]) -> pa.RecordBatch:
+    """Other columns, new sizes, and all pixels as one flat buffer with offsets."""
+    columns = {n: rest.column(n) for n in rest.schema.names}
+    for i, name in enumerate(("height", "width", "channels")):
+        columns[name] = pa.array([img.shape[i] for img in done], rest.schema.field(name).type)
+    offsets = np.concatenate([[0], np.cumsum([img.size for img in done])]).astype(np.int32)
+    flat = pa.array(np.concatenate([img.ravel() for img in done]))
+    columns["px"] = pa.ListArray.from_arrays(offsets, flat)
+    return pa.RecordBatch.from_pydict(columns)
 
 
 # Kernels ---------------------------------------------------------------------
@@ -110,7 +121,8 @@ def _resize_weights(n_in: int, n_out: int, antialias: bool) -> np.ndarray:
 
 
 def _channelwise(rows: np.ndarray, img: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """rows @ channel @ cols.T for every channel."""
+    """rows @ channel @ cols.T for every channel, in the image's precision."""
+    rows, cols = rows.astype(img.dtype), cols.astype(img.dtype)
     return (rows @ np.moveaxis(img, 2, 0) @ cols.T).transpose(1, 2, 0)
 
 
@@ -150,13 +162,14 @@ def _warp(img: np.ndarray, matrix: np.ndarray, border: str, nearest: bool) -> np
     if nearest:
         sx, sy = np.floor(sx + 0.5), np.floor(sy + 0.5)
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
+    fx, fy = [f[..., None].astype(img.dtype) for f in (sx - x0, sy - y0)]
+    flat = img.reshape(h * w, -1)
 
     def pick(yy, xx):
         if border == "reflect":
-            return img[_mirror(yy, h), _mirror(xx, w)]
+            return flat.take(_mirror(yy, h) * w + _mirror(xx, w), axis=0)
         inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-        return img[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)] * inside[..., None]
+        return flat.take(np.clip(yy, 0, h - 1) * w + np.clip(xx, 0, w - 1), axis=0) * inside[..., None]
 
     top = pick(y0, x0) * (1 - fx) + pick(y0, x0 + 1) * fx
     bottom = pick(y0 + 1, x0) * (1 - fx) + pick(y0 + 1, x0 + 1) * fx
@@ -205,25 +218,24 @@ def brightness_contrast(limit: float, chance: float = 0.5, high: float = 255.0,
     return Step("brightness_contrast", kernel, draws=2, chance=chance)
 
 
-@lru_cache(maxsize=64)
-def _blur_weights(n: int) -> np.ndarray:
-    """(n, n) matrix of the 1-2-1 kernel with mirrored borders."""
-    out = np.zeros((n, n))
-    for offset, weight in ((-1, 0.25), (0, 0.5), (1, 0.25)):
-        np.add.at(out, (np.arange(n), _mirror(np.arange(n) + offset, n)), weight)
-    return out
+def _smooth(img: np.ndarray, axis: int) -> np.ndarray:
+    """1-2-1 smoothing along one axis with mirrored borders."""
+    n = img.shape[axis]
+    wide = np.moveaxis(img.take(_mirror(np.arange(-1, n + 1), n), axis=axis), axis, 0)
+    return np.moveaxis(wide[:-2] * 0.25 + wide[1:-1] * 0.5 + wide[2:] * 0.25, 0, axis)
 
 
 def gaussian_blur(chance: float = 0.2) -> Step:
-    def kernel(img, _):
-        return _channelwise(_blur_weights(img.shape[0]), img, _blur_weights(img.shape[1]))
-
-    return Step("gaussian_blur", kernel, chance=chance)
+    return Step("gaussian_blur", lambda img, _: _smooth(_smooth(img, 0), 1), chance=chance)
 
 
 def normalise(mean: Sequence[float], std: Sequence[float], scale: float = 255.0) -> Step:
     m, s = np.array(mean), np.array(std)
-    return Step("normalise", lambda img, _: (img / scale - m) / s)
+
+    def kernel(img, _):
+        return (img / img.dtype.type(scale) - m.astype(img.dtype)) / s.astype(img.dtype)
+
+    return Step("normalise", kernel)
 
 
 def channels_first() -> Step:

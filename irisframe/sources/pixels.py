@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,20 +58,21 @@ def _rgb_bytes(pixels: np.ndarray) -> bytes:
 def image_bytes(tensors: DataFrame, *, stretch: bool = False) -> DataFrame:
     """[0, 1] channel-last tensors as 8-bit image rows; ``stretch`` min-max scales first."""
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for px in pdf["px"]:
-                v = np.asarray(px, dtype=np.float64)
+            for px in batch.column("px"):
+                v = px.values.to_numpy().astype(np.float64)
                 if stretch:
                     low, high = v.min(), v.max()
                     v = (v - low) / max(high - low, 1e-5)
                 # Round half up after scaling, then clip.
                 rows.append(np.clip(v * 255 + 0.5, 0, 255).astype(np.uint8).tobytes())
-            yield pdf.drop(columns="px").assign(data=rows)
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "px"}
+            yield pa.RecordBatch.from_pydict({**columns, "data": pa.array(rows, pa.binary())})
 
     fields = [f"`{n}` {t}" for n, t in tensors.dtypes if n != "px"]
-    return tensors.mapInPandas(convert, ", ".join([*fields, "data binary"]))
+    return tensors.mapInArrow(convert, ", ".join([*fields, "data binary"]))
 
 
 def first_samples(df: DataFrame, row_id: str, count: int = 4) -> DataFrame:
