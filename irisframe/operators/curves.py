@@ -42,7 +42,8 @@ def cumulative(
     group = [*keys, "class"]
     hit = F.col("hit").cast("long")
     slim = scores.withColumn("_down", -F.col("score"))
-    bucket = range_bucket(slim, [*group, "_down"], rows=rows, rows_per_bucket=rows_per_bucket)
+    # Cutting the pooled scores is enough: a class is in a bucket only in part.
+    bucket = range_bucket(slim, [], ["_down"], rows=rows, rows_per_bucket=rows_per_bucket)
     points = slim.groupBy(*group, "_down").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     ran = prefix_scan(
         points, group, ["_down"], {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))}, bucket

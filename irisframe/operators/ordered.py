@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1024
 SAMPLES_PER_BUCKET = 16
+NESTED_BOUNDS = 32
 
 
 @dataclass(frozen=True)
@@ -45,21 +46,24 @@ class Scan:
 
 def range_bucket(
     df: DataFrame,
-    keys: Sequence[str],
+    group: Sequence[str],
+    order: Sequence[str],
     *,
     rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
     seed: int = 7,
 ) -> Column | None:
-    """An equi-depth bucket number over the order of ``keys``, or None if one
-    bucket is enough.
-
-    ``rows`` saves the counting pass; an estimate is enough, as it only sets how
-    many buckets there are. The bounds come from a small sample taken once; afterwards the bucket is a
-    fixed function of the row, so recomputing a lost partition cannot move rows.
-    Keys must be integers, doubles or strings.
+    """A bucket number that never falls along ``order`` inside a group and keeps
+    every (group, bucket) near ``rows_per_bucket``, or None if no group needs it.
+
+    Only groups that span several buckets are cut. ``rows`` saves the counting
+    pass; an estimate is enough, as it only sets how many buckets there are. The
+    bounds come from a small sample taken once; afterwards the bucket is a fixed
+    function of the row, so recomputing a lost partition cannot move rows. Keys
+    must be integers, doubles or strings.
     """
+    keys = [*group, *order]
     slim = df.select(*keys)
     rows = slim.count() if rows is None else rows
     buckets = min(max_buckets, -(-rows // rows_per_bucket))
@@ -70,33 +74,55 @@ def range_bucket(
     sample = sorted(tuple(r.values()) for r in slim.sample(fraction, seed).toArrow().to_pylist())
     step = max(1, len(sample) // buckets)
     bounds = sorted(set(sample[step::step]))[: max_buckets - 1]
-    return bucket_from_bounds(df, keys, bounds)
+    cut: dict[tuple, list[tuple]] = {}
+    for bound in bounds:
+        cut.setdefault(bound[: len(group)], []).append(bound)
+    # A group with a single bound has at most about two buckets' rows.
+    large = {g: found for g, found in cut.items() if not group or len(found) > 1}
+    if not large:
+        return None
+    kept = [bound for found in large.values() for bound in found]
+    number = position_among(df, keys, kept)
+    if len(group) == 1:
+        number = F.when(F.col(group[0]).isin([g[0] for g in large]), number).otherwise(0)
+    # Never null, so a join on it needs no null check that computes it again.
+    return F.coalesce(number, F.lit(0))
+
 
+def position_among(df: DataFrame, keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """How many of the sorted ``bounds`` are <= the row's keys.
 
-def bucket_from_bounds(df: DataFrame, keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """Number of bounds <= the row's keys, by branch-free binary search."""
-    if not bounds:
-        return F.lit(0)
+    A few bounds become nested conditions, which compile into the stage; more of
+    them a binary search over constant arrays, one per key.
+    """
     types = [df.schema[k].dataType for k in keys]
 
-    def literal(row: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(row, types, keys)])
-
-    table = F.array(*[literal(b) for b in bounds])
-    row = F.struct(*[F.col(k).alias(k) for k in keys])
-    width = 1 << (len(bounds).bit_length() - 1)
-    steps = []
-    while width:
-        steps.append(width)
-        width //= 2
-    reached = lambda at: (at <= len(bounds)) & (F.get(table, at - 1) <= row)
-    found = F.aggregate(
+    def reached(values: Sequence[Column]) -> Column:
+        result = None
+        for key, value in reversed(list(zip(keys, values))):
+            col = F.col(key)
+            result = col >= value if result is None else (col > value) | ((col == value) & result)
+        return result
+
+    def literals(bound: tuple) -> list[Column]:
+        return [F.lit(v).cast(t) for v, t in zip(bound, types)]
+
+    def nested(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(reached(literals(bounds[mid])), nested(mid + 1, high)).otherwise(nested(low, mid))
+
+    if len(bounds) <= NESTED_BOUNDS:
+        return nested(0, len(bounds))
+    arrays = [F.array(*column) for column in zip(*[literals(b) for b in bounds])]
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    inside = lambda at: (at <= len(bounds)) & reached([F.get(a, at - 1) for a in arrays])
+    return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda pos, s: F.when(reached(pos + s), pos + s).otherwise(pos),
+        lambda pos, s: F.when(inside(pos + s), pos + s).otherwise(pos),
     )
-    # Never null, so a join on it needs no null check that computes it again.
-    return F.coalesce(found, F.lit(0))
 
 
 def prefix_scan(
@@ -148,7 +174,7 @@ def global_index(
 ) -> DataFrame:
     """Dense zero-based position along ``order`` (within ``group`` when given)."""
     if bucket is None:
-        bucket = range_bucket(df, [*group, *order], rows=rows, rows_per_bucket=rows_per_bucket)
+        bucket = range_bucket(df, group, order, rows=rows, rows_per_bucket=rows_per_bucket)
     counted = prefix_scan(df, group, order, {name: Scan("sum", F.lit(1).cast("long"))}, bucket)
     return counted.withColumn(name, F.col(name) - 1)
 

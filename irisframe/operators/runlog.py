@@ -28,7 +28,7 @@ def _log(df: DataFrame, run: str, epoch: str, value: str, mode: str) -> DataFram
 
 def _scored(df: DataFrame, run: str, epoch: str, value: str, mode: str, rows_per_bucket: int):
     log = _log(df, run, epoch, value, mode)
-    bucket = range_bucket(log, ["run", "epoch"], rows_per_bucket=rows_per_bucket)
+    bucket = range_bucket(log, ["run"], ["epoch"], rows_per_bucket=rows_per_bucket)
     scans = {
         "pos": Scan("sum", F.lit(1).cast("long")),
         "before": Scan("max", F.col("score"), inclusive=False),

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from irisframe.operators.ordered import Scan, bucket_from_bounds, global_index, prefix_scan, range_bucket
+from irisframe.operators import ordered
+from irisframe.operators.ordered import Scan, global_index, position_among, prefix_scan, range_bucket
 from irisframe.operators.small import checked_broadcast
 
 
@@ -23,7 +24,7 @@ def test_bucketed_scan_equals_window(skewed):
         "low": Scan("min", F.col("v")),
         "earlier": Scan("sum", F.lit(1), inclusive=False),
     }
-    bucket = range_bucket(skewed, ["g", "o"], rows_per_bucket=100)
+    bucket = range_bucket(skewed, ["g"], ["o"], rows_per_bucket=100)
     assert bucket is not None
     plain = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans).collect()}
     cut = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans, bucket).collect()}
@@ -35,7 +36,7 @@ def test_bucketed_scan_equals_window(skewed):
 
 
 def test_hot_group_is_spread_over_buckets(skewed):
-    bucket = range_bucket(skewed, ["g", "o"], rows_per_bucket=100)
+    bucket = range_bucket(skewed, ["g"], ["o"], rows_per_bucket=100)
     sizes = skewed.groupBy("g", bucket.alias("b")).count()
     assert sizes.agg(F.max("count")).first()[0] < 400
     assert sizes.filter("g = 'hot'").count() > 5
@@ -54,11 +55,32 @@ def test_string_order_is_binary(spark):
     assert [n for n, _ in sorted(got.items(), key=lambda kv: kv[1])] == sorted(names)
 
 
-def test_bucket_numbers(spark):
-    df = spark.range(20)
-    for bounds in ([], [(5,)], [(0,), (5,), (6,)], [(i,) for i in range(0, 19, 2)]):
-        got = df.select("id", bucket_from_bounds(df, ["id"], bounds).alias("b")).collect()
+@pytest.mark.parametrize("nested", [0, 32])
+def test_bucket_numbers(spark, monkeypatch, nested):
+    monkeypatch.setattr(ordered, "NESTED_BOUNDS", nested)
+    df = spark.range(20).select("id", (F.col("id") % 3).alias("k"), F.concat(F.lit("s'"), "id").alias("s"))
+    for bounds in ([(5,)], [(0,), (5,), (6,)], [(i,) for i in range(0, 19, 2)]):
+        got = df.select("id", position_among(df, ["id"], bounds).alias("b")).collect()
         assert all(r.b == sum(b[0] <= r.id for b in bounds) for r in got)
+    pairs = [(0, "s'12"), (0, "s'3"), (1, "s'1"), (2, "s'8")]
+    got = df.withColumn("b", position_among(df, ["k", "s"], pairs)).collect()
+    assert all(r.b == sum(b <= (r.k, r.s) for b in pairs) for r in got)
+
+
+def test_even_groups_are_not_cut(skewed):
+    even = skewed.filter("g <> 'hot'")
+    assert range_bucket(even, ["g"], ["o"], rows_per_bucket=500) is None
+    assert range_bucket(even, [], ["o"], rows_per_bucket=500) is not None
+
+
+@pytest.mark.parametrize("nested", [0, 32])
+def test_scan_is_the_same_for_both_lookups(skewed, monkeypatch, nested):
+    monkeypatch.setattr(ordered, "NESTED_BOUNDS", nested)
+    got = global_index(skewed, ["o"], group=["g"], rows_per_bucket=50).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r.o):
+        assert r.idx == seen.get(r.g, -1) + 1
+        seen[r.g] = r.idx
 
 
 def test_checked_broadcast_falls_back(spark):
