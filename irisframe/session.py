@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +32,10 @@ def build_session(app: str = "irisframe", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables and stream checkpoints.
 
-    Lives under ``spark.checkpoint.dir``, which every executor can reach. Only
-    a local session without that setting falls back to a temporary folder.
+    Lives under ``spark.checkpoint.dir``, which every executor can reach, and
+    under the warehouse folder in sessions without that setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = os.path.join(tempfile.gettempdir(), "irisframe-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
