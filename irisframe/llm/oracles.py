@@ -53,4 +53,15 @@ WITH l AS (
 SELECT doc_id, gone::BIGINT AS n_removed_lines, sha256(kept) AS kept_sha256 FROM r
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op8_line_dedup": OP8}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLES = {"op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irisframe.llm import host_rules, line_dedup, ring
+from irisframe.llm import bpe, host_rules, line_dedup, media, packing, ring, warc
+from irisframe.llm.common import stored
+from irisframe.session import scratch_dir
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +25,21 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    files = stored(media.stored_texts(_documents(spark, folder)), "media-files")
+    return media.media_digests(files)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder), VOCABULARY)
+
+
+def op7_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
+    return warc.page_payloads(spark, path)
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.cut_boilerplate(_documents(spark, folder))
     return rows.select(
@@ -30,8 +51,16 @@ def op9_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
     return ring.shard_documents(_documents(spark, folder))
 
 
+def op10_recursive_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, folder), RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_media_columns": op5_media_columns,
+    "op6_packing": op6_packing,
+    "op7_warc_segments": op7_warc_segments,
     "op8_line_dedup": op8_line_dedup,
     "op9_ring_shards": op9_ring_shards,
+    "op10_recursive_bpe": op10_recursive_bpe,
 }
