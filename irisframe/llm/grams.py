@@ -91,24 +91,43 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows of ``width`` consecutive grams.
+def anchors(gram: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the ``valid`` windows of ``width`` consecutive grams.
 
     Returns (anchor position, first window, end of windows) of each run of
     windows with the same leftmost smallest gram. Equal windows have their
     anchor at the same offset, since the choice depends on their content only.
     """
-    size = len(gram)
-    if size < width:
+    if not valid.any():
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    at = np.arange(size, dtype=np.uint64)
-    if size > int(_POSITION):
+    if len(gram) > int(_POSITION):
         raise ValueError("a batch is too long")
-    ranked = ((gram >> (np.uint64(64) - _HASH_BITS)) << (np.uint64(64) - _HASH_BITS)) | at
+    low = np.uint64(64) - _HASH_BITS
+    ranked = ((gram >> low) << low) | np.arange(len(gram), dtype=np.uint64)
     chosen = (sliding_min(ranked, width) & _POSITION).astype(np.int64)
+    chosen[~valid] = -1
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    return chosen[first], first, np.append(first[1:], len(chosen))
+    end = np.append(first[1:], len(chosen))
+    kept = chosen[first] >= 0
+    return chosen[first][kept], first[kept], end[kept]
+
+
+def cut_long(size: int, length: int, limit: int = SLICE) -> list[tuple[int, int]]:
+    """(start, end) of slices that hold every window of ``length`` units once."""
+    return [(at, min(size, at + limit + length - 1)) for at in range(0, max(1, size - length + 1), limit)]
+
+
+def laid_end_to_end(units: Sequence[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All units in one array, where each text starts, and which window starts
+    leave the window inside its text."""
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    joined = np.concatenate(units) if units else np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    valid = np.ones(max(0, len(joined) - length + 1), dtype=bool)
+    for end in ends.tolist():
+        valid[max(0, end - length + 1) : end] = False
+    return joined, ends - sizes, valid
 
 
 def batches(sizes: Iterable[int], limit: int = SLICE) -> list[tuple[int, int]]:

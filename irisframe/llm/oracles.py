@@ -53,6 +53,22 @@ WITH l AS (
 SELECT doc_id, gone::BIGINT AS n_removed_lines, sha256(kept) AS kept_sha256 FROM r
 """
 
+OP4 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)
+), late AS (
+  SELECT doc_id, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY gram)
+), gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, range(50) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
@@ -64,4 +80,4 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-ORACLES = {"op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}
+ORACLES = {"op4_substring_dedup": OP4, "op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}
