@@ -53,6 +53,29 @@ WITH l AS (
 SELECT doc_id, gone::BIGINT AS n_removed_lines, sha256(kept) AS kept_sha256 FROM r
 """
 
+#: Bytes as pairs of hex digits; window i starts at byte i.
+OP2 = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (
+  SELECT doc_id, i, md5(x[2 * i + 1:2 * i + 200]) AS gram
+  FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) AS i FROM h WHERE len(x) >= 200)
+), late AS (
+  SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1
+), edges AS (
+  SELECT doc_id, i, i > lag(i) OVER w + 100 OR lag(i) OVER w IS NULL AS opens FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edges) GROUP BY doc_id, r
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), 1000000000 FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x[2 * a + 1:2 * b], '' ORDER BY a) AS x FROM gaps JOIN h USING (doc_id) GROUP BY doc_id
+), n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT h.doc_id, (len(h.x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.x, h.x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP4 = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (
@@ -80,4 +103,4 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}
+ORACLES = {"op2_suffix_dedup": OP2, "op4_substring_dedup": OP4, "op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}

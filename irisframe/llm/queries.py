@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irisframe.llm import bpe, host_rules, line_dedup, media, packing, ring, substring, warc
+from irisframe.llm import bpe, host_rules, line_dedup, media, packing, ring, substring, suffix_dedup, warc
 from irisframe.llm.common import stored
 from irisframe.session import scratch_dir
 
@@ -25,6 +25,17 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.cut_repeats(_documents(spark, folder))
+    return rows.select(
+        F.col("_in.doc_id").alias("doc_id"),
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substring.cut_passages(_documents(spark, folder))
     return rows.select(
@@ -64,6 +75,7 @@ def op10_recursive_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_packing": op6_packing,
