@@ -76,6 +76,23 @@ SELECT h.doc_id, (len(h.x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGIN
 FROM h LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+#: translate() lower-cases A-Z only.
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
 OP4 = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (
@@ -103,4 +120,4 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-ORACLES = {"op2_suffix_dedup": OP2, "op4_substring_dedup": OP4, "op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}
+ORACLES = {"op3_minhash_near_dedup": OP3, "op2_suffix_dedup": OP2, "op4_substring_dedup": OP4, "op7_warc_segments": OP7, "op1_quality_rules": OP1, "op8_line_dedup": OP8}

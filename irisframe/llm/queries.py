@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irisframe.llm import bpe, host_rules, line_dedup, media, packing, ring, substring, suffix_dedup, warc
+from irisframe.llm import bpe, host_rules, line_dedup, media, minhash, packing, ring, substring, suffix_dedup, warc
 from irisframe.llm.common import stored
 from irisframe.session import scratch_dir
 
@@ -36,6 +36,12 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.judge(_documents(spark, folder).select("doc_id", "text")).select(
+        F.col("_in.doc_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_component_id").alias("component_id"), F.col("_kept").alias("kept")
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substring.cut_passages(_documents(spark, folder))
     return rows.select(
@@ -76,6 +82,7 @@ def op10_recursive_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_packing": op6_packing,
