@@ -6,9 +6,10 @@ written as Parquet in the shared scratch folder and read again.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from irisframe.llm import host_rules, line_dedup
+from irisframe.llm import host_rules, line_dedup, minhash, packing, substring
 from irisframe.session import scratch_dir
 
 
@@ -22,9 +23,30 @@ def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.drop_boilerplate(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that an earlier document has."""
+    return substring.drop_passages(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document's tokens lies in the training sequences."""
+    return packing.pack(docs, VOCABULARY)
+
+
+#: Readable on every executor.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_boilerplate),
+    ("near dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("packing", packed_sequences),
 ]
 
 #: Packing needs tokenizer ids, which SQL cannot express; tests use brute force.
