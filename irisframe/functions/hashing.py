@@ -22,13 +22,13 @@ def hash_prefix(h: Column, digits: int = 3) -> Column:
 
 
 def hash_int(h: Column) -> Column:
-    """The first 32 bits of a hex digest as a non-negative long."""
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    """The first 60 bits of a hex digest as a non-negative long."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
 def unit_uniform(*parts: Column | str | int) -> Column:
     """A draw in [0, 1) that depends only on the parts."""
-    return hash_int(seeded_hash(*parts)) / F.lit(4294967296.0)
+    return hash_int(seeded_hash(*parts)) / F.lit(float(1 << 60))
 
 
 def _col(c: Column | str) -> Column:

@@ -13,8 +13,8 @@ def base_name(path: Column) -> Column:
 
 
 def parent_name(path: Column, levels: int = 1) -> Column:
-    """Name of the directory ``levels`` above the file."""
-    return F.element_at(F.split(path, "/"), -1 - levels)
+    """Name of the directory ``levels`` above the file; null if the path is too short."""
+    return F.try_element_at(F.split(path, "/"), F.lit(-1 - levels))
 
 
 def has_extension(path: Column, extensions: Sequence[str]) -> Column:

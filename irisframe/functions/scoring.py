@@ -81,14 +81,30 @@ def one_hot(label: Column, num_classes: int) -> Column:
     return F.array(*[(label == k).cast("int") for k in range(num_classes)])
 
 
+def scored_rows(df: DataFrame, logits: str = "logits", num_classes: int | None = None, label: str = "label") -> DataFrame:
+    """Every row with ``probs``, ``pred`` and ``reason``, scored once.
+
+    ``reason`` is null for good rows. It names unusable logits (missing, of the
+    wrong number, null or NaN) and, where there is a label column, labels that are
+    missing or out of range.
+    """
+    staged = _with_exps(df, logits, num_classes)
+    reason = F.when(F.col("_sum").isNull() | F.isnan("_sum"), "unusable logits")
+    if label in df.columns:
+        size = F.size(logits) if num_classes is None else F.lit(num_classes)
+        outside = (F.col(label) < 0) | (F.col(label) >= size)
+        reason = reason.when(F.col(label).isNull(), "no label").when(outside, "label out of range")
+    scored = _shares(staged.withColumn("reason", reason), num_classes, "probs")
+    return scored.withColumn("pred", argmax("probs"))
+
+
 def score_predictions(
     df: DataFrame, logits: str = "logits", num_classes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Adds ``probs`` and ``pred``; returns (scored, rejected) tables.
+    """(scored, rejected): ``scored_rows`` parted by its reason.
 
-    Rejected rows have no logits, the wrong number of them, or a null or NaN.
+    The two are separate queries; to use both, write ``scored_rows`` and filter it.
     """
-    staged = _with_exps(df, logits, num_classes)
-    bad = F.col("_sum").isNull() | F.isnan("_sum")
-    good = _shares(staged.filter(~bad), num_classes, "probs")
-    return good.withColumn("pred", argmax("probs")), staged.filter(bad).select(*df.columns)
+    rows = scored_rows(df, logits, num_classes)
+    good = rows.filter(F.col("reason").isNull()).drop("reason")
+    return good, rows.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")

@@ -24,12 +24,13 @@ def split_unknown(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def label_alphabetical(df: DataFrame, column: str = "class") -> DataFrame:
-    """Add ``label``: position of the class among the sorted distinct classes."""
-    classes = df.select(column).distinct()
+    """Add ``label``: position of the class among the sorted distinct classes; null
+    where there is no class."""
+    classes = df.select(column).filter(F.col(column).isNotNull()).distinct()
     local = evaluated_if_small(classes)
     if local is None:
         labels = global_index(classes, [column], name="label")
     else:
         rank = F.row_number().over(W.orderBy(column))
         labels = F.broadcast(local.withColumn("label", rank - 1))
-    return df.join(labels.withColumn("label", F.col("label").cast("int")), column)
+    return df.join(labels.withColumn("label", F.col("label").cast("int")), column, "left")

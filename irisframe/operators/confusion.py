@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: These labels appear in the tables as they are.
 OVERALL = "Overall (Weighted)"
 MEASURES = ("precision", "recall", "f1")
 VARIANTS = ("amd", "oct", "two_stream")
@@ -123,8 +124,12 @@ def confusion_matrix(preds: DataFrame, classes: Sequence | None = None) -> DataF
 
 
 def confusion_wide(matrix: DataFrame, classes: Sequence) -> DataFrame:
-    """One row per actual class and one column per predicted class."""
-    return matrix.groupBy("label").pivot("pred", list(classes)).agg(F.first("n"))
+    """One row per actual class, one column per declared class that was predicted,
+    and ``other`` for predictions that are not declared or missing."""
+    columns = [F.coalesce(F.sum(F.when(F.col("pred") == F.lit(c), F.col("n"))), F.lit(0)).alias(str(c)) for c in classes]
+    declared = F.coalesce(F.col("pred").isin(*classes), F.lit(False))
+    other = F.coalesce(F.sum(F.when(~declared, F.col("n"))), F.lit(0)).alias("other")
+    return matrix.groupBy("label").agg(*columns, other)
 
 
 def macro_weighted(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

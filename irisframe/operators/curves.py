@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan, range_bucket
+from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan
 
 
 def scores_from_probs(preds: DataFrame, *, keys: Sequence[str] = (), probs: str = "probs") -> DataFrame:
@@ -19,38 +19,69 @@ def scores_from_probs(preds: DataFrame, *, keys: Sequence[str] = (), probs: str
     return long.select(*keys, "class", "score", (F.col("label") == F.col("class")).alias("hit"))
 
 
-def scores_from_column(df: DataFrame, label: str, score: str, classes: Sequence) -> DataFrame:
-    """Long form for one score column judged against every declared class."""
-    each = F.explode(F.array(*[F.lit(c) for c in classes]))
-    long = df.select(F.col(label).alias("_label"), F.col(score).alias("score"), each.alias("class"))
-    return long.select("class", "score", (F.col("_label") == F.col("class")).alias("hit"))
+def _usable() -> Column:
+    return F.col("score").isNotNull() & ~F.isnan("score") & F.col("hit").isNotNull()
 
 
-def cumulative(
-    scores: DataFrame,
-    *,
-    keys: Sequence[str] = (),
-    rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Per distinct score: positives, negatives, and running TP / FP by falling score.
+def rejected_scores(scores: DataFrame) -> DataFrame:
+    """Rows that no curve counts, with a reason: no score, NaN, or no label."""
+    reason = F.when(F.col("score").isNull(), "no score").when(F.isnan("score"), "NaN score").otherwise("no label")
+    return scores.filter(~_usable()).withColumn("reason", reason)
+
+
+def cumulative(scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Per distinct score: positives, negatives, running TP / FP by falling score,
+    and the class totals ``p`` and ``q``.
 
     Equal scores are merged before anything is ordered, so a score shared by a
-    third of all rows is one row in the scan. ``rows``, the expected number of
-    score rows, saves a pass when the caller knows it.
+    third of all rows is one row in the scan. Null and NaN scores and null labels
+    are left out; ``rejected_scores`` names them.
     """
     group = [*keys, "class"]
     hit = F.col("hit").cast("long")
-    slim = scores.withColumn("_down", -F.col("score"))
-    # Cutting the pooled scores is enough: a class is in a bucket only in part.
-    bucket = range_bucket(slim, [], ["_down"], rows=rows, rows_per_bucket=rows_per_bucket)
+    slim = scores.withColumn("score", F.col("score").cast("double")).filter(_usable()).withColumn("_down", -F.col("score"))
     points = slim.groupBy(*group, "_down").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     ran = prefix_scan(
-        points, group, ["_down"], {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))}, bucket
+        points,
+        group,
+        ["_down"],
+        {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))},
+        rows_per_bucket=rows_per_bucket,
+        totals={"tp": "p", "fp": "q"},
     )
     return ran.withColumn("score", -F.col("_down")).drop("_down")
 
 
+def cumulative_from_column(
+    df: DataFrame, label: str, score: str, classes: Sequence, *, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """``cumulative`` for one score column judged against every declared class.
+
+    The order is the same for all classes: rows are merged by score and scanned
+    once with a counter per class, and only the result is spread over classes.
+    """
+    slim = df.select(F.col(label).alias("label"), F.col(score).cast("double").alias("score"))
+    slim = slim.withColumn("hit", F.col("label").isNotNull()).filter(_usable() & F.col("hit"))
+    counts = {f"_n{i}": F.count(F.when(F.col("label") == F.lit(c), 1)) for i, c in enumerate(classes)}
+    points = slim.groupBy((-F.col("score")).alias("_down")).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in counts.items()])
+    names = ["_n", *counts]
+    scans = {f"_r{n}": Scan("sum", F.col(n)) for n in names}
+    ran = prefix_scan(points, [], ["_down"], scans, rows_per_bucket=rows_per_bucket, totals={f"_r{n}": f"_t{n}" for n in names})
+    each = [
+        F.struct(
+            F.lit(c).alias("class"),
+            F.col(n).alias("pos"),
+            (F.col("_n") - F.col(n)).alias("neg"),
+            F.col(f"_r{n}").alias("tp"),
+            (F.col("_r_n") - F.col(f"_r{n}")).alias("fp"),
+            F.col(f"_t{n}").alias("p"),
+            (F.col("_t_n") - F.col(f"_t{n}")).alias("q"),
+        )
+        for n, c in zip(counts, classes)
+    ]
+    return ran.select((-F.col("_down")).alias("score"), F.inline(F.array(*each)))
+
+
 def curve_areas(running: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """AUC, average precision and support per class.
 
@@ -78,35 +109,30 @@ def macro_weighted_auc(areas: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return areas.groupBy(*keys).agg(*aggs) if keys else areas.agg(*aggs)
 
 
-def _with_totals(running: DataFrame, num_classes: int) -> DataFrame:
-    totals = running.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    # One row per declared class.
-    return running.join(F.broadcast(totals.limit(num_classes)), "class")
-
-
-def roc_points(running: DataFrame, num_classes: int) -> DataFrame:
+def roc_points(running: DataFrame) -> DataFrame:
     """(class, threshold, fpr, tpr) per distinct score, and the start (inf, 0, 0)."""
-    points = _with_totals(running, num_classes).select(
-        "class",
-        F.col("score").alias("threshold"),
-        F.try_divide(F.col("fp").cast("double"), F.col("q").cast("double")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("p").cast("double")).alias("tpr"),
-    )
-    return points.unionByName(_end_point(running, num_classes, fpr=0.0, tpr=0.0, threshold=float("inf")))
+    point = {
+        "threshold": F.col("score"),
+        "fpr": F.try_divide(F.col("fp").cast("double"), F.col("q").cast("double")),
+        "tpr": F.try_divide(F.col("tp").cast("double"), F.col("p").cast("double")),
+    }
+    return _with_end(running, point, {"threshold": float("inf"), "fpr": 0.0, "tpr": 0.0})
 
 
-def pr_points(running: DataFrame, num_classes: int) -> DataFrame:
+def pr_points(running: DataFrame) -> DataFrame:
     """(class, threshold, precision, recall) per distinct score, and the end (null, 1, 0)."""
-    points = _with_totals(running, num_classes).select(
-        "class",
-        F.col("score").alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).cast("double").alias("precision"),
-        F.try_divide(F.col("tp").cast("double"), F.col("p").cast("double")).alias("recall"),
-    )
-    return points.unionByName(_end_point(running, num_classes, precision=1.0, recall=0.0, threshold=None))
-
-
-def _end_point(running: DataFrame, num_classes: int, **values: float | None) -> DataFrame:
-    classes = running.groupBy("class").agg(F.lit(1).alias("_x")).limit(num_classes)
-    cols: list[Column] = [F.lit(v).cast("double").alias(k) for k, v in values.items()]
-    return classes.select("class", *cols)
+    point = {
+        "threshold": F.col("score"),
+        "precision": (F.col("tp") / (F.col("tp") + F.col("fp"))).cast("double"),
+        "recall": F.try_divide(F.col("tp").cast("double"), F.col("p").cast("double")),
+    }
+    return _with_end(running, point, {"threshold": None, "precision": 1.0, "recall": 0.0})
+
+
+def _with_end(running: DataFrame, point: dict[str, Column], end: dict[str, float | None]) -> DataFrame:
+    """A class's first row, known by its counts, also gives the curve's end."""
+    here = F.struct(*[c.alias(n) for n, c in point.items()])
+    beyond = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in end.items()])
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    rows = F.when(first, F.array(beyond, here)).otherwise(F.array(here))
+    return running.select("class", F.inline(rows))

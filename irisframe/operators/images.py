@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IMAGENET_MEAN, IMAGENET_STD, SPLITS, SYMMETRIC_MEAN, SYMMETRIC_STD
@@ -30,13 +30,31 @@ class Step:
     """A kernel on one (height, width, channel) float array.
 
     ``draws`` uniform numbers in [0, 1) are passed to it. With ``chance`` below
-    1, one more draw decides whether the step runs.
+    1, one more draw decides whether the step runs. ``channels``, if set, is the
+    only channel count it takes.
     """
 
     name: str
     kernel: Kernel
     draws: int = 0
     chance: float = 1.0
+    channels: int | None = None
+
+
+def _fault(steps: Sequence[Step], pixels: str, binary: bool) -> Column:
+    """Why an image cannot be processed; null if it can."""
+    size = F.octet_length(pixels) if binary else F.size(pixels)
+    shape = F.col("height") * F.col("width") * F.col("channels")
+    fault = F.when(F.col(pixels).isNull() | shape.isNull(), "no pixels").when(size != shape, "wrong size")
+    for count in {s.channels for s in steps if s.channels is not None}:
+        fault = fault.when(F.col("channels") != count, "wrong channel count")
+    return fault
+
+
+def rejected_images(df: DataFrame, steps: Sequence[Step], *, pixels: str = "data") -> DataFrame:
+    """Images that ``apply_steps`` leaves out, with a reason."""
+    fault = _fault(steps, pixels, dict(df.dtypes)[pixels] == "binary")
+    return df.withColumn("reason", fault).filter(F.col("reason").isNotNull())
 
 
 def apply_steps(
@@ -50,9 +68,12 @@ def apply_steps(
 ) -> DataFrame:
     """Apply ``steps``; replaces height, width, channels and adds ``px`` (flat floats).
 
-    ``pixels`` names the input column: 8-bit bytes, or an array of numbers.
+    ``pixels`` names the input column: 8-bit bytes, or an array of numbers. Steps
+    compute in floats and round nothing in between, unlike tools that hold 8-bit
+    pixels throughout. Images that do not fit are left out; ``rejected_images``
+    names them.
     """
-    drawn = df
+    drawn = df.filter(_fault(steps, pixels, dict(df.dtypes)[pixels] == "binary").isNull())
     spans = []
     at = 0
     for i, step in enumerate(steps):
@@ -235,7 +256,7 @@ def normalise(mean: Sequence[float], std: Sequence[float], scale: float = 255.0)
     def kernel(img, _):
         return (img / img.dtype.type(scale) - m.astype(img.dtype)) / s.astype(img.dtype)
 
-    return Step("normalise", kernel)
+    return Step("normalise", kernel, channels=len(m))
 
 
 def channels_first() -> Step:

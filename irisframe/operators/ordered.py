@@ -1,11 +1,14 @@
 """Running values and positions over an order too long for one task.
 
 A plain window over (group, order) sends a whole group through one task. Here
-the order is cut into buckets by a deterministic, order-preserving function of
-the row's own key. Each (group, bucket) is scanned on its own, bucket totals are
-prefix-scanned (groups x buckets rows), and the two parts are combined. The
-rows are shuffled once, by (group, bucket), however skewed the groups are; the
-join with the totals reuses that partitioning.
+the rows are cut into buckets that follow the order: either a fixed function of
+the row's own key, or ranges that Spark draws when it sorts the table. Each
+(group, bucket) is scanned on its own, bucket totals are prefix-scanned (groups +
+buckets rows), and the two parts are combined.
+
+Ranges are written to the shared scratch folder once, so that every later use
+sees the same buckets, also after an executor is lost. Nulls order first and a
+null group is a group like any other, whatever the number of buckets.
 """
 
 from __future__ import annotations
@@ -17,18 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 16
-NESTED_BOUNDS = 32
 
 
 @dataclass(frozen=True)
 class Scan:
     """One running value: ``kind`` is sum, max or min of ``value``.
 
-    ``inclusive`` says whether a row sees itself. Group keys must not be null
-    and the order must be unique within a group.
+    ``inclusive`` says whether a row sees itself. The order must be unique
+    within a group.
     """
 
     kind: str
@@ -44,85 +46,19 @@ class Scan:
         return (F.greatest if self.kind == "max" else F.least)(a, b)
 
 
-def range_bucket(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    *,
-    rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-    seed: int = 7,
-) -> Column | None:
-    """A bucket number that never falls along ``order`` inside a group and keeps
-    every (group, bucket) near ``rows_per_bucket``, or None if no group needs it.
-
-    Only groups that span several buckets are cut. ``rows`` saves the counting
-    pass; an estimate is enough, as it only sets how many buckets there are. The
-    bounds come from a small sample taken once; afterwards the bucket is a fixed
-    function of the row, so recomputing a lost partition cannot move rows. Keys
-    must be integers, doubles or strings.
-    """
-    keys = [*group, *order]
-    slim = df.select(*keys)
-    rows = slim.count() if rows is None else rows
-    buckets = min(max_buckets, -(-rows // rows_per_bucket))
-    if buckets <= 1:
-        return None
-    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
-    # About buckets * SAMPLES_PER_BUCKET rows, whatever the table size.
-    sample = sorted(tuple(r.values()) for r in slim.sample(fraction, seed).toArrow().to_pylist())
-    step = max(1, len(sample) // buckets)
-    bounds = sorted(set(sample[step::step]))[: max_buckets - 1]
-    cut: dict[tuple, list[tuple]] = {}
-    for bound in bounds:
-        cut.setdefault(bound[: len(group)], []).append(bound)
-    # A group with a single bound has at most about two buckets' rows.
-    large = {g: found for g, found in cut.items() if not group or len(found) > 1}
-    if not large:
-        return None
-    kept = [bound for found in large.values() for bound in found]
-    number = position_among(df, keys, kept)
-    if len(group) == 1:
-        number = F.when(F.col(group[0]).isin([g[0] for g in large]), number).otherwise(0)
-    # Never null, so a join on it needs no null check that computes it again.
-    return F.coalesce(number, F.lit(0))
-
-
-def position_among(df: DataFrame, keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """How many of the sorted ``bounds`` are <= the row's keys.
-
-    A few bounds become nested conditions, which compile into the stage; more of
-    them a binary search over constant arrays, one per key.
+def range_cut(df: DataFrame, keys: Sequence[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` with ``_bucket``, a number that never falls along ``keys``.
+
+    The number of buckets grows with the rows and has no ceiling. All columns of
+    ``df`` move once and are stored, so it should be slim: keys and values, with
+    wide payload joined to the result by key.
     """
-    types = [df.schema[k].dataType for k in keys]
-
-    def reached(values: Sequence[Column]) -> Column:
-        result = None
-        for key, value in reversed(list(zip(keys, values))):
-            col = F.col(key)
-            result = col >= value if result is None else (col > value) | ((col == value) & result)
-        return result
-
-    def literals(bound: tuple) -> list[Column]:
-        return [F.lit(v).cast(t) for v, t in zip(bound, types)]
-
-    def nested(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(reached(literals(bounds[mid])), nested(mid + 1, high)).otherwise(nested(low, mid))
-
-    if len(bounds) <= NESTED_BOUNDS:
-        return nested(0, len(bounds))
-    arrays = [F.array(*column) for column in zip(*[literals(b) for b in bounds])]
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    inside = lambda at: (at <= len(bounds)) & reached([F.get(a, at - 1) for a in arrays])
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, s: F.when(inside(pos + s), pos + s).otherwise(pos),
-    )
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_bucket))
+    path = scratch_dir(spark, "ordered")
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_bucket", F.spark_partition_id())
+    ranged.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
 
 
 def prefix_scan(
@@ -132,34 +68,38 @@ def prefix_scan(
     scans: Mapping[str, Scan],
     bucket: Column | None = None,
     *,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
     keep_bucket: bool = False,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running values over ``order`` within ``group``.
 
-    With ``bucket`` None this is one ordinary window. Otherwise ``bucket`` must
-    not decrease along the order inside a group. ``keep_bucket`` leaves it in
-    the result as ``_bucket``; passed back in as ``F.col("_bucket")``, a further
-    scan reuses the partitioning.
+    ``bucket`` must not decrease along the order inside a group; without it the
+    rows are cut into ranges. ``keep_bucket`` leaves it in the result as
+    ``_bucket``; passed back in as ``F.col("_bucket")``, a further scan reuses
+    it. ``totals`` names columns for the whole group's value of some scans.
     """
     if bucket is None:
-        window = W.partitionBy(*group).orderBy(*order)
-        return df.withColumns({n: s.over(s.value).over(_frame(window, s)) for n, s in scans.items()})
-
-    tagged = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
-    totals = tagged.groupBy(*keys).agg(*[s.over(s.value).alias(f"_t_{n}") for n, s in scans.items()])
-    earlier = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, *[s.over(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, s in scans.items()]
+        df, bucket = range_cut(df, [*group, *order], rows_per_bucket=rows_per_bucket), F.col("_bucket")
+    # A struct is never null, so a null group needs no special join.
+    tagged = df.withColumn("_bucket", bucket).withColumn("_group", F.struct(*[F.col(g) for g in group]) if group else F.lit(0))
+    keys = ["_group", "_bucket"]
+    sums = tagged.groupBy(*keys).agg(*[s.over(s.value).alias(f"_t_{n}") for n, s in scans.items()])
+    earlier = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("_group")
+    carried = sums.select(
+        *keys,
+        *[s.over(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, s in scans.items()],
+        *[scans[n].over(F.col(f"_t_{n}")).over(whole).alias(name) for n, name in (totals or {}).items()],
     )
     inner = W.partitionBy(*keys).orderBy(*order)
     local = tagged.withColumns({n: s.over(s.value).over(_frame(inner, s)) for n, s in scans.items()})
     # The merge hint keeps the (group, bucket) partitioning and sort of `local`,
     # so only the totals move.
     joined = local.join(carried.hint("merge"), keys)
-    return joined.withColumns(
-        {n: s.combine(F.col(n), F.col(f"_c_{n}")) for n, s in scans.items()}
-    ).drop(*([] if keep_bucket else ["_bucket"]), *[f"_c_{n}" for n in scans])
+    return joined.withColumns({n: s.combine(F.col(n), F.col(f"_c_{n}")) for n, s in scans.items()}).drop(
+        "_group", *([] if keep_bucket else ["_bucket"]), *[f"_c_{n}" for n in scans]
+    )
 
 
 def global_index(
@@ -169,13 +109,11 @@ def global_index(
     group: Sequence[str] = (),
     bucket: Column | None = None,
     name: str = "idx",
-    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Dense zero-based position along ``order`` (within ``group`` when given)."""
-    if bucket is None:
-        bucket = range_bucket(df, group, order, rows=rows, rows_per_bucket=rows_per_bucket)
-    counted = prefix_scan(df, group, order, {name: Scan("sum", F.lit(1).cast("long"))}, bucket)
+    scans = {name: Scan("sum", F.lit(1).cast("long"))}
+    counted = prefix_scan(df, group, order, scans, bucket, rows_per_bucket=rows_per_bucket)
     return counted.withColumn(name, F.col(name) - 1)
 
 

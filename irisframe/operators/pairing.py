@@ -9,13 +9,14 @@ from ..config import SPLITS
 from ..functions.hashing import hash_int, seeded_hash
 from ..functions.paths import synthetic_number
 from .ordered import ROWS_PER_BUCKET, global_index
+from .small import checked_broadcast
 
 
 def with_position(
-    df: DataFrame, path: str, *, rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, path: str, *, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add ``idx``, the zero-based position in path order."""
-    return global_index(df, [path], rows=rows, rows_per_bucket=rows_per_bucket)
+    return global_index(df, [path], rows_per_bucket=rows_per_bucket)
 
 
 def _numbered(synthetic: DataFrame, domain: str, path: str) -> DataFrame:
@@ -77,9 +78,10 @@ def pair_unpaired(
         (F.col("id") % nx).alias("_xi"),
         (hash_int(seeded_hash(seed, epoch, F.col("id"))) % ny).alias("_yi"),
     )
-    xs = with_position(x.select(x_path), x_path, rows=nx).withColumnRenamed("idx", "_xi")
-    ys = with_position(y.select(y_path), y_path, rows=ny).withColumnRenamed("idx", "_yi")
-    return rows.join(xs, "_xi").join(ys, "_yi").select("i", x_path, y_path)
+    xs = with_position(x.select(x_path), x_path).withColumnRenamed("idx", "_xi")
+    ys = with_position(y.select(y_path), y_path).withColumnRenamed("idx", "_yi")
+    # Few positions on a side would draw all rows to them: it is broadcast if small.
+    return rows.join(checked_broadcast(xs), "_xi").join(checked_broadcast(ys), "_yi").select("i", x_path, y_path)
 
 
 def self_pair(df: DataFrame, column: str) -> DataFrame:

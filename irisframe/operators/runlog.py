@@ -8,33 +8,36 @@ strict records of the running maximum, found in parallel first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EARLY_STOP_PATIENCE, PLATEAU, PlateauSettings
-from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan, range_bucket
+from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan
 
 
 def _log(df: DataFrame, run: str, epoch: str, value: str, mode: str) -> DataFrame:
+    """run, epoch, score (larger is better) and rank: the score where it can
+    improve on another, null where it is NaN or missing."""
     if mode not in ("max", "min"):
         raise ValueError(f"mode must be max or min, not {mode!r}")
     v = F.col(value).cast("double")
     score = v if mode == "max" else -v
-    return df.select(F.col(run).alias("run"), F.col(epoch).alias("epoch"), score.alias("score"))
+    log = df.select(F.col(run).alias("run"), F.col(epoch).alias("epoch"), score.alias("score"))
+    return log.withColumn("rank", F.when(~F.isnan("score"), F.col("score")))
 
 
-def _scored(df: DataFrame, run: str, epoch: str, value: str, mode: str, rows_per_bucket: int):
-    log = _log(df, run, epoch, value, mode)
-    bucket = range_bucket(log, ["run"], ["epoch"], rows_per_bucket=rows_per_bucket)
+def _scored(df: DataFrame, run: str, epoch: str, value: str, mode: str, rows_per_bucket: int) -> DataFrame:
+    """The log with each row's position, the best rank before it, the run's length
+    ``n``, and ``_bucket`` for further scans."""
     scans = {
         "pos": Scan("sum", F.lit(1).cast("long")),
-        "before": Scan("max", F.col("score"), inclusive=False),
+        "before": Scan("max", F.col("rank"), inclusive=False),
     }
-    out = prefix_scan(log, ["run"], ["epoch"], scans, bucket, keep_bucket=True)
-    return out, None if bucket is None else F.col("_bucket")
+    log = _log(df, run, epoch, value, mode)
+    return prefix_scan(log, ["run"], ["epoch"], scans, rows_per_bucket=rows_per_bucket, keep_bucket=True, totals={"pos": "n"})
 
 
 def best_so_far(
@@ -50,9 +53,10 @@ def best_so_far(
     """Per epoch: best value up to it and whether it strictly improved.
 
     ``initial`` is the best value before the first epoch: 0 by default in max
-    mode (accuracies), infinity in min mode (losses).
+    mode (accuracies), infinity in min mode (losses). A NaN or missing value
+    never improves.
     """
-    scored, _ = _scored(df, run, epoch, value, mode, rows_per_bucket)
+    scored = _scored(df, run, epoch, value, mode, rows_per_bucket)
     sign = 1.0 if mode == "max" else -1.0
     if initial is None:
         initial = 0.0 if mode == "max" else float("inf")
@@ -62,8 +66,8 @@ def best_so_far(
         F.col("run").alias(run),
         F.col("epoch").alias(epoch),
         (F.col("score") * sign).alias("value"),
-        (F.greatest(before, F.col("score")) * sign).alias("best"),
-        (F.col("score") > before).alias("improved"),
+        (F.greatest(before, F.col("rank")) * sign).alias("best"),
+        F.coalesce(F.col("rank") > before, F.lit(False)).alias("improved"),
     )
 
 
@@ -81,29 +85,43 @@ def early_stop(
     """Per run: best value, final counter, and the epoch it stopped at (null if not).
 
     Epochs after the stop are ignored. The first value sets the best; later
-    ones improve only beyond ``delta``.
+    ones improve only beyond ``delta``. NaN and missing values never improve, and
+    nothing improves on a first value of that kind.
     """
     if delta < 0:
         raise ValueError("delta must not be negative")
-    scored, bucket = _scored(df, run, epoch, value, mode, rows_per_bucket)
-    if delta == 0:
-        out = _stop_by_records(scored, bucket, patience)
-    else:
-        out = _stop_by_fold(scored, _lengths(df, run), delta, patience)
+    scored = _scored(df, run, epoch, value, mode, rows_per_bucket)
+    out = _stop_by_records(scored, patience) if delta == 0 else _stop_by_fold(scored, delta, patience)
+    # A run that starts without a usable score keeps it as its best for ever.
+    hopeless = F.col("first.rank").isNull()
     sign = 1.0 if mode == "max" else -1.0
     return out.select(
         F.col("run").alias(run),
-        (F.col("best") * sign).alias("best"),
-        F.col("counter").cast("long").alias("counter"),
-        F.col("stop_epoch"),
+        (F.when(hopeless, F.col("first.score")).otherwise(F.col("best")) * sign).alias("best"),
+        F.when(hopeless, F.least(F.col("n") - 1, F.lit(patience))).otherwise(F.col("counter")).cast("long").alias("counter"),
+        F.when(hopeless, F.col("idle_end")).otherwise(F.col("stop_epoch")).alias("stop_epoch"),
     )
 
 
-def _stop_by_records(scored: DataFrame, bucket, patience: int) -> DataFrame:
+def _firsts(patience: int) -> list[Column]:
+    """Aggregates per run: its first row, length, and the epoch where a run without
+    any improvement ends."""
+    first = F.when(F.col("pos") == 1, F.struct("score", "rank"))
+    return [
+        F.first(first, ignorenulls=True).alias("first"),
+        F.max("n").alias("n"),
+        F.max(F.when(F.col("pos") == 1 + patience, F.col("epoch"))).alias("idle_end"),
+    ]
+
+
+def _records() -> Column:
+    return F.col("rank").isNotNull() & ((F.col("pos") == 1) | (F.col("rank") > F.col("before")))
+
+
+def _stop_by_records(scored: DataFrame, patience: int) -> DataFrame:
     """With delta 0 improvements are exactly the strict records: no sequential part."""
-    new = F.col("before").isNull() | (F.col("score") > F.col("before"))
-    flagged = scored.withColumn("record_pos", F.when(new, F.col("pos")))
-    last = prefix_scan(flagged, ["run"], ["epoch"], {"last": Scan("max", F.col("record_pos"))}, bucket)
+    flagged = scored.withColumn("record_pos", F.when(_records(), F.col("pos")))
+    last = prefix_scan(flagged, ["run"], ["epoch"], {"last": Scan("max", F.col("record_pos"))}, F.col("_bucket"))
     waiting = last.withColumn("idle", F.col("pos") - F.col("last"))
     # Positions are unique in a run, so these pick one row each.
     hit = F.col("idle") == patience
@@ -113,17 +131,14 @@ def _stop_by_records(scored: DataFrame, bucket, patience: int) -> DataFrame:
             F.min(F.when(hit, F.col("pos"))).alias("stop_pos"),
             F.min_by("epoch", F.when(hit, F.col("pos"))).alias("stop_epoch"),
             F.min_by("before", F.when(hit, F.col("pos"))).alias("stop_best"),
-            F.max("score").alias("top"),
-            F.max("pos").alias("n"),
+            F.max("rank").alias("top"),
             F.max("last").alias("last_record"),
+            *_firsts(patience),
         )
-        .select(
-            "run",
-            F.coalesce("stop_best", "top").alias("best"),
-            F.when(F.col("stop_pos").isNotNull(), F.lit(patience))
-            .otherwise(F.col("n") - F.col("last_record"))
-            .alias("counter"),
-            "stop_epoch",
+        .withColumn("best", F.coalesce("stop_best", "top"))
+        .withColumn(
+            "counter",
+            F.when(F.col("stop_pos").isNotNull(), F.lit(patience)).otherwise(F.col("n") - F.col("last_record")),
         )
     )
 
@@ -135,9 +150,10 @@ def fold_improvements(
 
     The rule is sequential, so a run's candidates pass through one task. There
     they arrive sorted and are consumed as a stream: memory holds one Arrow
-    batch and one run's state, never a whole run. Per run it reports the best value and position
-    at the first gap of ``patience`` rows without improvement (``at_*``), the
-    final ones, and how many whole ``patience``-row waits were completed.
+    batch and one run's state, never a whole run. Per run it reports the best
+    value and position at the first gap of ``patience`` rows without improvement
+    (``at_*``), the final ones, and how many whole ``patience``-row waits were
+    completed, also before the first candidate.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +164,7 @@ def fold_improvements(
                 if state is None or state[0] != run:
                     if state is not None:
                         done.append(state)
-                    state = [run, score, pos, 0, None, None]
+                    state = [run, score, pos, (pos - 1) // patience, None, None]
                 elif improves(score, state[1]):
                     waits = (pos - state[2] - 1) // patience
                     if waits and state[5] is None:
@@ -170,32 +186,30 @@ def _frame(rows: list[list]) -> pd.DataFrame:
     return pdf.astype({"at_best": "float64", "at_pos": "Int64"})
 
 
-def _lengths(df: DataFrame, run: str) -> DataFrame:
-    return df.groupBy(F.col(run).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _stop_by_fold(scored: DataFrame, sizes: DataFrame, delta: float, patience: int) -> DataFrame:
+def _stop_by_fold(scored: DataFrame, delta: float, patience: int) -> DataFrame:
     """With delta > 0 an improvement is still a strict record, but not every
     record is one: walk the records only."""
-    new = F.col("before").isNull() | (F.col("score") > F.col("before"))
-    walked = fold_improvements(scored.filter(new), lambda s, best: s > best + delta, patience)
-    ended = walked.join(sizes, "run").withColumn(
+    walked = fold_improvements(
+        scored.filter(_records()).select("run", "pos", F.col("rank").alias("score")), lambda s, best: s > best + delta, patience
+    ).withColumnRenamed("run", "_run")
+    runs = scored.groupBy("run").agg(*_firsts(patience))
+    ended = runs.join(walked, F.col("run").eqNullSafe(F.col("_run")), "left").withColumn(
         "wait_from",
-        F.when(F.col("at_pos").isNotNull(), F.col("at_pos")).when(
-            F.col("n") - F.col("pos") >= patience, F.col("pos")
-        ),
+        F.when(F.col("at_pos").isNotNull(), F.col("at_pos")).when(F.col("n") - F.col("pos") >= patience, F.col("pos")),
     )
     stops = ended.select(
-        "run",
+        F.col("run").alias("_run"),
+        "first",
+        "n",
+        "idle_end",
         F.coalesce("at_best", "best").alias("best"),
-        F.when(F.col("wait_from").isNotNull(), F.lit(patience))
-        .otherwise(F.col("n") - F.col("pos"))
-        .alias("counter"),
-        (F.col("wait_from") + patience).alias("pos"),
+        F.when(F.col("wait_from").isNotNull(), F.lit(patience)).otherwise(F.col("n") - F.col("pos")).alias("counter"),
+        (F.col("wait_from") + patience).alias("_pos"),
     )
     # (run, pos) is unique, so this join spreads even a dominant run evenly.
     named = scored.select("run", "pos", F.col("epoch").alias("stop_epoch"))
-    return stops.join(named, ["run", "pos"], "left")
+    same = F.col("_run").eqNullSafe(F.col("run")) & (F.col("_pos") == F.col("pos"))
+    return stops.join(named, same, "left").drop("run").withColumnRenamed("_run", "run")
 
 
 def plateau_rate(
@@ -210,24 +224,29 @@ def plateau_rate(
     """Per run: best value, number of rate cuts and the final rate (max mode).
 
     The rate is cut after more than ``patience`` epochs in a row without a
-    relative gain of ``threshold``; the count then starts again.
+    relative gain of ``threshold``; the count then starts again. NaN and missing
+    values are epochs without gain; a run of them alone has a best of -infinity.
     """
-    scored, _ = _scored(df, run, epoch, value, "max", rows_per_bucket)
+    scored = _scored(df, run, epoch, value, "max", rows_per_bucket)
     # While the best is positive only strict records can improve on it. Up to
-    # the first positive value every row stays a candidate.
+    # the first positive value every row with a score stays a candidate.
     before = F.col("before")
-    may = before.isNull() | (F.col("score") > before) | (before <= 0)
+    may = F.col("rank").isNotNull() & (before.isNull() | (F.col("rank") > before) | (before <= 0))
     gain = 1.0 + settings.threshold
     cycle = settings.patience + 1
-    walked = fold_improvements(scored.filter(may), lambda s, best: s > best * gain, cycle)
-    cuts = F.col("waits") + F.floor((F.col("n") - F.col("pos")) / cycle)
+    walked = fold_improvements(
+        scored.filter(may).select("run", "pos", F.col("rank").alias("score")), lambda s, best: s > best * gain, cycle
+    ).withColumnRenamed("run", "_run")
+    runs = scored.groupBy("run").agg(F.max("n").alias("n"))
+    since = F.col("n") - F.coalesce("pos", F.lit(0))
+    cuts = F.coalesce("waits", F.lit(0)) + F.floor(since / cycle)
     rate = F.lit(settings.initial_rate) * F.pow(F.lit(settings.factor), F.col("cuts"))
     return (
-        walked.join(_lengths(df, run), "run")
+        runs.join(walked, F.col("run").eqNullSafe(F.col("_run")), "left")
         .withColumn("cuts", cuts)
         .select(
             F.col("run").alias(run),
-            "best",
+            F.coalesce("best", F.lit(float("-inf"))).alias("best"),
             F.col("cuts").cast("long").alias("cuts"),
             F.greatest(rate, F.lit(settings.floor)).alias("rate"),
             F.col("n").alias("epochs"),
@@ -236,10 +255,11 @@ def plateau_rate(
 
 
 def best_epoch(df: DataFrame, run: str, epoch: str, value: str, *, mode: str = "max") -> DataFrame:
-    """Per run: best value and its first epoch, and the last epoch with its value."""
+    """Per run: best value and its first epoch, and the last epoch with its value.
+    NaN and missing values are never best; a run of them alone has none."""
     log = _log(df, run, epoch, value, mode)
     sign = 1.0 if mode == "max" else -1.0
-    first_best = F.struct(F.col("score"), (-F.col("epoch")).alias("neg_epoch"))
+    first_best = F.when(F.col("rank").isNotNull(), F.struct("rank", (-F.col("epoch")).alias("neg_epoch")))
     return log.groupBy("run").agg(
         F.max(first_best).alias("_b"),
         F.max("epoch").alias("last_epoch"),
@@ -247,7 +267,7 @@ def best_epoch(df: DataFrame, run: str, epoch: str, value: str, *, mode: str = "
         F.count(F.lit(1)).alias("epochs"),
     ).select(
         F.col("run").alias(run),
-        (F.col("_b")["score"] * sign).alias("best"),
+        (F.col("_b")["rank"] * sign).alias("best"),
         (-F.col("_b")["neg_epoch"]).alias("best_epoch"),
         "last_epoch",
         (F.col("_l") * sign).alias("last_value"),
@@ -260,11 +280,12 @@ def with_phase(df: DataFrame, epoch: str, unfreeze_at: int) -> DataFrame:
     return df.withColumn("phase", F.when(F.col(epoch) >= unfreeze_at, "full").otherwise("head"))
 
 
-def minutes_per_run(df: DataFrame, run: str, ts: str) -> DataFrame:
-    """Elapsed minutes between a run's first and last log time."""
+def minutes_per_run(df: DataFrame, keys: str | Sequence[str], ts: str) -> DataFrame:
+    """Elapsed minutes between the first and last log time of each run, or of each
+    (run, epoch) or other list of keys."""
     # An interval, taken apart: the same for either timestamp type and any
     # session time zone.
     span = f"(max({ts}) - min({ts}))"
     parts = (("DAY", "* 1440"), ("HOUR", "* 60"), ("MINUTE", ""), ("SECOND", "/ 60D"))
     minutes = " + ".join(f"extract({unit} FROM {span}) {scale}" for unit, scale in parts)
-    return df.groupBy(run).agg(F.expr(f"cast({minutes} as double)").alias("minutes"))
+    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(F.expr(f"cast({minutes} as double)").alias("minutes"))

@@ -18,11 +18,22 @@ from .ordered import global_index
 from .small import checked_broadcast
 
 
+ROWS_PER_PREFIX = 100_000
+
+
 def ceil_percent(n: Column, percent: int) -> Column:
     """ceil(n * percent / 100) in integers."""
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
+def prefix_digits(df: DataFrame) -> int:
+    """Hex digits that cut the rows' hashes into buckets of a bounded size."""
+    rows, digits = df.count(), 1
+    while rows > ROWS_PER_PREFIX * 16**digits:
+        digits += 1
+    return digits
+
+
 def rank_cuts(
     df: DataFrame,
     group: str,
@@ -95,19 +106,21 @@ def holdout(
 ) -> DataFrame:
     """Add ``split`` (test/val/train), exact per class.
 
-    test = ceil(15 % of the class), val = ceil(20 % of the rest). The input rows
-    themselves never move, so image content can ride along.
+    test = ceil(15 % of the class), val = ceil(20 % of the rest). Rows without a
+    class get the split "quarantine". The input rows themselves never move, so
+    image content can ride along.
     """
     n = F.col("n")
     test = ceil_percent(n, settings.test_percent)
     targets = {"_test_cut": test}
     if with_val:
         targets["_val_cut"] = test + ceil_percent(n - test, settings.val_percent)
-    cuts = checked_broadcast(rank_cuts(df, group, row_id, targets, seed=settings.seed))
-    split = F.when(_below("_test_cut", row_id, settings.seed), "test")
+    known = df.filter(F.col(group).isNotNull())
+    cuts = checked_broadcast(rank_cuts(known, group, row_id, targets, seed=settings.seed))
+    split = F.when(F.col(group).isNull(), "quarantine").when(_below("_test_cut", row_id, settings.seed), "test")
     if with_val:
         split = split.when(_below("_val_cut", row_id, settings.seed), "val")
-    return df.join(cuts, group).withColumn("split", split.otherwise("train")).drop(*targets)
+    return df.join(cuts, group, "left").withColumn("split", split.otherwise("train")).drop(*targets)
 
 
 def holdout_with_external_val(
@@ -135,18 +148,19 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold``: position in (class, hash) order modulo k.
 
-    Class counts per fold and fold totals each differ by at most one.
+    Class counts per fold and fold totals each differ by at most one. Rows without
+    a class get a null fold.
     """
     keyed = df.withColumn("_h", seeded_hash(settings.seed, F.col(row_id)))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     # One row per class, so a single ordered window is enough.
     earlier = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     placed = global_index(
-        keyed, ["_h", row_id], group=[group], bucket=hash_prefix(F.col("_h")), name="_i"
+        keyed, ["_h", row_id], group=[group], bucket=hash_prefix(F.col("_h"), prefix_digits(df)), name="_i"
     )
     fold = ((F.col("_off") + F.col("_i")) % settings.folds).cast("int")
-    return placed.join(checked_broadcast(offsets), group).withColumn("fold", fold).drop("_h", "_i", "_off")
+    return placed.join(checked_broadcast(offsets), group, "left").withColumn("fold", fold).drop("_h", "_i", "_off")
 
 
 def fold_roles(df: DataFrame, folds: int = SPLITS.folds) -> DataFrame:
@@ -164,7 +178,7 @@ def fold_parts(df: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
 def shuffled(df: DataFrame, row_id: str, *, seed: int = SPLITS.seed, epoch: int = 0) -> DataFrame:
     """Add ``idx``, the row's position in that epoch's seeded shuffle."""
     keyed = df.withColumn("_h", seeded_hash(seed, epoch, F.col(row_id)))
-    bucket = hash_prefix(F.col("_h"))
+    bucket = hash_prefix(F.col("_h"), prefix_digits(df))
     return global_index(keyed, ["_h", row_id], bucket=bucket).drop("_h")
 
 

@@ -103,7 +103,7 @@ PLACED = "x AS (SELECT doc_id, path AS real_path, row_number() OVER (ORDER BY pa
 
 def _u(tag: str, seed: str = "42:1") -> str:
     """A seeded draw for one image."""
-    return f"(('0x' || substr(md5('{seed}:' || vec_id || ':{tag}'), 1, 8))::bigint / 4294967296.0::double)"
+    return f"(('0x' || substr(md5('{seed}:' || vec_id || ':{tag}'), 1, 15))::bigint / 1152921504606846976.0::double)"
 
 
 IMG = "i AS (SELECT vec_id, list_transform(embedding, lambda v: v::double) AS px FROM embeddings)"
@@ -162,41 +162,58 @@ def _mae(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: abs(x[1] - x[2]))) / 64"
 
 
-def _best(mode: str) -> str:
+#: Every 7th event has NaN for its value. DuckDB orders NaN above all numbers, as
+#: Spark does, so each comparison is guarded.
+NAN_EVENTS = "(SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN 'nan'::double ELSE value END AS value) FROM events)"
+
+
+def _best(mode: str, source: str = "events") -> str:
     worst, pick, sign = ("0", "max", ">") if mode == "max" else ("'inf'::double", "min", "<")
     fold = "greatest" if mode == "max" else "least"
-    return f"""WITH h AS (SELECT user_id, event_id, value, {fold}({worst}, coalesce({pick}(value) OVER (
+    usable = "CASE WHEN NOT isnan(value) THEN value END"
+    return f"""WITH h AS (SELECT user_id, event_id, value, {usable} AS v, {fold}({worst}, coalesce({pick}({usable}) OVER (
   PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {worst})) AS before
-  FROM events)
-SELECT user_id, event_id, value, {fold}(before, value) AS best, value {sign} before AS improved FROM h"""
+  FROM {source})
+SELECT user_id, event_id, value, {fold}(before, coalesce(v, before)) AS best, coalesce(v {sign} before, false) AS improved FROM h"""
 
 
-def _early_stop(sign: int, delta: float, patience: int) -> str:
+def _early_stop(sign: int, delta: float, patience: int, source: str = "events") -> str:
+    better = f"(NOT isnan(o.v) AND NOT isnan(w.best) AND o.v > w.best + {delta})"
     return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, {sign} * value AS v,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {source}),
 w AS (SELECT user_id, k, v AS best, 0 AS counter, NULL::bigint AS stop_epoch FROM o WHERE k = 1
   UNION ALL
-  SELECT o.user_id, o.k, CASE WHEN o.v > w.best + {delta} THEN o.v ELSE w.best END,
-    CASE WHEN o.v > w.best + {delta} THEN 0 ELSE w.counter + 1 END,
-    CASE WHEN NOT o.v > w.best + {delta} AND w.counter + 1 >= {patience} THEN o.event_id END
+  SELECT o.user_id, o.k, CASE WHEN {better} THEN o.v ELSE w.best END,
+    CASE WHEN {better} THEN 0 ELSE w.counter + 1 END,
+    CASE WHEN NOT {better} AND w.counter + 1 >= {patience} THEN o.event_id END
   FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1 WHERE w.stop_epoch IS NULL)
 SELECT user_id, {sign} * arg_max(best, k) AS best, arg_max(counter, k)::bigint AS counter,
   max(stop_epoch) AS stop_epoch FROM w GROUP BY user_id"""
 
 
-PLATEAU = """WITH RECURSIVE o AS (SELECT user_id, value AS v,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-w AS (SELECT user_id, k, v AS best, 0 AS bad, 0 AS cuts, 0.0001::double AS rate FROM o WHERE k = 1
+def _plateau(source: str = "events") -> str:
+    better = "(NOT isnan(o.v) AND o.v > w.best * 1.0001::double)"
+    return f"""WITH RECURSIVE o AS (SELECT user_id, value AS v,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {source}),
+w AS (SELECT DISTINCT user_id, 0::bigint AS k, '-inf'::double AS best, 0 AS bad, 0 AS cuts, 0.0001::double AS rate FROM o
   UNION ALL
-  SELECT o.user_id, o.k, CASE WHEN o.v > w.best * 1.0001::double THEN o.v ELSE w.best END,
-    CASE WHEN o.v > w.best * 1.0001::double THEN 0 WHEN w.bad + 1 > 3 THEN 0 ELSE w.bad + 1 END,
-    CASE WHEN NOT o.v > w.best * 1.0001::double AND w.bad + 1 > 3 THEN w.cuts + 1 ELSE w.cuts END,
-    CASE WHEN NOT o.v > w.best * 1.0001::double AND w.bad + 1 > 3
-      THEN greatest(w.rate * 0.5, 0.000001::double) ELSE w.rate END
+  SELECT o.user_id, o.k, CASE WHEN {better} THEN o.v ELSE w.best END,
+    CASE WHEN {better} THEN 0 WHEN w.bad + 1 > 3 THEN 0 ELSE w.bad + 1 END,
+    CASE WHEN NOT {better} AND w.bad + 1 > 3 THEN w.cuts + 1 ELSE w.cuts END,
+    CASE WHEN NOT {better} AND w.bad + 1 > 3 THEN greatest(w.rate * 0.5, 0.000001::double) ELSE w.rate END
   FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
 SELECT user_id, arg_max(best, k) AS best, arg_max(cuts, k)::bigint AS cuts,
   round(arg_max(rate, k), 9) AS rate, max(k) AS epochs FROM w GROUP BY user_id"""
 
+
+#: Documents that have a class.
+CLASSED = "(SELECT doc_id, lang FROM documents WHERE doc_id % 5 > 0)"
+
+
+def _grouped_index(group: str) -> str:
+    return f"SELECT event_id, grp, row_number() OVER (PARTITION BY grp ORDER BY event_id) - 1 AS idx FROM (SELECT event_id, {group} AS grp FROM events)"
+
+
 _CV = f"""WITH {PRED}, pf AS ({_folds('p', 'vec_id, label, pred, probs', 'vec_id', 'label')}),
 ks AS (SELECT DISTINCT fold, unnest([label, pred]) AS class FROM pf),
 c AS (SELECT ks.fold, class, count(*) FILTER (WHERE label = class) AS support,
@@ -331,7 +348,7 @@ ys AS (SELECT synthetic_path AS y_path, row_number() OVER (ORDER BY synthetic_pa
   count(*) OVER () AS n FROM y),
 t AS (SELECT unnest(range(greatest((SELECT count(*) FROM xs), (SELECT count(*) FROM ys)))) AS i)
 SELECT i, x_path, y_path FROM t JOIN xs ON xs.k = i % xs.n
-JOIN ys ON ys.k = ('0x' || substr(md5('42:1:' || i), 1, 8))::bigint % ys.n""",
+JOIN ys ON ys.k = ('0x' || substr(md5('42:1:' || i), 1, 15))::bigint % ys.n""",
         "pair_self": f"WITH {SYNTHETIC} SELECT vec_id, synthetic_path AS real, synthetic_path AS synthetic FROM y",
         "resume_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "resume_by_position": "SELECT doc_id, idx FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx "
@@ -417,7 +434,40 @@ SELECT vec_id, {_r6('loss_gan + 10 * loss_cycle + 5 * loss_identity', 'total_los
         "early_stop": _early_stop(1, 0, 6),
         "early_stop_delta": _early_stop(-1, 0.5, 4),
         "stream_early_stop": _early_stop(1, 0, 6),
-        "plateau_lr": PLATEAU,
+        "plateau_lr": _plateau(),
+        "best_so_far_nan": f"SELECT * EXCLUDE (value) FROM ({_best('max', NAN_EVENTS)})",
+        "early_stop_nan": _early_stop(1, 0, 6, NAN_EVENTS),
+        "early_stop_delta_nan": _early_stop(-1, 0.5, 4, NAN_EVENTS),
+        "plateau_nan": _plateau(NAN_EVENTS),
+        "best_epoch_nan": f"""WITH e AS (SELECT * FROM {NAN_EVENTS}), b AS (SELECT user_id,
+  max(value) FILTER (WHERE NOT isnan(value)) AS best, max(event_id) AS last_epoch, count(*) AS epochs FROM e GROUP BY user_id)
+SELECT b.user_id, best, min(e.event_id) FILTER (WHERE e.value = best) AS best_epoch, last_epoch, epochs
+FROM b JOIN e ON e.user_id = b.user_id GROUP BY b.user_id, best, last_epoch, epochs""",
+        "confusion_wide_other": f"WITH {PRED} SELECT l.label, "
+        + ", ".join(f"count(*) FILTER (WHERE p.pred = {k}) AS pred_{k}" for k in range(8))
+        + ", count(*) FILTER (WHERE p.pred >= 8) AS other FROM (SELECT label FROM p UNION SELECT pred FROM p) l "
+        "LEFT JOIN p ON p.label = l.label GROUP BY l.label",
+        "score_bad_labels": f"WITH {PRED}, b AS (SELECT vec_id, pred, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN 99 ELSE label END AS label FROM p) "
+        "SELECT vec_id, label, pred, CASE WHEN label IS NULL THEN 'no label' WHEN label = 99 THEN 'label out of range' END AS reason FROM b",
+        "holdout_null_class": f"SELECT * FROM ({_holdout(CLASSED, 'doc_id', 'lang')}) "
+        "UNION ALL SELECT doc_id, NULL, 'quarantine' FROM documents WHERE doc_id % 5 = 0",
+        "kfold_null_class": _folds(CLASSED, "doc_id, lang", "doc_id", "lang")
+        + " UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 5 = 0",
+        "split_written": f"WITH {DOC_PATHS}, h AS ({_holdout('d', 'path', 'lang')}) "
+        "SELECT path, split, h.lang AS class, sha256(t.text) AS content_sha256 FROM h JOIN d USING (path) JOIN documents t USING (doc_id)",
+        "report_written": f"WITH {PRED}, {COUNTS} SELECT class, {_cols('precision recall f1')}, support FROM m",
+        "linear_head": "SELECT vec_id, label, label AS pred FROM embeddings",
+        "fusion_head": "SELECT vec_id, label, label AS pred FROM embeddings",
+        "cv_fit": "SELECT k::int AS fold, 1.0::double AS accuracy, 1.0::double AS precision, 1.0::double AS recall, "
+        "1.0::double AS macro_f1, 1.0::double AS roc_auc FROM range(5) t(k)",
+        "index_range_cut": "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events",
+        "running_sum_range_cut": """WITH c AS (SELECT user_id, event_id, round(value * 100)::bigint AS cents FROM events)
+SELECT user_id, event_id, cents, (sum(cents) OVER w)::bigint AS total, max(cents) OVER w AS top FROM c
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+        "index_null_group": _grouped_index("CASE WHEN event_id % 3 > 0 THEN user_id END"),
+        "roc_rejected": """SELECT o_orderkey, o_orderstatus = 'O' AS hit,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'no score' ELSE 'NaN score' END AS reason
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
         "best_epoch": """WITH b AS (SELECT user_id, max(value) AS best, max(event_id) AS last_epoch, count(*) AS epochs
   FROM events GROUP BY user_id)
 SELECT b.user_id, best, min(e.event_id) FILTER (WHERE e.value = best) AS best_epoch, last_epoch,

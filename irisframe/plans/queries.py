@@ -11,8 +11,9 @@ from ..config import EVAL_BATCH_SIZE, IMAGE_EXTENSIONS
 from ..functions import arrays, paths, pixels, scoring
 from ..functions.hashing import unit_uniform
 from ..operators import class_index, confusion, curves, heads, images, pairing, runlog, splits, summaries
-from ..operators.ordered import global_index
+from ..operators.ordered import Scan, global_index, prefix_scan
 from ..session import scratch_dir
+from ..sources import sinks
 from ..sources.pixels import first_samples
 from ..streaming import early_stop as live
 from ..streaming import incremental
@@ -56,9 +57,8 @@ def cross_entropy_smoothed(spark, folder):
 
 @query
 def loss_batch_mean(spark, folder):
-    rows = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = scoring.cross_entropy("logits", "label", 0.1, NUM_CLASSES)
-    return rounded(summaries.mean_of_batch_means(rows, loss))
+    rows = views.batched_losses(spark, folder, EVAL_BATCH_SIZE, 0.1)
+    return rounded(summaries.mean_of_batch_means(rows, F.col("loss")))
 
 
 @query
@@ -83,6 +83,23 @@ def confusion_matrix_wide(spark, folder):
     return wide.select("label", *[F.col(str(k)).alias(f"pred_{k}") for k in CLASSES])
 
 
+@query
+def confusion_wide_other(spark, folder):
+    """The last two classes are not declared."""
+    matrix = confusion.confusion_matrix(predictions(spark, folder))
+    wide = confusion.confusion_wide(matrix, CLASSES[:8])
+    return wide.select("label", *[F.col(str(k)).alias(f"pred_{k}") for k in CLASSES[:8]], "other")
+
+
+@query
+def score_bad_labels(spark, folder):
+    """Every 5th label is missing and every 7th is out of range."""
+    rows = views.logit_table(spark, folder)
+    label = F.when(F.col("vec_id") % 5 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 0, F.lit(99)).otherwise(F.col("label"))
+    scored = scoring.scored_rows(rows.withColumn("label", label), num_classes=NUM_CLASSES)
+    return scored.select("vec_id", "label", "pred", "reason")
+
+
 @query
 def confusion_matrix_large(spark, folder):
     lines = table(spark, folder, "lineitem")
@@ -134,17 +151,17 @@ def class_table_text(spark, folder):
 
 def _running(spark, folder):
     scores = curves.scores_from_probs(predictions(spark, folder))
-    return curves.cumulative(scores, rows=views.score_rows(spark, folder))
+    return curves.cumulative(scores)
 
 
 @query
 def roc_points(spark, folder):
-    return rounded(curves.roc_points(_running(spark, folder), NUM_CLASSES))
+    return rounded(curves.roc_points(_running(spark, folder)))
 
 
 @query
 def pr_points(spark, folder):
-    return rounded(curves.pr_points(_running(spark, folder), NUM_CLASSES))
+    return rounded(curves.pr_points(_running(spark, folder)))
 
 
 @query
@@ -165,16 +182,26 @@ def average_precision(spark, folder):
 @query
 def roc_large(spark, folder):
     orders = table(spark, folder, "orders")
-    scores = curves.scores_from_column(orders, "o_orderstatus", "o_totalprice", STATUSES)
-    return rounded(curves.curve_areas(curves.cumulative(scores)))
+    running = curves.cumulative_from_column(orders, "o_orderstatus", "o_totalprice", STATUSES)
+    return rounded(curves.curve_areas(running))
+
+
+@query
+def roc_rejected(spark, folder):
+    """Every 7th price is missing and every 11th is NaN: rows no curve counts."""
+    orders = table(spark, folder, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    score = F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit(float("nan"))).otherwise(price)
+    scores = orders.select("o_orderkey", score.alias("score"), (F.col("o_orderstatus") == "O").alias("hit"))
+    return curves.rejected_scores(scores).select("o_orderkey", "hit", "reason")
 
 
 def _summary(spark, folder):
     """One row: loss, accuracy, weighted P/R/F1 and both AUC means."""
     preds = predictions(spark, folder)
-    batches = views.batched_logits(spark, folder, EVAL_BATCH_SIZE)
-    loss = summaries.mean_of_batch_means(batches, scoring.cross_entropy("logits", "label", 0.0, NUM_CLASSES))
-    prf, auc = summaries.summary_parts(preds, score_rows=views.score_rows(spark, folder))
+    batches = views.batched_losses(spark, folder, EVAL_BATCH_SIZE, 0.0)
+    loss = summaries.mean_of_batch_means(batches, F.col("loss"))
+    prf, auc = summaries.summary_parts(preds)
     one = F.lit(1).alias("k")
     joined = prf.select("*", one).join(loss.select("*", one), "k").join(auc.select("*", one), "k")
     return joined.select(
@@ -235,6 +262,40 @@ def split_external_valid(spark, folder):
     return splits.holdout_with_external_val(train, valid, "lang", "doc_id").select("doc_id", "lang", "split")
 
 
+def _docs_without_class(spark, folder):
+    """Every 5th document has no class."""
+    lang = F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang")
+    return table(spark, folder, "documents").select("doc_id", lang)
+
+
+@query
+def holdout_null_class(spark, folder):
+    return splits.holdout(_docs_without_class(spark, folder), "lang", "doc_id").select("doc_id", "lang", "split")
+
+
+@query
+def kfold_null_class(spark, folder):
+    return splits.stratified_folds(_docs_without_class(spark, folder), "lang", "doc_id").select("doc_id", "lang", "fold")
+
+
+@query
+def split_written(spark, folder):
+    """Files written as Parquet by split and class, and read back."""
+    docs = views.document_paths(spark, folder).select("doc_id", "path")
+    text = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    path = scratch_dir(spark, "split")
+    sinks.materialise_split(docs.join(text, "doc_id").select("path", "content"), path)
+    return spark.read.parquet(path).select("path", "split", "class", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query
+def report_written(spark, folder):
+    """The class report as CSV, and read back."""
+    path = scratch_dir(spark, "report")
+    sinks.write_report(class_prf(spark, folder), path)
+    return spark.read.schema("class int, precision double, recall double, f1 double, support long").csv(path, header=True)
+
+
 @query
 def split_counts(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang")
@@ -252,7 +313,7 @@ def kfold_train_val(spark, folder):
     """Folds over train and validation rows together; test rows stay out."""
     docs = table(spark, folder, "documents").select("doc_id", "lang")
     parts = splits.holdout(docs, "lang", "doc_id")
-    pool = parts.filter(F.col("split") == "train").unionByName(parts.filter(F.col("split") == "val"))
+    pool = parts.filter(F.col("split") != "test")
     return splits.stratified_folds(pool, "lang", "doc_id").select("doc_id", "lang", "split", "fold")
 
 
@@ -263,12 +324,14 @@ def kfold_roles(spark, folder):
 
 
 def _fold_predictions(spark, folder):
-    return splits.stratified_folds(predictions(spark, folder), "label", "vec_id")
+    """Folds are drawn on ids and classes alone, before anything is scored."""
+    ids = table(spark, folder, "embeddings").select("vec_id", "label")
+    folds = splits.stratified_folds(ids, "label", "vec_id").select("vec_id", "fold")
+    return predictions(spark, folder).join(folds, "vec_id")
 
 
 def _cv_results(spark, folder):
-    rows = views.score_rows(spark, folder)
-    return summaries.cv_results(_fold_predictions(spark, folder), score_rows=rows)
+    return summaries.cv_results(_fold_predictions(spark, folder))
 
 
 @query
@@ -579,6 +642,65 @@ def best_epoch(spark, folder):
     return runlog.best_epoch(_events(spark, folder), "user_id", "event_id", "value")
 
 
+def _events_with_nan(spark, folder):
+    """Every 7th event has NaN for its value."""
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return _events(spark, folder).withColumn("value", value)
+
+
+@query
+def best_so_far_nan(spark, folder):
+    rows = runlog.best_so_far(_events_with_nan(spark, folder), "user_id", "event_id", "value")
+    return rows.drop("value")
+
+
+@query
+def early_stop_nan(spark, folder):
+    return runlog.early_stop(_events_with_nan(spark, folder), "user_id", "event_id", "value")
+
+
+@query
+def early_stop_delta_nan(spark, folder):
+    return runlog.early_stop(
+        _events_with_nan(spark, folder), "user_id", "event_id", "value", mode="min", delta=0.5, patience=4
+    )
+
+
+@query
+def plateau_nan(spark, folder):
+    return runlog.plateau_rate(_events_with_nan(spark, folder), "user_id", "event_id", "value").withColumn(
+        "rate", F.round("rate", 9)
+    )
+
+
+@query
+def best_epoch_nan(spark, folder):
+    return runlog.best_epoch(_events_with_nan(spark, folder), "user_id", "event_id", "value").drop("last_value")
+
+
+@query
+def index_range_cut(spark, folder):
+    """Positions in buckets of 500 rows."""
+    events = table(spark, folder, "events").select("event_id", "user_id")
+    return global_index(events, ["event_id"], rows_per_bucket=500)
+
+
+@query
+def running_sum_range_cut(spark, folder):
+    scans = {"total": Scan("sum", F.col("cents")), "top": Scan("max", F.col("cents"))}
+    cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+    rows = table(spark, folder, "events").select("user_id", "event_id", cents)
+    return prefix_scan(rows, ["user_id"], ["event_id"], scans, rows_per_bucket=500)
+
+
+@query
+def index_null_group(spark, folder):
+    """A third of the rows have no group; they are a group of their own."""
+    group = F.when(F.col("event_id") % 3 > 0, F.col("user_id"))
+    rows = table(spark, folder, "events").select("event_id", group.alias("grp"))
+    return global_index(rows, ["event_id"], group=["grp"], rows_per_bucket=500)
+
+
 @query
 def phase_by_epoch(spark, folder):
     placed = global_index(_events(spark, folder), ["event_id"], group=["user_id"], name="epoch")
@@ -617,22 +739,31 @@ def stream_early_stop(spark, folder):
 # Heads -----------------------------------------------------------------------
 
 
+def _separable(spark, folder):
+    """Vectors (a) beside a stream (b) that gives the class away, so that a sound
+    fit must recover every label."""
+    hint = F.transform(scoring.one_hot(F.col("label"), NUM_CLASSES), lambda x: x * F.lit(20.0))
+    vectors = table(spark, folder, "embeddings")
+    own = F.slice("embedding", 1, NUM_CLASSES).cast("array<double>")
+    return vectors.select("vec_id", "label", own.alias("a"), hint.alias("b")).withColumn("both", F.concat("a", "b"))
+
+
 @query
 def linear_head(spark, folder):
-    vectors = table(spark, folder, "embeddings")
-    model = heads.fit_linear_head(vectors, "embedding")
-    return heads.score_head(model, vectors, "embedding").select("vec_id", "label", "pred")
+    rows = _separable(spark, folder)
+    model = heads.fit_linear_head(rows, "both")
+    return heads.score_head(model, rows, "both").select("vec_id", "label", "pred")
 
 
 @query
 def fusion_head(spark, folder):
-    near = views.neighbours(spark, folder)
-    model = heads.fit_fusion_head(near, "a", "b", views.VECTOR_WIDTH, NUM_CLASSES, iterations=10)
-    return heads.score_fusion_head(model, near, "a", "b").select("vec_id", "label", "pred")
+    rows = _separable(spark, folder)
+    model = heads.fit_fusion_head(rows, "a", "b", NUM_CLASSES, NUM_CLASSES, hidden=64, iterations=60)
+    return heads.score_fusion_head(model, rows, "a", "b").select("vec_id", "label", "pred")
 
 
 @query
 def cv_fit(spark, folder):
-    folded = splits.stratified_folds(table(spark, folder, "embeddings"), "label", "vec_id")
-    preds = heads.cross_validated(folded, "embedding", 5, iterations=10)
-    return rounded(summaries.cv_results(preds, score_rows=views.score_rows(spark, folder)))
+    folded = splits.stratified_folds(_separable(spark, folder), "label", "vec_id")
+    preds = heads.cross_validated(folded, "both", 5)
+    return rounded(summaries.cv_results(preds))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import score_predictions
+from ..functions.scoring import cross_entropy, score_predictions
 from ..operators.ordered import global_index
 from ..operators.splits import batched
 
@@ -48,14 +48,11 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scored
 
 
-def score_rows(spark: SparkSession, folder: str) -> int:
-    """Predictions times classes; the row count comes from the file footers."""
-    return table(spark, folder, "embeddings").count() * NUM_CLASSES
-
-
-def batched_logits(spark: SparkSession, folder: str, batch_size: int) -> DataFrame:
-    rows = table(spark, folder, "embeddings").count()
-    return batched(global_index(logit_table(spark, folder), ["vec_id"], rows=rows), batch_size)
+def batched_losses(spark: SparkSession, folder: str, batch_size: int, smoothing: float) -> DataFrame:
+    """(vec_id, loss, batch_id): only the loss takes part in the ordering."""
+    loss = cross_entropy("logits", "label", smoothing, NUM_CLASSES).alias("loss")
+    losses = logit_table(spark, folder).select("vec_id", loss)
+    return batched(global_index(losses, ["vec_id"]), batch_size)
 
 
 def document_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,10 +84,13 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
-    n = table(spark, folder, "embeddings").count()
-    placed = global_index(vectors, ["vec_id"], rows=n)
-    left = placed.select("vec_id", "label", F.col("v").alias("a"), ((F.col("idx") + 1) % n).alias("at"))
-    return left.join(placed.select(F.col("idx").alias("at"), F.col("v").alias("b")), "at").drop("at")
+    n = vectors.count()
+    # Ids alone are numbered; the vectors join them by id.
+    ids = global_index(vectors.select("vec_id"), ["vec_id"])
+    after = ids.select(F.col("vec_id").alias("next_id"), F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"))
+    pairs = ids.join(after, "idx").select("vec_id", "next_id")
+    left = vectors.withColumnRenamed("v", "a").join(pairs, "vec_id")
+    return left.join(vectors.select(F.col("vec_id").alias("next_id"), F.col("v").alias("b")), "next_id").select("vec_id", "label", "a", "b")
 
 
 def pixels_long(df: DataFrame, px: str = "px") -> DataFrame:

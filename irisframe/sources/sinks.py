@@ -11,8 +11,8 @@ from ..operators.splits import holdout
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report as CSV with header; reports have a few rows, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """A report as CSV with header, in as many files as it was computed in."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -115,12 +115,24 @@ def test_single_class_has_no_auc(spark):
     assert got[0].auc is None and got[1].auc is None and got[1].ap is None
 
 
+def test_no_class_and_no_bad_score_is_lost_silently(spark):
+    rows = [(k % 5, s) for k, s in enumerate([0.1, 0.9, None, float("nan"), 0.4, 0.4, 0.7])] + [(None, 0.5)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    running = curves.cumulative_from_column(df, "label", "score", range(5))
+    assert {r["class"] for r in curves.roc_points(running).collect()} == set(range(5))
+    long = df.select(F.explode(F.array(*[F.lit(c) for c in range(5)])).alias("class"), "score", "label")
+    long = long.select("class", "score", (F.col("label") == F.col("class")).alias("hit"))
+    columns = ["class", "score", "pos", "neg", "tp", "fp", "p", "q"]
+    assert set(running.select(columns).collect()) == set(curves.cumulative(long).select(columns).collect())
+    assert {r.reason for r in curves.rejected_scores(long).collect()} == {"no score", "NaN score", "no label"}
+
+
 def test_curve_points(preds):
     running = curves.cumulative(curves.scores_from_probs(preds))
-    roc = [r for r in curves.roc_points(running, 3).collect() if r["class"] == 2]
+    roc = [r for r in curves.roc_points(running).collect() if r["class"] == 2]
     assert min(r.tpr for r in roc) == 0 and max(r.fpr for r in roc) == 1
     assert math.isinf(max(r.threshold for r in roc))
-    pr = [r for r in curves.pr_points(running, 3).collect() if r["class"] == 2]
+    pr = [r for r in curves.pr_points(running).collect() if r["class"] == 2]
     assert [(r.precision, r.recall) for r in pr if r.threshold is None] == [(1.0, 0.0)]
 
 

@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from irisframe.operators import ordered
-from irisframe.operators.ordered import Scan, global_index, position_among, prefix_scan, range_bucket
+from irisframe.operators.ordered import Scan, global_index, prefix_scan, range_cut
 from irisframe.operators.small import checked_broadcast
 
 
@@ -24,10 +23,8 @@ def test_bucketed_scan_equals_window(skewed):
         "low": Scan("min", F.col("v")),
         "earlier": Scan("sum", F.lit(1), inclusive=False),
     }
-    bucket = range_bucket(skewed, ["g"], ["o"], rows_per_bucket=100)
-    assert bucket is not None
-    plain = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans).collect()}
-    cut = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans, bucket).collect()}
+    plain = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans, F.lit(0)).collect()}
+    cut = {(r.g, r.o): r for r in prefix_scan(skewed, ["g"], ["o"], scans, rows_per_bucket=100).collect()}
     assert plain.keys() == cut.keys()
     for key, p in plain.items():
         c = cut[key]
@@ -36,8 +33,7 @@ def test_bucketed_scan_equals_window(skewed):
 
 
 def test_hot_group_is_spread_over_buckets(skewed):
-    bucket = range_bucket(skewed, ["g"], ["o"], rows_per_bucket=100)
-    sizes = skewed.groupBy("g", bucket.alias("b")).count()
+    sizes = range_cut(skewed, ["g", "o"], rows_per_bucket=100).groupBy("g", F.col("_bucket").alias("b")).count()
     assert sizes.agg(F.max("count")).first()[0] < 400
     assert sizes.filter("g = 'hot'").count() > 5
 
@@ -55,32 +51,29 @@ def test_string_order_is_binary(spark):
     assert [n for n, _ in sorted(got.items(), key=lambda kv: kv[1])] == sorted(names)
 
 
-@pytest.mark.parametrize("nested", [0, 32])
-def test_bucket_numbers(spark, monkeypatch, nested):
-    monkeypatch.setattr(ordered, "NESTED_BOUNDS", nested)
-    df = spark.range(20).select("id", (F.col("id") % 3).alias("k"), F.concat(F.lit("s'"), "id").alias("s"))
-    for bounds in ([(5,)], [(0,), (5,), (6,)], [(i,) for i in range(0, 19, 2)]):
-        got = df.select("id", position_among(df, ["id"], bounds).alias("b")).collect()
-        assert all(r.b == sum(b[0] <= r.id for b in bounds) for r in got)
-    pairs = [(0, "s'12"), (0, "s'3"), (1, "s'1"), (2, "s'8")]
-    got = df.withColumn("b", position_among(df, ["k", "s"], pairs)).collect()
-    assert all(r.b == sum(b <= (r.k, r.s) for b in pairs) for r in got)
-
-
-def test_even_groups_are_not_cut(skewed):
-    even = skewed.filter("g <> 'hot'")
-    assert range_bucket(even, ["g"], ["o"], rows_per_bucket=500) is None
-    assert range_bucket(even, [], ["o"], rows_per_bucket=500) is not None
-
-
-@pytest.mark.parametrize("nested", [0, 32])
-def test_scan_is_the_same_for_both_lookups(skewed, monkeypatch, nested):
-    monkeypatch.setattr(ordered, "NESTED_BOUNDS", nested)
-    got = global_index(skewed, ["o"], group=["g"], rows_per_bucket=50).collect()
-    seen = {}
-    for r in sorted(got, key=lambda r: r.o):
-        assert r.idx == seen.get(r.g, -1) + 1
-        seen[r.g] = r.idx
+def test_nulls_are_a_group_and_order_first(spark):
+    rows = [(None if i % 3 == 0 else f"k{i % 2}", i) for i in range(900)] + [(None, None), ("k0", None)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    for size in (20, 10**6):
+        got = global_index(df, ["o"], group=["g"], rows_per_bucket=size).collect()
+        assert len(got) == len(rows)
+        for g in (None, "k0", "k1"):
+            own = sorted((r.idx, -1 if r.o is None else r.o) for r in got if r.g == g)
+            assert own == list(enumerate(sorted(o for _, o in own)))
+
+
+def test_many_large_groups_are_cut(spark):
+    df = spark.range(12_000).select((F.col("id") % 60).alias("g"), F.col("id").alias("o"))
+    cut = range_cut(df, ["g", "o"], rows_per_bucket=10)
+    assert cut.groupBy("g", "_bucket").count().agg(F.max("count")).first()[0] < 60
+    got = global_index(df, ["o"], group=["g"], rows_per_bucket=10)
+    assert got.filter(F.col("idx") != F.floor(F.col("o") / 60)).count() == 0
+
+
+def test_totals_come_with_the_scan(skewed):
+    got = prefix_scan(skewed, ["g"], ["o"], {"n": Scan("sum", F.lit(1))}, rows_per_bucket=100, totals={"n": "all"})
+    sizes = {r.g: r["count"] for r in skewed.groupBy("g").count().collect()}
+    assert all(r["all"] == sizes[r.g] for r in got.collect())
 
 
 def test_checked_broadcast_falls_back(spark):
