@@ -123,13 +123,17 @@ def confusion_matrix(preds: DataFrame, classes: Sequence | None = None) -> DataF
     return cell.unionByName(zeros).groupBy("label", "pred").agg(F.sum("n").alias("n"))
 
 
-def confusion_wide(matrix: DataFrame, classes: Sequence) -> DataFrame:
-    """One row per actual class, one column per declared class that was predicted,
-    and ``other`` for predictions that are not declared or missing."""
+def confusion_wide(matrix: DataFrame, classes: Sequence, other: str | None = None) -> DataFrame:
+    """One row per actual class and one column per declared predicted class.
+
+    ``other`` names a further column for predictions that are missing or not
+    declared; without it, ``classes`` should be all that can be predicted.
+    """
     columns = [F.coalesce(F.sum(F.when(F.col("pred") == F.lit(c), F.col("n"))), F.lit(0)).alias(str(c)) for c in classes]
     declared = F.coalesce(F.col("pred").isin(*classes), F.lit(False))
-    other = F.coalesce(F.sum(F.when(~declared, F.col("n"))), F.lit(0)).alias("other")
-    return matrix.groupBy("label").agg(*columns, other)
+    if other is not None:
+        columns.append(F.coalesce(F.sum(F.when(~declared, F.col("n"))), F.lit(0)).alias(other))
+    return matrix.groupBy("label").agg(*columns)
 
 
 def macro_weighted(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

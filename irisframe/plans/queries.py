@@ -87,7 +87,7 @@ def confusion_matrix_wide(spark, folder):
 def confusion_wide_other(spark, folder):
     """The last two classes are not declared."""
     matrix = confusion.confusion_matrix(predictions(spark, folder))
-    wide = confusion.confusion_wide(matrix, CLASSES[:8])
+    wide = confusion.confusion_wide(matrix, CLASSES[:8], "other")
     return wide.select("label", *[F.col(str(k)).alias(f"pred_{k}") for k in CLASSES[:8]], "other")
 
 

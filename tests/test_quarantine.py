@@ -34,7 +34,7 @@ def test_short_paths(spark):
 
 def test_undeclared_predictions_are_counted(spark):
     df = spark.createDataFrame([(0, 0), (1, 2), (1, 1), (0, 2)], "label int, pred int")
-    wide = confusion.confusion_wide(confusion.confusion_matrix(df), [0, 1])
+    wide = confusion.confusion_wide(confusion.confusion_matrix(df), [0, 1], "other")
     assert {tuple(r) for r in wide.collect()} == {(0, 1, 0, 1), (1, 0, 1, 1), (2, 0, 0, 0)}
 
 
