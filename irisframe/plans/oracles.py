@@ -460,6 +460,10 @@ FROM b JOIN e ON e.user_id = b.user_id GROUP BY b.user_id, best, last_epoch, epo
         "fusion_head": "SELECT vec_id, label, label AS pred FROM embeddings",
         "cv_fit": "SELECT k::int AS fold, 1.0::double AS accuracy, 1.0::double AS precision, 1.0::double AS recall, "
         "1.0::double AS macro_f1, 1.0::double AS roc_auc FROM range(5) t(k)",
+        "paired_images": f"""WITH n AS (SELECT vec_id, embedding AS v, coalesce(lead(embedding) OVER w, first_value(embedding) OVER w) AS u
+  FROM embeddings WINDOW w AS (ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+p AS (SELECT *, unnest(range(64))::int AS pos FROM n)
+SELECT vec_id, pos, {_r6('(v[pos + 1]::double - 0.5) / 0.5', 'a')}, {_r6('(u[pos + 1]::double - 0.5) / 0.5', 'b')} FROM p""",
         "index_range_cut": "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events",
         "running_sum_range_cut": """WITH c AS (SELECT user_id, event_id, round(value * 100)::bigint AS cents FROM events)
 SELECT user_id, event_id, cents, (sum(cents) OVER w)::bigint AS total, max(cents) OVER w AS top FROM c

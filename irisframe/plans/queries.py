@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EVAL_BATCH_SIZE, IMAGE_EXTENSIONS
 from ..functions import arrays, paths, pixels, scoring
 from ..functions.hashing import unit_uniform
-from ..operators import class_index, confusion, curves, heads, images, pairing, runlog, splits, summaries
+from ..operators import class_index, confusion, curves, heads, images, paired, pairing, runlog, splits, summaries
 from ..operators.ordered import Scan, global_index, prefix_scan
 from ..session import scratch_dir
 from ..sources import sinks
@@ -551,6 +551,19 @@ def img_blur(spark, folder):
     return _steps(spark, folder, [images.gaussian_blur(0.2)])
 
 
+@query
+def paired_images(spark, folder):
+    """Each image and the next one in id order, both normalised."""
+    pairs = views.neighbour_ids(spark, folder)
+    held = _images(spark, folder).withColumnRenamed("vec_id", "path")
+    items = paired.paired_tensors(
+        pairs, held, [images.normalise([0.5], [0.5], 1.0)], "vec_id", left="vec_id", right="next_id", pixels="px"
+    )
+    both = F.arrays_zip(F.col("left.px").alias("a"), F.col("right.px").alias("b"))
+    rows = items.select("vec_id", F.posexplode(both).alias("pos", "p"))
+    return rows.select("vec_id", "pos", r6("p.a").alias("a"), r6("p.b").alias("b"))
+
+
 @query
 def img_crop_flip(spark, folder):
     """Several steps in one pass: crop, mirror, normalise."""

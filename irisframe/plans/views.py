@@ -79,16 +79,21 @@ def small_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def neighbour_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(vec_id, next_id) in id order; the last wraps to the first."""
+    vectors = table(spark, folder, "embeddings").select("vec_id")
+    n = vectors.count()
+    ids = global_index(vectors, ["vec_id"])
+    after = ids.select(F.col("vec_id").alias("next_id"), F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"))
+    return ids.join(after, "idx").select("vec_id", "next_id")
+
+
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """Each vector (a) with the next one in id order (b); the last wraps to the first."""
+    """Each vector (a) with the next one in id order (b)."""
     vectors = table(spark, folder, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
-    n = vectors.count()
-    # Ids alone are numbered; the vectors join them by id.
-    ids = global_index(vectors.select("vec_id"), ["vec_id"])
-    after = ids.select(F.col("vec_id").alias("next_id"), F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"))
-    pairs = ids.join(after, "idx").select("vec_id", "next_id")
+    pairs = neighbour_ids(spark, folder)
     left = vectors.withColumnRenamed("v", "a").join(pairs, "vec_id")
     return left.join(vectors.select(F.col("vec_id").alias("next_id"), F.col("v").alias("b")), "next_id").select("vec_id", "label", "a", "b")
 
