@@ -51,7 +51,8 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(active):
         at = order[active]
         key = (ranks[at].astype(np.uint64) << np.uint64(32)) | ranks[np.minimum(at + step, size - 1)].astype(np.uint64)
-        by = np.argsort(key)
+        # Groups come in rank order, which a merging sort makes use of.
+        by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         order[active] = at
         new = np.concatenate(([True], key[1:] != key[:-1]))
