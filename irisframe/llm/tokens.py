@@ -1,19 +1,26 @@
-"""Token ids of whole texts by a vocabulary file, remembering words already met."""
+"""Token ids of whole texts by a vocabulary file, remembering pieces already met."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 
 from tokenizers import Tokenizer
 
-#: Words a worker remembers, emptied when full; longer words are not kept.
-REMEMBERED = 600_000
-LONGEST = 64
-#: ASCII white space always starts a new piece where it follows other text.
-_WORD = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: Texts with other white space, or with markup that may be a special token, are
-#: encoded in one go.
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+from irisframe.llm.pieces import Recent, cut, finer, is_one_piece
+
+#: Pieces and parts of texts a worker remembers, twice at most.
+PIECES = 350_000
+PARTS = 400_000
+
+
+#: How byte-level vocabularies spell bytes: printable Latin-1 letters stand for
+#: themselves, the other bytes for letters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
 class TextEncoder:
@@ -21,21 +28,34 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+        self._pieces, self._parts = Recent(PIECES), Recent(PARTS)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """A word or its punctuation is one piece for the tokenizer as well, so its
+        model is asked directly; all else takes the tokenizer's whole way."""
+        out = [b""] * len(pieces)
+        other = []
+        for i, piece in enumerate(pieces):
+            if is_one_piece(piece):
+                spelled = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out[i] = _packed(t.id for t in self._model.tokenize(spelled))
+            else:
+                other.append(i)
+        found = self._tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
+        for i, encoding in zip(other, found):
+            out[i] = _packed(encoding.ids)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        words = [[t] if _WHOLE.search(t) else _WORD.findall(t) for t in texts]
-        fresh = list({w for found in words for w in found} - known.keys())
-        own = dict(zip(fresh, self._encode(fresh)))
-        known.update((w, ids) for w, ids in own.items() if len(w) <= LONGEST)
-        return [b"".join([known[w] if w in known else own[w] for w in found]) for found in words]
+        parts = [cut(t) for t in texts]
+        known = self._parts.of({p for found in parts for p in found}, self._encode_parts)
+        return [b"".join([known[p] for p in found]) for found in parts]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        pieces = [finer(p) for p in parts]
+        known = self._pieces.of({p for found in pieces for p in found}, self._encode)
+        return [b"".join([known[p] for p in found]) for found in pieces]
 
 
 _encoders: dict[str, TextEncoder] = {}
