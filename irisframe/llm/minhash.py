@@ -142,17 +142,21 @@ def _prefixes(classes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sketched(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """doc_id, keys, n, shingles and sketch (coordinate bytes, then bits) of posted documents."""
+    """doc_id, keys, n, shingles and sketch of posted documents. A sketch holds the
+    signature, the mask of posted coordinates, and the bits."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = batch.column("text").to_pylist()
             for a, b in batches([len(t or "") for t in texts], SLICE):
                 sets = [shingles(t) for t in texts[a:b]]
-                sketches = [
-                    (_least(s, _SIGNATURE) & 255).astype(np.uint8).tobytes() + np.packbits((_least(s, _SKETCH) & 1).astype(np.uint8)).tobytes() for s in sets
-                ]
                 part = batch.slice(a, b - a)
+                sketches = []
+                for s, keys in zip(sets, part.column("keys").to_pylist()):
+                    posted = np.zeros(COORDINATES, dtype=np.uint8)
+                    posted[(np.frombuffer(keys, "u8") >> _SHIFT).astype(np.int64)] = 1
+                    bits = np.packbits((_least(s, _SKETCH) & 1).astype(np.uint8))
+                    sketches.append(_least(s, _SIGNATURE).tobytes() + posted.tobytes() + bits.tobytes())
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
@@ -166,28 +170,52 @@ def _sketched(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return docs.join(prefixes, "doc_id").mapInArrow(run, "doc_id long, keys binary, n long, shingles binary, sketch binary")
 
 
-_SKETCH_BYTES = COORDINATES + SKETCH_BITS // 8
+_SKETCH_BYTES = 5 * COORDINATES + SKETCH_BITS // 8
 
 
-def _close(one: int, others: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Those of ``others`` that may reach the similarity with ``one``."""
-    n, m = size[one], size[others]
-    others = others[(100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m))]
-    others = others[(sketch[others, :COORDINATES] == sketch[one, :COORDINATES]).sum(axis=1) >= MATCHES]
-    differ = np.bitwise_count(sketch[others, COORDINATES:] ^ sketch[one, COORDINATES:]).sum(axis=1, dtype=np.int64)
-    return others[SKETCH_BITS - differ >= SKETCH_MATCHES]
+class _Members:
+    """Sizes, components and sketches of the documents of a task."""
 
+    def __init__(self, doc: np.ndarray, size: np.ndarray, component: np.ndarray, sketches: np.ndarray):
+        self.doc, self.size, self.component = doc, size, component
+        self.values = np.ascontiguousarray(sketches[:, : 4 * COORDINATES]).view(np.uint32)
+        self.posted = sketches[:, 4 * COORDINATES : 5 * COORDINATES].astype(bool)
+        self.bits = sketches[:, 5 * COORDINATES :]
 
-def _meetings(posted: DataFrame, buckets: int, *, all_apart: bool) -> DataFrame:
-    """(a, b, list): pairs with enough matches, each under one of their lists.
+    def close(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may reach the similarity with ``one``."""
+        n, m = self.size[one], self.size[others]
+        others = others[100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)]
+        others = others[(self.values[others] == self.values[one]).sum(axis=1) >= MATCHES]
+        differ = np.bitwise_count(self.bits[others] ^ self.bits[one]).sum(axis=1, dtype=np.int64)
+        return others[SKETCH_BITS - differ >= SKETCH_MATCHES]
+
+    def met_here(self, one: int, others: np.ndarray, key: int) -> np.ndarray:
+        """Those whose first shared posting with ``one`` is this list, so that a pair
+        is looked at in one of its lists only."""
+        shared = (self.values[others] == self.values[one]) & self.posted[others] & self.posted[one]
+        return others[shared.argmax(axis=1) == key >> 32]
+
+    def apart(self, members: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, others it must be confirmed with) over different components."""
+        label = self.component[members]
+        # The largest component's members are only ever the other side.
+        labels, counts = np.unique(label, return_counts=True)
+        outside = label != labels[counts.argmax()]
+        places = np.arange(len(members))
+        for i in np.flatnonzero(outside):
+            other = members[(label != label[i]) & (~outside | (places > i))]
+            near = self.close(members[i], other)
+            if len(near):
+                yield members[i], self.met_here(members[i], near, key)
 
-    Compares a list's members with its smallest one or, with ``all_apart``, every
-    two members of different components.
-    """
+
+def _posted_rows(posted: DataFrame, buckets: int) -> DataFrame:
+    """Every posting with its document's sketch, packed by bucket of the key."""
 
     def post(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b in batches([len(k.as_py()) for k in batch.column("keys")], 1 << 20):
+            for a, b in batches([len(k.as_py()) for k in batch.column("keys")], 1 << 19):
                 part = batch.slice(a, b - a)
                 counts = np.array([len(k.as_py()) // 8 for k in part.column("keys")])
                 key = unpacked(part, "keys", "u8")
@@ -195,38 +223,93 @@ def _meetings(posted: DataFrame, buckets: int, *, all_apart: bool) -> DataFrame:
                 columns = {n: np.repeat(part.column(n).to_numpy(), counts) for n in ("doc_id", "n", "component")}
                 yield packed(bucket_of(key, buckets), key=key, sketch=np.repeat(sketch, counts), **columns)
 
-    def meet(table: pa.Table) -> pa.Table:
-        key, doc, size, component = (unpacked(table, n, k) for n, k in (("key", "u8"), ("doc_id", "i8"), ("n", "i8"), ("component", "i8")))
-        sketch = unpacked(table, "sketch", "u1").reshape(-1, _SKETCH_BYTES)
-        order = np.lexsort((doc, key))
-        begin, _ = group_bounds(key[order])
-        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+    return posted.mapInArrow(post, "bucket int, key binary, sketch binary, doc_id binary, n binary, component binary")
+
+
+def _lists(table: pa.Table) -> tuple[_Members, Iterator[tuple[int, np.ndarray]]]:
+    """A bucket's postings, and (key, members by doc_id) of its lists that hold more
+    than one component."""
+    key, doc, size, component = (unpacked(table, n, k) for n, k in (("key", "u8"), ("doc_id", "i8"), ("n", "i8"), ("component", "i8")))
+    members = _Members(doc, size, component, unpacked(table, "sketch", "u1").reshape(-1, _SKETCH_BYTES))
+    order = np.lexsort((doc, key))
+    begin, _ = group_bounds(key[order])
+
+    def lists() -> Iterator[tuple[int, np.ndarray]]:
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist()):
-            members = order[a:b]
-            label = component[members]
-            if b - a < 2 or (label == label[0]).all():
-                continue
-            if not all_apart:
-                near = _close(members[0], members[1:], size, sketch)
-                found.append((np.full(len(near), members[0]), near, key[members[0]]))
-                continue
-            # The largest component's members are only ever the other side.
-            labels, counts = np.unique(label, return_counts=True)
-            outside = label != labels[counts.argmax()]
-            for i in np.flatnonzero(outside):
-                other = (label != label[i]) & (~outside | (np.arange(b - a) > i))
-                near = _close(members[i], members[other], size, sketch)
-                found.append((np.full(len(near), members[i]), near, key[members[i]]))
-        left = doc[np.concatenate([f[0] for f in found])] if found else np.zeros(0, dtype=np.int64)
-        right = doc[np.concatenate([f[1] for f in found])] if found else np.zeros(0, dtype=np.int64)
-        lists = np.repeat(np.array([f[2] for f in found], dtype=np.uint64).view(np.int64), [len(f[1]) for f in found])
-        return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right), "list": pa.array(lists, pa.int64())})
-
-    sent = posted.mapInArrow(post, "bucket int, key binary, sketch binary, doc_id binary, n binary, component binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, list long")
+            label = component[order[a:b]]
+            if b - a > 1 and (label != label[0]).any():
+                yield int(key[order[a]]), order[a:b]
+
+    return members, lists()
+
+
+def _first_meetings(posted: DataFrame, buckets: int) -> DataFrame:
+    """(a, b, list): each list's members with its smallest one, where they match."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        members, lists = _lists(table)
+        found = [(members.doc[m[0]], members.doc[members.close(m[0], m[1:])], key) for key, m in lists]
+        right = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
+        counts = [len(f[1]) for f in found]
+        left = np.repeat(np.array([f[0] for f in found], dtype=np.int64), counts)
+        return pa.table({"a": left, "b": right, "list": np.repeat(np.array([f[2] for f in found], dtype=np.int64), counts)})
+
+    met = _posted_rows(posted, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long, list long")
     return met.groupBy("a", "b").agg(F.min("list").alias("list"))
 
 
+def _late_links(posted: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): links between documents that are still in different components.
+
+    Lists name the documents that have somebody to be confirmed with; their sets
+    are sent to the list, where pairs are compared and only links are given out.
+    Long lists are compared in blocks.
+    """
+
+    def name(table: pa.Table) -> pa.Table:
+        members, lists = _lists(table)
+        wanted: list[tuple[int, int]] = []
+        for key, listed in lists:
+            who = {d for i, near in members.apart(listed, key) if len(near) for d in (int(members.doc[i]), *members.doc[near].tolist())}
+            wanted += [(key, d) for d in who]
+        return pa.table({"list": pa.array([w[0] for w in wanted], pa.int64()), "doc_id": pa.array([w[1] for w in wanted], pa.int64())})
+
+    wanted = stored(_posted_rows(posted, buckets).groupBy("bucket").applyInArrow(name, "list long, doc_id long"), "minhash-apart")
+    parts = wanted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    dealt = wanted.join(parts, "list").select("list", "doc_id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("list", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = dealt.join(posted.join(sets.select("doc_id", "shingles"), "doc_id"), "doc_id")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        doc, size, component, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "block"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, _SKETCH_BYTES)
+        members = _Members(doc, size, component, sketches)
+        sets = table.column("shingles").to_pylist()
+        low, high, key = (table.column(c)[0].as_py() for c in ("low", "high", "list"))
+        linked = []
+        joined = {int(c): int(c) for c in component}
+        for i, near in members.apart(np.argsort(doc), key):
+            for j in near.tolist():
+                a, b = int(component[i]), int(component[j])
+                if {int(block[i]), int(block[j])} == {low, high} and joined[a] != joined[b] and _similar(sets[i], sets[j]):
+                    old, new = joined[a], joined[b]
+                    joined = {c: new if x == old else x for c, x in joined.items()}
+                    linked.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))))
+        return pa.table({"a": pa.array([p[0] for p in linked], pa.int64()), "b": pa.array([p[1] for p in linked], pa.int64())})
+
+    columns = ["list", "low", "high", "block", "doc_id", "n", "component", "sketch", "shingles"]
+    return rows.select(*columns).groupBy("list", "low", "high").applyInArrow(confirm, "a long, b long")
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    """Whether two packed sets reach the similarity."""
+    both = np.frombuffer(x + y, "u8").copy()
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= SIMILARITY * (len(both) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of pairs whose full sets reach the similarity.
 
@@ -242,15 +325,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     shipped = wanted.join(sets.select("doc_id", "shingles"), "doc_id").select(*[F.col(c).alias(f"_{c}") for c in where], "doc_id", "shingles")
 
     def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        of = {d: np.frombuffer(s, "u8") for d, s in zip(sets.column("doc_id").to_pylist(), sets.column("shingles").to_pylist())}
-        linked = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = of[a], of[b]
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= SIMILARITY * (len(x) + len(y) - common):
-                linked.append((a, b))
+        of = dict(zip(sets.column("doc_id").to_pylist(), sets.column("shingles").to_pylist()))
+        linked = [(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()) if _similar(of[a], of[b])]
         return pa.table({"a": pa.array([p[0] for p in linked], pa.int64()), "b": pa.array([p[1] for p in linked], pa.int64())})
 
     return dealt.groupBy(*where).cogroup(shipped.groupBy(*[f"_{c}" for c in where])).applyInArrow(confirm, "a long, b long")
@@ -273,10 +349,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefixes = stored(_prefixes(first, buckets), "minhash-prefixes")
     posted = stored(_sketched(judged, prefixes), "minhash-posted")
     slim = posted.select("doc_id", "keys", "n", "sketch")
-    links = stored(_confirmed(_meetings(_with_components(slim, None), buckets, all_apart=False), posted), "minhash-links")
+    links = stored(_confirmed(_first_meetings(_with_components(slim, None), buckets), posted), "minhash-links")
     labels = components(links)
-    apart = _meetings(_with_components(slim, labels), buckets, all_apart=True)
-    late = stored(_confirmed(stored(apart, "minhash-apart"), posted), "minhash-links")
+    late = stored(_late_links(_with_components(slim, labels), posted, buckets), "minhash-links")
     if not late.isEmpty():
         joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(joined.unionByName(late))
