@@ -32,6 +32,8 @@ GRAM = 10
 #: Words of passages in one task's group, and of reference in one automaton.
 SHARD_WORDS = 400_000
 AUTOMATON_WORDS = 100_000
+#: Windows or words gathered over documents before they are sent on.
+SENT_WINDOWS = 500_000
 
 
 class SuffixAutomaton:
@@ -103,15 +105,25 @@ def _candidates(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     runs = shared_runs(docs, "words", window, GRAM, buckets, within=False)
 
     def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            h, doc, pos = (np.concatenate(c) for c in zip(*held))
+            return packed(bucket_of(h, buckets), hash=h, doc=doc, pos=pos)
+
         for batch in rows:
             for doc, text, lo, hi in zip(*[batch.column(n).to_pylist() for n in ("doc_id", "text", "lo", "hi")]):
                 words = words_of(text)
-                parts, places = [], []
                 for a, b in zip(np.frombuffer(lo, "i8").tolist(), np.frombuffer(hi, "i8").tolist()):
-                    parts.append(Grams(word_hashes(words[a : b + window - 1]))(window))
-                    places.append(np.arange(a, b, dtype=np.uint32))
-                h = np.concatenate(parts)
-                yield packed(bucket_of(h, buckets), hash=h, doc=np.full(len(h), doc), pos=np.concatenate(places))
+                    h = Grams(word_hashes(words[a : b + window - 1]))(window)
+                    held.append((h, np.full(len(h), doc), np.arange(a, b, dtype=np.uint32)))
+                    size += len(h)
+                if size > SENT_WINDOWS:
+                    yield sent()
+                    held, size = [], 0
+        if held:
+            yield sent()
 
     def matched(table: pa.Table) -> pa.Table:
         h, doc = unpacked(table, "hash", "u8"), unpacked(table, "doc", "i8")
@@ -133,18 +145,22 @@ def _passages(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
     """(key, reference, doc_id, lo, words, n): candidate passages by first document."""
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        names = ("key", "reference", "doc_id", "lo", "words", "n")
+        pieces: list[tuple] = []
+        size = 0
         for batch in rows:
             for doc, text, *runs in zip(*[batch.column(n).to_pylist() for n in ("doc_id", "text", "lo", "hi", "first")]):
                 words = words_of(text)
-                lo, hi, first = [np.frombuffer(r, "i8").tolist() for r in runs]
-                pieces = [
-                    (f, f == doc, doc, at, b" ".join(words[at : min(b, at + AUTOMATON_WORDS) + window - 1]), min(b, at + AUTOMATON_WORDS) - at + window - 1)
-                    for a, b, f in zip(lo, hi, first)
-                    for at in range(a, b, AUTOMATON_WORDS)
-                ]
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                names = ("key", "reference", "doc_id", "lo", "words", "n")
-                yield pa.record_batch([pa.array([p[i] for p in pieces], k) for i, k in enumerate(kinds)], names)
+                for a, b, first in zip(*[np.frombuffer(r, "i8").tolist() for r in runs]):
+                    for at in range(a, b, AUTOMATON_WORDS):
+                        end = min(b, at + AUTOMATON_WORDS) + window - 1
+                        pieces.append((first, first == doc, doc, at, b" ".join(words[at:end]), end - at))
+                        size += end - at
+                if size > SENT_WINDOWS:
+                    yield pa.record_batch([pa.array([p[i] for p in pieces], k) for i, k in enumerate(kinds)], names)
+                    pieces, size = [], 0
+        yield pa.record_batch([pa.array([p[i] for p in pieces], k) for i, k in enumerate(kinds)], names)
 
     schema = "key long, reference boolean, doc_id long, lo long, words binary, n long"
     return docs.join(candidates, "doc_id").mapInArrow(cut, schema)

@@ -41,21 +41,23 @@ def _passages(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """(owner, doc_id, lo, raw): candidate strings of documents that are no copies."""
     runs = shared_runs(docs, "bytes", length, GRAM, bucket_count(docs), within=True)
 
+    step = SHARD_BYTES // 4
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
+            parts: list[tuple[int, int, int, bytes]] = []
+            size = 0
             for doc, text, *runs in zip(*[batch.column(n).to_pylist() for n in ("doc_id", "text", "lo", "hi", "owner")]):
                 raw = text.encode("utf-8", "surrogatepass")
-                lo, hi, owner = [np.frombuffer(r, "i8").tolist() for r in runs]
-                # Long runs are cut so that a document can spread over shards.
-                parts = [(o, at, raw[at : min(b, at + SHARD_BYTES // 4) + length - 1]) for a, b, o in zip(lo, hi, owner) for at in range(a, b, SHARD_BYTES // 4)]
-                yield pa.record_batch(
-                    {
-                        "owner": pa.array([p[0] for p in parts], pa.int64()),
-                        "doc_id": pa.array([doc] * len(parts), pa.int64()),
-                        "lo": pa.array([p[1] for p in parts], pa.int64()),
-                        "raw": pa.array([p[2] for p in parts], pa.binary()),
-                    }
-                )
+                for a, b, owner in zip(*[np.frombuffer(r, "i8").tolist() for r in runs]):
+                    # Long runs are cut so that a document can spread over shards.
+                    parts += [(owner, doc, at, raw[at : min(b, at + step) + length - 1]) for at in range(a, b, step)]
+                    size += b - a
+                if size > SHARD_BYTES:
+                    yield pa.record_batch([pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)], ["owner", "doc_id", "lo", "raw"])
+                    parts, size = [], 0
+            yield pa.record_batch([pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)], ["owner", "doc_id", "lo", "raw"])
 
     kept = runs.join(copies, "doc_id", "left_anti")
     return docs.join(kept, "doc_id").mapInArrow(cut, "owner long, doc_id long, lo long, raw binary")
