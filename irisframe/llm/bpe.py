@@ -13,8 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -23,18 +22,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from irisframe.llm.grams import batches as slices
+from irisframe.llm.pieces import Recent, cut, text_of
+
 #: A piece of more bytes is contracted with a heap: the query takes a step per
 #: merge, so its work would grow with the square of the length.
 QUERY_BYTES = 200
-#: Pieces and chunks whose encodings a worker remembers, emptied when full.
-PIECES = 600_000
-CHUNKS = 400_000
-#: Ids decoded at once.
-DECODED_IDS = 400_000
-#: ASCII white space always starts a new piece where it follows other text, so
-#: texts without other white space can be cut there before the pattern runs.
-_CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Pieces and uncut parts of texts whose encodings a worker remembers, twice at most.
+PIECES = 200_000
+PARTS = 160_000
+#: Pieces in one recursive query, which keeps a row for each byte and step.
+ASKED = 40_000
+#: Characters encoded and ids decoded at once.
+SLICE_CHARS = 2 << 20
+DECODED_IDS = 200_000
 
 _ENCODE = """
 WITH RECURSIVE parts(step, w, pos, tok, next_tok, next_pos) AS (
@@ -57,8 +58,9 @@ FROM parts JOIN (SELECT w, max(step) AS step FROM parts GROUP BY w) USING (w, st
 GROUP BY w
 """
 
+#: A token's bytes are held as the letters of the same code.
 _DECODE = """
-SELECT d, unhex(array_to_string(list(bytes ORDER BY pos), '')) AS raw
+SELECT d, array_to_string(list(letters ORDER BY pos), '') AS raw
 FROM (
     SELECT d, CAST(unnest(string_split(ids, ',')) AS INTEGER) AS tok, generate_subscripts(string_split(ids, ','), 1) AS pos
     FROM encoded WHERE ids <> ''
@@ -118,37 +120,41 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         tokens = pa.table(
-            {"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.hex() for t in self.ranks])}
+            {"tok": pa.array(self.ranks.values(), pa.int32()), "letters": pa.array([t.decode("latin-1") for t in self.ranks])}
         )
         for name, table in (("merges", merge_table(self.ranks)), ("vocabulary", tokens)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.pieces: dict[str, str] = {}
-        self.chunks: dict[str, str] = {}
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not known yet; ids are kept as decimal text."""
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        asked, raws = [], []
-        for piece in set(pieces) - self.pieces.keys():
+        self.pieces = Recent(PIECES, QUERY_BYTES)
+        self.parts = Recent(PARTS, QUERY_BYTES)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[str]:
+        """Ids of pieces as the pattern cuts them, as decimal text."""
+        out, asked, raws = [""] * len(pieces), [], []
+        for i, piece in enumerate(pieces):
             raw = piece.encode("utf-8")
             if raw in self.ranks:
-                self.pieces[piece] = str(self.ranks[raw])
+                out[i] = str(self.ranks[raw])
             elif len(raw) > QUERY_BYTES:
-                self.pieces[piece] = ",".join(map(str, contract_by_heap(raw, self.ranks)))
+                out[i] = ",".join(map(str, contract_by_heap(raw, self.ranks)))
             else:
-                asked.append(piece)
+                asked.append(i)
                 raws.append(raw)
-        if asked:
-            self.db.register("start", self._positions(raws))
+        for at in range(0, len(asked), ASKED):
+            self.db.register("start", self._positions(raws[at : at + ASKED]))
             for w, ids in self.db.execute(_ENCODE).fetchall():
-                self.pieces[asked[w]] = ids
+                out[asked[at + w]] = ids
             self.db.unregister("start")
+        return out
+
+    def _encode_parts(self, parts: list[str]) -> list[str]:
+        found = [self.pattern.findall(text_of(p)) for p in parts]
+        known = self.pieces.of(found, self._encode_pieces)
+        return [",".join([known[p] for p in pieces]) for pieces in found]
 
     def _positions(self, raws: list[bytes]) -> pa.Table:
         """One row per byte of each piece, with its follower (-1 at the end)."""
@@ -163,24 +169,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, joined by commas."""
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        cut = [[t] if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        fresh = {c: self.pattern.findall(c) for c in {c for chunks in cut for c in chunks} - self.chunks.keys()}
-        self._learn(p for pieces in fresh.values() for p in pieces)
-        known, pieces = self.chunks, self.pieces
-        own = {}
-        for chunk, found in fresh.items():
-            (own if len(chunk) > QUERY_BYTES else known)[chunk] = ",".join([pieces[p] for p in found])
-        lookup = known.__getitem__
-        return [",".join([own[c] if c in own else lookup(c) for c in chunks] if own else map(lookup, chunks)) for chunks in cut]
+        parts = [cut(t) for t in texts]
+        known = self.parts.of(parts, self._encode_parts)
+        # A text that starts with a space has an empty part before it.
+        return [",".join([known[p] for p in found if known[p]]) for found in parts]
 
     def decode(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text's ids."""
         self.db.register("encoded", pa.table({"d": pa.array(range(len(texts)), pa.int32()), "ids": pa.array(texts, pa.string())}))
         found = dict(self.db.execute(_DECODE).fetchall())
         self.db.unregister("encoded")
-        return [found.get(d, b"") for d in range(len(texts))]
+        return [found.get(d, "").encode("latin-1") for d in range(len(texts))]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -203,9 +202,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = codec(ranks_path, pattern).encode(texts)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.large_string())})
+            texts, docs = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
+            for a, b in slices(map(len, texts), SLICE_CHARS):
+                ids = codec(ranks_path, pattern).encode(texts[a:b])
+                yield pa.record_batch({"doc_id": docs.slice(a, b - a), "ids": pa.array(ids, pa.large_string())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids string")
 
@@ -220,14 +220,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             coder = coder or codec(ranks_path, pattern)
             ids = [t or "" for t in batch.column("ids").to_pylist()]
             counts = [t.count(",") + 1 if t else 0 for t in ids]
-            decoded: list[bytes] = []
-            start = total = 0
-            for at, n in enumerate([*counts, DECODED_IDS]):
-                if total and total + n > DECODED_IDS:
-                    decoded += coder.decode(ids[start:at])
-                    start, total = at, 0
-                total += n
-            decoded += [b""] * (len(ids) - len(decoded))
+            decoded = [raw for a, b in slices(counts, DECODED_IDS) for raw in coder.decode(ids[a:b])]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),

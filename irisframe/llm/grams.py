@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 SLICE = 1 << 21
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 _HASH_BITS = np.uint64(40)
 _POSITION = np.uint64((1 << 24) - 1)
 _MIX_A = np.uint64(0x9E3779B97F4A7C15)

@@ -57,14 +57,14 @@ class Recent:
         self._new: dict[str, object] = {}
         self._old: dict[str, object] = {}
 
-    def of(self, keys: Iterable[str], make: Callable[[list[str]], Iterable]) -> dict[str, object]:
-        """Values of ``keys``, those not remembered made by one call. The result
+    def of(self, keys: Iterable[list[str]], make: Callable[[list[str]], Iterable]) -> dict[str, object]:
+        """Values of all ``keys``, those not remembered made by one call. The result
         is valid until the next call; it may hold more than was asked for."""
         if len(self._new) > self._limit:
             self._old, self._new = self._new, {}
         new, old = self._new, self._old
         missing = []
-        for key in set(keys) - new.keys():
+        for key in {k for found in keys for k in found if k not in new}:
             if key in old:
                 new[key] = old[key]
             else:

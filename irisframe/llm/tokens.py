@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import struct
 
 from tokenizers import Tokenizer
 
 from irisframe.llm.pieces import Recent, cut, finer, is_one_piece
 
 #: Pieces and parts of texts a worker remembers, twice at most.
-PIECES = 350_000
-PARTS = 400_000
+PIECES = 200_000
+PARTS = 200_000
 
 
 #: How byte-level vocabularies spell bytes: printable Latin-1 letters stand for
@@ -19,8 +19,8 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
-def _packed(ids: Iterable[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class TextEncoder:
@@ -39,7 +39,7 @@ class TextEncoder:
         for i, piece in enumerate(pieces):
             if is_one_piece(piece):
                 spelled = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                out[i] = _packed(t.id for t in self._model.tokenize(spelled))
+                out[i] = _packed([t.id for t in self._model.tokenize(spelled)])
             else:
                 other.append(i)
         found = self._tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
@@ -49,12 +49,12 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
-        known = self._parts.of({p for found in parts for p in found}, self._encode_parts)
+        known = self._parts.of(parts, self._encode_parts)
         return [b"".join([known[p] for p in found]) for found in parts]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         pieces = [finer(p) for p in parts]
-        known = self._pieces.of({p for found in pieces for p in found}, self._encode)
+        known = self._pieces.of(pieces, self._encode)
         return [b"".join([known[p] for p in found]) for found in pieces]
 
 
