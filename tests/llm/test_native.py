@@ -89,6 +89,21 @@ def test_lines_on_many_sites_go(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(10), 50, 51, 52}
 
 
+def test_copies_on_many_sites_keep_one(spark):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(12))
+    exact = [(i, text, f"s{i % 15}") for i in range(30)]
+    exact += [(None, text, "s3"), (40, "quoted\nown words " * 40 + "\n" + text.split("\n")[0], "s2")]
+    kept = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(table(spark, exact)).collect()}
+    assert kept[0] == text and kept[40] == exact[-1][1]
+    # Near copies are different texts: with an odd line of their own, or with a blank line.
+    for odd in (lambda i: f"\nodd {i}", lambda i: "\n" + " " * i):
+        near = [(i, text + odd(i), f"s{i % 15}") for i in range(30)]
+        kept = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(table(spark, near)).collect()}
+        assert kept[0] == near[0][1] and not any("w0x0" in t for i, t in kept.items() if i)
+    # The registered query goes by its SQL: copies count, and lines go from every row.
+    assert all(r._cut == 12 for r in line_dedup.cut_boilerplate(table(spark, exact[:30])).collect())
+
+
 @pytest.mark.parametrize("rows", [0, 1, 7, 1000])
 def test_ring_bounds(spark, rows):
     out = ring.shard_documents(table(spark, [(i, "é" * (i % 5), "s") for i in range(rows)])).collect()
