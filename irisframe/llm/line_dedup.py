@@ -66,13 +66,12 @@ def line_spread(docs: DataFrame, *, site: str = "source", min_sites: int = MIN_S
             .filter(F.col("_site").isNotNull() & F.col("_line").rlike(_WORD))
             .select("_site", F.xxhash64("_line").alias("line"))
         )
-    # One row per line, site and task reaches the exchange, however often a line is repeated.
-    pairs = stored(spread.distinct(), "line-sites")
-    sketched = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", LOG_REGISTERS)).alias("estimate"))
+    # Sketches merge inside each task, so a line sends one per task however often it stands there.
+    sketched = spread.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", LOG_REGISTERS)).alias("estimate"))
     sketched = stored(sketched.filter(F.col("estimate") >= min_sites * (1 - NEAR)), "line-sketches")
     far = F.col("estimate") > min_sites * (1 + NEAR)
     near = sketched.filter(~far).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("n_sites"))
+    exact = spread.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
     return sketched.filter(far).select("line", F.col("estimate").alias("n_sites")).unionByName(
         exact.filter(F.col("n_sites") >= min_sites)
     )

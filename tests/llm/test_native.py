@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from irisframe.llm import host_rules, line_dedup, ring
+from irisframe.llm.common import stored
 
 SCHEMA = T.StructType(
     [
@@ -89,6 +90,17 @@ def test_lines_on_many_sites_go(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(10), 50, 51, 52}
 
 
+def test_exact_pairs_only_near_the_threshold(spark, monkeypatch):
+    """Lines are stored as sketches; no table of every line's sites is made."""
+    made = []
+    monkeypatch.setattr(line_dedup, "stored", lambda df, purpose: made.append(df.columns) or stored(df, purpose))
+    rows = [(i, f"own {i}\non all" + "\non ten" * (i < 10) + "\non nine" * (i < 9), f"s{i}") for i in range(60)]
+    found = {r.line: r.n_sites for r in line_dedup.line_spread(table(spark, rows)).collect()}
+    hashes = spark.sql("SELECT xxhash64('on all') AS a, xxhash64('on ten') AS t").first()
+    assert set(found) == {hashes.a, hashes.t} and found[hashes.t] == 10
+    assert made == [["line", "estimate"]]
+
+
 def test_copies_on_many_sites_keep_one(spark):
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(12))
     exact = [(i, text, f"s{i % 15}") for i in range(30)]
