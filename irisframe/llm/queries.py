@@ -61,7 +61,7 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
-    return warc.page_payloads(spark, path)
+    return warc.page_payloads(spark, path).drop("reason")
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,14 +30,14 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-E
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a smaller page_id has already."""
+    """(page_id, digest, refers_to) of payloads that a smaller page_id has already."""
     slim = pages.filter(F.col("page_id").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
     slim = slim.filter(F.octet_length("html") >= MIN_REVISIT).select("page_id", F.sha2("html", 256).alias("digest"))
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
     first = first.filter("last > refers_to").drop("last")
-    return slim.join(first, "digest").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return slim.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _record(fields: dict[str, object], block: str) -> str:
@@ -105,9 +105,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     out, size = [], 0
             yield pa.record_batch({"value": pa.array(out, pa.string())})
 
+    html = F.col("html").cast("string")
+    # Rows that share a page_id can have different payloads.
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    ).join(revisits(pages), "page_id", "left")
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.coalesce(html, F.lit("")), 256).alias("digest")
+    ).join(revisits(pages), ["page_id", "digest"], "left")
     rows.mapInArrow(run, "value string").write.option("compression", "gzip").option(
         "maxRecordsPerFile", RECORDS_PER_FILE
     ).text(path, lineSep=_END)
@@ -240,16 +242,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of sound records;
-    a revisit's figures are those of the response it refers to."""
-    pages = read_pages(spark, path).filter("error is null")
-    facts = pages.select(
-        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, reason: one row per
+    page record. A revisit's figures are those of the response it refers to. Records
+    with an error, and revisits without a sound response, have no figures but a reason.
+    """
+    facts = read_pages(spark, path).select(
+        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("error").alias("reason")
     )
     facts = stored(facts, "warc-facts")
-    responses = facts.filter("record_type = 'response'")
-    named = responses.filter("page_id is not null").select(F.col("page_id").alias("_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).distinct()
-    again = facts.filter("record_type = 'revisit'").join(named, F.col("refers_to") == F.col("_to"))
-    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(
-        again.select("page_id", F.col("_n").alias("payload_bytes"), F.col("_d").alias("payload_digest"), "record_type", "refers_to")
+    again = F.coalesce((F.col("record_type") == "revisit") & F.col("reason").isNull(), F.lit(False))
+    responses = facts.filter("record_type = 'response' AND reason IS NULL AND page_id IS NOT NULL")
+    named = responses.select(F.col("page_id").alias("_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).distinct()
+    referring = facts.filter(again).join(named, (F.col("refers_to") == F.col("_to")) & (F.col("digest") == F.col("_d")), "left")
+    reason = F.when(F.col("_to").isNull(), "no sound response").alias("reason")
+    return facts.filter(~again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "reason").unionByName(
+        referring.select("page_id", F.col("_n").alias("payload_bytes"), F.col("_d").alias("payload_digest"), "record_type", "refers_to", reason)
     )

@@ -86,6 +86,26 @@ def test_archive_round_trip(spark):
     assert out[5].payload_bytes == len(long.encode()) and out[10].payload_digest == hashlib.sha256(b"z" * 100).hexdigest()
 
 
+def test_repeated_page_ids_keep_their_payloads(spark):
+    a, b = "a" * 200, "b" * 300
+    path = scratch_dir(spark, "test-warc")
+    warc.write_archives(pages(spark, [(3, "u", a), (3, "u", b), (5, "u", a), (5, "u", b), (5, "u", "c" * 400)]), path)
+    out = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.reason) for r in warc.page_payloads(spark, path).collect())
+    assert out == [(3, 200, "response", None, None), (3, 300, "response", None, None)] + [
+        (5, 200, "revisit", 3, None), (5, 300, "revisit", 3, None), (5, 400, "response", None, None)
+    ]
+
+
+def test_damaged_records_come_back_with_a_reason(spark, monkeypatch):
+    path = scratch_dir(spark, "test-warc")
+    warc.write_archives(pages(spark, [(1, "u", "abc" * 20_000), (2, "u", "abc" * 20_000), (3, "u", "sound")]), path)
+    whole = warc.read_records
+    monkeypatch.setattr(warc, "read_records", lambda *a: whole(*a).filter("number IS NULL OR number <> 1"))
+    out = warc.page_payloads(spark, path).collect()
+    assert len(out) == 3 and sum(r.payload_bytes is None for r in out) == 2
+    assert {r.reason for r in out} == {"missing segment", "no sound response", None}
+
+
 def test_incomplete_segments_are_named(spark):
     path = scratch_dir(spark, "test-warc")
     warc.write_archives(pages(spark, [(1, "u", "abc" * 20_000)]), path)
