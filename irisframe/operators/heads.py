@@ -26,15 +26,16 @@ def fit_linear_head(df: DataFrame, features: str, *, weight_decay: float = 1e-4,
 
 
 def fit_fusion_head(
-    df: DataFrame, left: str, right: str, width: int, num_classes: int, *, hidden: int = 512, iterations: int = 25, seed: int = 42
+    df: DataFrame, left: str, right: str, width: int | tuple[int, int], num_classes: int, *, hidden: int = 512, iterations: int = 25, seed: int = 42
 ):
-    """Concatenated vectors of ``width`` each, one hidden layer, softmax output.
+    """Concatenated vectors of ``width`` each, or of the two widths, one hidden layer, softmax output.
 
     Spark's perceptron uses a sigmoid hidden layer and has no dropout.
     """
     fused = df.withColumn("_fused", fuse(F.col(left), F.col(right)))
+    inputs = 2 * width if isinstance(width, int) else sum(width)
     head = MultilayerPerceptronClassifier(
-        layers=[2 * width, hidden, num_classes], maxIter=iterations, seed=seed
+        layers=[inputs, hidden, num_classes], maxIter=iterations, seed=seed
     )
     return head.fit(with_features(fused, "_fused").select("features", "label"))
 

@@ -18,7 +18,7 @@ from ..sources.pixels import first_samples
 from ..streaming import early_stop as live
 from ..streaming import incremental
 from . import views
-from .views import NUM_CLASSES, pixels_long, predictions, r6, table
+from .views import NUM_CLASSES, VECTOR_WIDTH, pixels_long, predictions, r6, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -757,7 +757,7 @@ def _separable(spark, folder):
     fit must recover every label."""
     hint = F.transform(scoring.one_hot(F.col("label"), NUM_CLASSES), lambda x: x * F.lit(20.0))
     vectors = table(spark, folder, "embeddings")
-    own = F.slice("embedding", 1, NUM_CLASSES).cast("array<double>")
+    own = F.col("embedding").cast("array<double>")
     return vectors.select("vec_id", "label", own.alias("a"), hint.alias("b")).withColumn("both", F.concat("a", "b"))
 
 
@@ -771,7 +771,7 @@ def linear_head(spark, folder):
 @query
 def fusion_head(spark, folder):
     rows = _separable(spark, folder)
-    model = heads.fit_fusion_head(rows, "a", "b", NUM_CLASSES, NUM_CLASSES, hidden=64, iterations=60)
+    model = heads.fit_fusion_head(rows, "a", "b", (VECTOR_WIDTH, NUM_CLASSES), NUM_CLASSES, hidden=64, iterations=60)
     return heads.score_fusion_head(model, rows, "a", "b").select("vec_id", "label", "pred")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from irisframe.operators import confusion, heads, splits
+from irisframe.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,8 @@ def test_cross_validation_scores_every_row_once(rows):
     assert preds.select("id").distinct().count() == preds.count() == 240
     assert accuracy(preds) > 0.97
     assert preds.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] == 48
+
+
+def test_queries_fit_whole_vectors(spark):
+    rows = queries._separable(spark, "/root/testdata/sf0.001")
+    assert rows.filter((F.size("a") != 64) | (F.size("both") != 74)).isEmpty()
