@@ -4,7 +4,9 @@ A document fills whole windows first; its tail is what gets packed. Tail lengths
 are counted in classes of ``QUANTUM`` tokens. All combinations of up to three
 classes that fill a window are enumerated, and non-negative least squares finds
 how often to use each so that the counts meet the histogram. The rounded counts
-are carried out; tails they leave over are laid end to end and cut at window ends.
+are carried out. Tails they leave over are packed greedily, the largest first and
+then always the largest that still fits; where that would leave more than one part
+in ``SLACK`` of a window empty, tails are laid end to end and cut at window ends.
 
 The driver sees the histogram only, at most ``window / QUANTUM`` numbers.
 """
@@ -16,19 +18,24 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irisframe.llm.common import stored
+from irisframe.llm.parts import byte_slices
 from irisframe.llm.tokens import text_encoder
 
 WINDOW = 2048
 QUANTUM = 16
 END_ID = 1
 ROWS_PER_BUCKET = 200_000
-_SLICE = 256
+#: Greedy windows may stay empty by one part in so many.
+SLACK = 128
+#: Text bytes tokenized at once.
+SLICE_BYTES = 16 << 20
 
 
 def combinations(units: int, present: list[int]) -> np.ndarray:
@@ -72,6 +79,27 @@ def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 1000)
     return x
 
 
+def greedy_counts(left: dict[int, int], units: int) -> list[tuple[tuple[int, ...], int]]:
+    """(classes, repeats) of windows filled with the largest class that fits, again
+    and again. Every round uses a class up, or finds that its windows would stay too
+    empty and leaves it out, so rounds are bounded by the number of classes."""
+    left, out = dict(left), []
+    while any(left.values()):
+        way: list[int] = []
+        space = units
+        while fits := [c for c, n in left.items() if c <= space and n > way.count(c)]:
+            way.append(max(fits))
+            space -= way[-1]
+        if space * SLACK > units:
+            left[way[0]] = 0
+            continue
+        repeats = min(left[c] // way.count(c) for c in set(way))
+        for c in way:
+            left[c] -= repeats
+        out.append((tuple(way), repeats))
+    return out
+
+
 def repeat_counts(histogram: Mapping[int, int], units: int) -> list[tuple[tuple[int, ...], int]]:
     """(classes, repeats): the rounded solution, within what the histogram holds."""
     present = sorted(c for c, n in histogram.items() if n)
@@ -107,9 +135,9 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: in
         row = TaskContext.get().partitionId() << 36
         encode = text_encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                ids = [e + end for e in encode([t or "" for t in part.column("text").to_pylist()])]
+            for a, b in byte_slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                ids = [e + end for e in encode(pc.fill_null(part.column("text"), ""))]
                 cuts = [len(i) - len(i) % step for i in ids]
                 yield pa.record_batch(
                     {
@@ -154,7 +182,12 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, quantum: int
     counted = slim.groupBy("class").agg(F.count("*").alias("rows"), F.sum("whole").alias("whole")).collect()
     total_rows, total_whole = sum(r["rows"] for r in counted), sum(r["whole"] for r in counted)
     buckets = max(16, -(-total_rows // ROWS_PER_BUCKET))
-    chosen = repeat_counts({r["class"]: r["rows"] for r in counted if r["class"]}, window // quantum)
+    histogram = {r["class"]: r["rows"] for r in counted if r["class"]}
+    chosen = repeat_counts(histogram, window // quantum)
+    for classes, repeats in chosen:
+        for c in classes:
+            histogram[c] -= repeats
+    chosen += greedy_counts(histogram, window // quantum)
 
     filled = (
         _running(rows.filter(whole > 0).select("rid", "doc_id", "tokens", "checks", whole.alias("whole")), [], "whole", "base", buckets)
@@ -176,7 +209,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, quantum: int
             slots.append((c, used.get(c, 0), used.get(c, 0) + repeats, sequence, slot))
             used[c] = used.get(c, 0) + repeats
         sequence += repeats
-    # At most three rows for each combination in use, which are at most window / quantum.
+    # Every combination in use has at most window / quantum rows, and there are at
+    # most twice as many combinations as classes.
     plan = F.broadcast(spark.createDataFrame(slots, "c int, lo long, hi long, first long, slot int"))
     ranked = _running(slim.filter("n > 0").withColumn("_one", F.lit(1).cast("long")), ["class"], "_one", "k", buckets).drop("_one")
     placed = stored(

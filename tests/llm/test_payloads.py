@@ -7,12 +7,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from irisframe.llm import bpe, media, packing, queries, warc
+from irisframe.llm.tokens import TextEncoder
 from irisframe.session import scratch_dir
 
 from .test_native import odd_rows, table
@@ -201,6 +203,37 @@ def test_packing_odd_rows(spark):
     assert packing.pack(table(spark, []), queries.VOCABULARY).count() == 0
 
 
+def test_part_encoder_equals_the_library():
+    """Every letter of the BMP in context, odd white space, special tokens as such
+    and as text."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    texts = ["".join(f"a{c}b {c}1{c} x" for c in letters[at : at + 16]) for at in range(0, len(letters), 16)]
+    some = ["a", "B", " ", "  ", "\n", "\n ", "\t", " \n", "é", "'s", "23", "...", "<|endoftext|>", " <|", "你", "\u3000", "\x85", "😀", "▁", "\0", " word"]
+    texts += ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(5000)]
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        expected = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert TextEncoder(queries.VOCABULARY, special=special)(pa.array(texts)) == expected
+    other = TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert other(pa.array(["Two words, 3"])) == [np.array(library.encode("Two words, 3", add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
+def test_greedy_windows():
+    rng = random.Random(5)
+    histogram = {c: rng.randrange(40) for c in range(1, 129)}
+    used = defaultdict(int)
+    for classes, n in packing.greedy_counts(histogram, 128):
+        assert 127 <= sum(classes) <= 128 and n > 0
+        for c in classes:
+            used[c] += n
+    assert all(used[c] <= histogram[c] for c in used)
+    assert packing.greedy_counts({}, 128) == [] and packing.greedy_counts({100: 5}, 128) == []
+    assert packing.greedy_counts({100: 5, 28: 2}, 128) == [((100, 28), 2)]
+
+
 def test_least_squares():
     rng = np.random.default_rng(4)
     for _ in range(20):
