@@ -52,3 +52,23 @@ def bucket_count(docs: DataFrame) -> int:
     """Buckets for an exchange of what is derived from all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(16, -(-total // BYTES_PER_BUCKET))
+
+
+#: A key is hot if it has more than one in so many rows; so fewer keys are hot.
+HOT_SHARE = 500
+
+
+def joined_on_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for every ``key``
+    and its number of ``rows`` as ``count``.
+
+    Rows with a hot key never move: the hot keys, fewer than ``HOT_SHARE`` since
+    their shares add up to one, are broadcast. The others meet in a shuffle join.
+    Both tables are read twice, so they should be stored.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    table = table.withColumn("_hot", F.col(count) * HOT_SHARE > total)
+    hot = F.broadcast(table.filter("_hot").drop("_hot", count))
+    rest = table.filter("NOT _hot").drop("_hot", count)
+    marks = F.broadcast(table.filter("_hot").select(key))
+    return rows.join(hot, key).unionByName(rows.join(marks, key, "left_anti").join(rest, key))

@@ -63,11 +63,18 @@ def cut_texts(texts: pa.Array, *, spaced: bool, kept_whole: Iterable[str] = ())
 
 def byte_list(values: pa.Array) -> list[bytes]:
     """The values of a large binary array without nulls."""
-    ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist()
-    data = values.buffers()[2].to_pybytes() if values.buffers()[2] else b""
+    data, ends = values.buffers()[2].to_pybytes() if values.buffers()[2] else b"", ends_of(values).tolist()
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def ends_of(values: pa.Array) -> np.ndarray:
+    """Where each value of a large binary or string array starts in its data, and
+    the end of the last one."""
+    if not len(values):
+        return np.zeros(1, dtype=np.int64)
+    return np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+
+
 def text_of(part: bytes) -> bytes:
     return part[1:].replace(_KEPT, b" ") if part.startswith(MARK) else b" " + part
 

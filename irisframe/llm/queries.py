@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irisframe.llm import bpe, host_rules, line_dedup, media, minhash, packing, ring, substring, suffix_dedup, warc
+from irisframe.llm import align, bpe, host_rules, line_dedup, media, minhash, packing, ring, simhash, substring, suffix_dedup, warc, whitening
 from irisframe.llm.common import stored
 from irisframe.session import scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +80,18 @@ def op10_recursive_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, folder), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align_documents(_documents(spark, folder), VOCABULARY, PIECES).documents
+
+
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, folder))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,4 +103,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ring_shards": op9_ring_shards,
     "op10_recursive_bpe": op10_recursive_bpe,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
