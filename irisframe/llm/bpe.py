@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -58,13 +59,11 @@ FROM parts JOIN (SELECT w, max(step) AS step FROM parts GROUP BY w) USING (w, st
 GROUP BY w
 """
 
-#: A token's bytes are held as the letters of the same code.
+#: A token's bytes are held as the letters of the same code. One thread aggregates
+#: the rows in the order that the subquery gives them.
 _DECODE = """
-SELECT d, array_to_string(list(letters ORDER BY pos), '') AS raw
-FROM (
-    SELECT d, CAST(unnest(string_split(ids, ',')) AS INTEGER) AS tok, generate_subscripts(string_split(ids, ','), 1) AS pos
-    FROM encoded WHERE ids <> ''
-) JOIN vocabulary USING (tok)
+SELECT d, string_agg(letters, '') AS raw
+FROM (SELECT d, letters FROM encoded JOIN vocabulary USING (tok) ORDER BY pos)
 GROUP BY d
 """
 
@@ -120,7 +119,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": tempfile.gettempdir()})
         tokens = pa.table(
             {"tok": pa.array(self.ranks.values(), pa.int32()), "letters": pa.array([t.decode("latin-1") for t in self.ranks])}
         )
@@ -176,7 +175,10 @@ class Codec:
 
     def decode(self, texts: list[str]) -> list[bytes]:
         """The bytes of each text's ids."""
-        self.db.register("encoded", pa.table({"d": pa.array(range(len(texts)), pa.int32()), "ids": pa.array(texts, pa.string())}))
+        counts = [t.count(",") + 1 if t else 0 for t in texts]
+        tok = np.fromstring(",".join(filter(None, texts)), dtype=np.int32, sep=",")
+        d = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        self.db.register("encoded", pa.table({"d": d, "pos": np.arange(len(tok)), "tok": tok}))
         found = dict(self.db.execute(_DECODE).fetchall())
         self.db.unregister("encoded")
         return [found.get(d, "").encode("latin-1") for d in range(len(texts))]
