@@ -29,9 +29,11 @@ def rejected_scores(scores: DataFrame) -> DataFrame:
     return scores.filter(~_usable()).withColumn("reason", reason)
 
 
-def cumulative(scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def cumulative(
+    scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, totals: bool = True
+) -> DataFrame:
     """Per distinct score: positives, negatives, running TP / FP by falling score,
-    and the class totals ``p`` and ``q``.
+    and, with ``totals``, the class totals ``p`` and ``q`` that the curves need.
 
     Equal scores are merged before anything is ordered, so a score shared by a
     third of all rows is one row in the scan. Null and NaN scores and null labels
@@ -47,13 +49,13 @@ def cumulative(scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket:
         ["_down"],
         {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))},
         rows_per_bucket=rows_per_bucket,
-        totals={"tp": "p", "fp": "q"},
+        totals={"tp": "p", "fp": "q"} if totals else None,
     )
     return ran.withColumn("score", -F.col("_down")).drop("_down")
 
 
 def cumulative_from_column(
-    df: DataFrame, label: str, score: str, classes: Sequence, *, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, label: str, score: str, classes: Sequence, *, rows_per_bucket: int = ROWS_PER_BUCKET, totals: bool = True
 ) -> DataFrame:
     """``cumulative`` for one score column judged against every declared class.
 
@@ -66,7 +68,8 @@ def cumulative_from_column(
     points = slim.groupBy((-F.col("score")).alias("_down")).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in counts.items()])
     names = ["_n", *counts]
     scans = {f"_r{n}": Scan("sum", F.col(n)) for n in names}
-    ran = prefix_scan(points, [], ["_down"], scans, rows_per_bucket=rows_per_bucket, totals={f"_r{n}": f"_t{n}" for n in names})
+    ends = {f"_r{n}": f"_t{n}" for n in names} if totals else None
+    ran = prefix_scan(points, [], ["_down"], scans, rows_per_bucket=rows_per_bucket, totals=ends)
     each = [
         F.struct(
             F.lit(c).alias("class"),
@@ -74,8 +77,7 @@ def cumulative_from_column(
             (F.col("_n") - F.col(n)).alias("neg"),
             F.col(f"_r{n}").alias("tp"),
             (F.col("_r_n") - F.col(f"_r{n}")).alias("fp"),
-            F.col(f"_t{n}").alias("p"),
-            (F.col("_t_n") - F.col(f"_t{n}")).alias("q"),
+            *([F.col(f"_t{n}").alias("p"), (F.col("_t_n") - F.col(f"_t{n}")).alias("q")] if totals else []),
         )
         for n, c in zip(counts, classes)
     ]

@@ -2,9 +2,14 @@
 
 A plain window over (group, order) sends a whole group through one task. Here
 the rows are cut into buckets that follow the order: either a fixed function of
-the row's own key, or ranges that Spark draws when it sorts the table. Each
-(group, bucket) is scanned on its own, bucket totals are prefix-scanned (groups +
-buckets rows), and the two parts are combined.
+the row's own key, or ranges that Spark draws when it sorts the table.
+
+Ranges are scanned while they are written: the task that holds a sorted range runs
+through it batch by batch with the state of the current group, and adds the totals
+of its last group. Only the first group of a range can have begun in an earlier
+one, so what is carried over is one row for each range, and the result needs no
+further shuffle. Buckets by a function of the key are scanned by windows over
+(group, bucket), and bucket totals are prefix-scanned (groups + buckets rows).
 
 Ranges are written to the shared scratch folder once, so that every later use
 sees the same buckets, also after an executor is lost. Nulls order first and a
@@ -13,12 +18,18 @@ null group is a group like any other, whatever the number of buckets.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_dir
 
@@ -53,12 +64,149 @@ def range_cut(df: DataFrame, keys: Sequence[str], *, rows_per_bucket: int = ROWS
     ``df`` move once and are stored, so it should be slim: keys and values, with
     wide payload joined to the result by key.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_bucket))
-    path = scratch_dir(spark, "ordered")
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_bucket", F.spark_partition_id())
-    ranged.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(ranged.schema).parquet(path)
+    ranged = df.repartitionByRange(_ranges(df, rows_per_bucket), *keys).withColumn("_bucket", F.spark_partition_id())
+    return _written(ranged)
+
+
+def _ranges(df: DataFrame, rows_per_bucket: int) -> int:
+    """Number of ranges: the session's shuffle partitions, or more if these would
+    hold more than ``rows_per_bucket`` rows each. Rows are counted only where the
+    optimizer's estimate of the table's bytes, at least eight a row, leaves that open."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate <= 8 * parts * rows_per_bucket:
+        return parts
+    return max(parts, -(-df.count() // rows_per_bucket))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession, "ordered")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Types that Arrow compares and numpy scans; others are scanned by windows.
+_GROUPS = (T.IntegralType, T.FractionalType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_VALUES = (T.IntegralType, T.FloatType, T.DoubleType)
+
+
+def _starts(columns: Sequence[pa.Array], before: Sequence[pa.Array] | None, size: int) -> np.ndarray:
+    """Whether each row begins a group, given the group of the row before the batch."""
+    new = np.zeros(size, dtype=bool)
+    new[0] = before is None
+    for i, column in enumerate(columns):
+        column = pa.concat_arrays([before[i] if before else column[:1], column])
+        a, b = column[:-1], column[1:]
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(column.type):
+            differ = pc.and_(differ, pc.invert(pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False)))
+        new |= np.asarray(pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b))))
+    return new
+
+
+class _Running:
+    """One running value over the batches of a range, and its state between them."""
+
+    def __init__(self, kind: str, inclusive: bool):
+        self.kind, self.inclusive = kind, inclusive
+        self.value, self.seen = None, 0
+
+    def _over(self, a: np.ndarray, b) -> np.ndarray:
+        return {"sum": np.add, "max": np.maximum, "min": np.fmin}[self.kind](a, b)
+
+    def __call__(self, column: pa.Array, new: np.ndarray, part: np.ndarray) -> pa.Array:
+        valid = np.asarray(column.is_valid())
+        if pa.types.is_floating(column.type):
+            empty = {"sum": 0.0, "max": -np.inf, "min": np.inf}[self.kind]
+        else:
+            empty = {"sum": 0, "max": np.iinfo(np.int64).min, "min": np.iinfo(np.int64).max}[self.kind]
+        raw = np.asarray(pc.fill_null(column, empty))
+        unsound = np.isnan(raw) if raw.dtype.kind == "f" else np.zeros(len(raw), dtype=bool)
+        grouped = pd.Series(np.where(unsound, empty, raw)).groupby(part, sort=False)
+        out = getattr(grouped, {"sum": "cumsum", "max": "cummax", "min": "cummin"}[self.kind])().to_numpy()
+        seen = pd.Series(valid.astype(np.int64)).groupby(part, sort=False).cumsum().to_numpy()
+        if unsound.any():
+            # NaN is the largest value, and makes every sum NaN.
+            hits = pd.Series((unsound if self.kind != "min" else valid & ~unsound).astype(np.int64)).groupby(part, sort=False).cumsum().to_numpy()
+            out = np.where(hits > 0, np.nan, out) if self.kind != "min" else np.where((seen > 0) & (hits == 0), np.nan, out)
+        go_on = part == 0
+        if self.seen and go_on.any():
+            out[go_on] = np.where(seen[go_on] > 0, self._over(out[go_on], self.value), self.value)
+            seen[go_on] += self.seen
+        if self.inclusive:
+            shown, known = out, seen > 0
+        else:
+            shown = np.concatenate((out[:1] if self.value is None else [self.value], out[:-1])).astype(out.dtype)
+            known = np.concatenate(([self.seen > 0], seen[:-1] > 0)) & ~new
+        self.value, self.seen = out[-1], int(seen[-1])
+        return pa.array(shown, column.type, mask=~known)
+
+    def total(self, kind: pa.DataType) -> pa.Array:
+        return pa.array([self.value if self.seen else None], kind)
+
+
+def _scan_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan], rows_per_bucket: int) -> DataFrame:
+    """The rows with ``_bucket``, their running values inside it and whether they are
+    of its first group; and, marked by ``_edge``, a row for the first and the last
+    group of every bucket, whose values are the group's totals there."""
+    kept = df.columns
+    taken = df.withColumns({f"_v_{n}": s.value for n, s in scans.items()})
+    sorted_rows = taken.repartitionByRange(_ranges(df, rows_per_bucket), *group, *order).sortWithinPartitions(*group, *order)
+    kinds = {n: _scanned_type(taken.schema[f"_v_{n}"].dataType) for n in scans}
+    rules = {n: (s.kind, s.inclusive) for n, s in scans.items()}
+    slim = sorted_rows.select(*kept, *[F.col(f"_v_{n}").cast(kinds[n]).alias(f"_v_{n}") for n in scans])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, running = TaskContext.get().partitionId(), {n: _Running(*r) for n, r in rules.items()}
+        first = last = None
+        groups, types = 0, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(g) for g in group]
+            new = _starts(columns, last, batch.num_rows)
+            part = np.cumsum(new)
+            made = {n: r(batch.column(f"_v_{n}"), new, part) for n, r in running.items()}
+            head = groups + part <= 1
+            groups += int(part[-1])
+            first, last = first or [c[:1] for c in columns], [c[-1:] for c in columns]
+            types = {n: batch.column(n).type for n in kept} | {n: a.type for n, a in made.items()}
+            size = batch.num_rows
+            marks = [pa.array(np.full(size, bucket, dtype=np.int32)), pa.array(head), pa.nulls(size, pa.bool_())]
+            yield pa.record_batch([*[batch.column(n) for n in kept], *made.values(), *marks], [*kept, *made, "_bucket", "_head", "_edge"])
+        if not groups:
+            return
+        # Only totals of the last group are ever carried on; a first group that ends
+        # here has none to give, but takes what is carried in.
+        for at, is_first, totals in ((first, True, groups == 1), (last, False, True)):
+            if is_first or groups > 1:
+                named = dict(zip(group, at))
+                values = [named.get(n, pa.nulls(1, types[n])) for n in kept]
+                values += [r.total(types[n]) if totals else pa.nulls(1, types[n]) for n, r in running.items()]
+                marks = [pa.array([bucket], pa.int32()), pa.nulls(1, pa.bool_()), pa.array([is_first])]
+                yield pa.record_batch([*values, *marks], [*kept, *running, "_bucket", "_head", "_edge"])
+
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField(n, kinds[n]) for n in scans]
+    marks = [T.StructField("_bucket", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.BooleanType())]
+    return _written(slim.mapInArrow(run, T.StructType(fields + marks)))
+
+
+def _scanned_type(kind: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+
+
+def _carried_on(ranges: DataFrame, group: Sequence[str], scans: Mapping[str, Scan]) -> DataFrame:
+    """Running values over ranges from their own and what earlier ranges hold of
+    their first group."""
+    key = F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
+    earlier = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    edges = ranges.filter("_edge IS NOT NULL").withColumn("_group", key)
+    carried = edges.select("_bucket", "_edge", *[s.over(F.col(n)).over(earlier).alias(f"_c_{n}") for n, s in scans.items()])
+    # One row for each bucket.
+    carried = F.broadcast(carried.filter("_edge").drop("_edge"))
+    rows = ranges.filter("_edge IS NULL").join(carried, "_bucket", "left")
+    both = {n: F.when(F.col("_head"), s.combine(F.col(n), F.col(f"_c_{n}"))).otherwise(F.col(n)) for n, s in scans.items()}
+    return rows.withColumns(both).drop("_head", "_edge", *[f"_c_{n}" for n in scans])
 
 
 def prefix_scan(
@@ -79,6 +227,16 @@ def prefix_scan(
     ``_bucket``; passed back in as ``F.col("_bucket")``, a further scan reuses
     it. ``totals`` names columns for the whole group's value of some scans.
     """
+    types = df.select(*group, *[s.value.alias(f"_v_{n}") for n, s in scans.items()]).schema if bucket is None else None
+    fit = types and all(isinstance(f.dataType, _VALUES if f.name.startswith("_v_") else _GROUPS) for f in types)
+    if fit and all(scans[n].inclusive for n in totals or {}):
+        ranges = _scan_ranges(df, group, order, scans, rows_per_bucket)
+        out = _carried_on(ranges, group, scans)
+        # A running value has the type that the aggregate has.
+        out = out.withColumns({n: F.col(n).cast(types[f"_v_{n}"].dataType) for n, s in scans.items() if s.kind != "sum"})
+        if totals:
+            out = _with_totals(out, group, order, totals)
+        return out if keep_bucket else out.drop("_bucket")
     if bucket is None:
         df, bucket = range_cut(df, [*group, *order], rows_per_bucket=rows_per_bucket), F.col("_bucket")
     # A struct is never null, so a null group needs no special join.
@@ -102,6 +260,14 @@ def prefix_scan(
     )
 
 
+def _with_totals(rows: DataFrame, group: Sequence[str], order: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """Add the value that running values have at the end of their group."""
+    keyed = rows.withColumn("_group", F.struct(*[F.col(g) for g in group]) if group else F.lit(0))
+    last = F.struct(*[F.col(o) for o in order])
+    ends = keyed.groupBy("_group").agg(*[F.max_by(n, last).alias(name) for n, name in totals.items()])
+    return keyed.join(ends, "_group").drop("_group")
+
+
 def global_index(
     df: DataFrame,
     order: Sequence[str],

@@ -30,14 +30,14 @@ def _log(df: DataFrame, run: str, epoch: str, value: str, mode: str) -> DataFram
 
 
 def _scored(df: DataFrame, run: str, epoch: str, value: str, mode: str, rows_per_bucket: int) -> DataFrame:
-    """The log with each row's position, the best rank before it, the run's length
-    ``n``, and ``_bucket`` for further scans."""
+    """The log with each row's position, the best rank before it, and ``_bucket`` for
+    further scans."""
     scans = {
         "pos": Scan("sum", F.lit(1).cast("long")),
         "before": Scan("max", F.col("rank"), inclusive=False),
     }
     log = _log(df, run, epoch, value, mode)
-    return prefix_scan(log, ["run"], ["epoch"], scans, rows_per_bucket=rows_per_bucket, keep_bucket=True, totals={"pos": "n"})
+    return prefix_scan(log, ["run"], ["epoch"], scans, rows_per_bucket=rows_per_bucket, keep_bucket=True)
 
 
 def best_so_far(
@@ -109,7 +109,7 @@ def _firsts(patience: int) -> list[Column]:
     first = F.when(F.col("pos") == 1, F.struct("score", "rank"))
     return [
         F.first(first, ignorenulls=True).alias("first"),
-        F.max("n").alias("n"),
+        F.max("pos").alias("n"),
         F.max(F.when(F.col("pos") == 1 + patience, F.col("epoch"))).alias("idle_end"),
     ]
 
@@ -237,7 +237,7 @@ def plateau_rate(
     walked = fold_improvements(
         scored.filter(may).select("run", "pos", F.col("rank").alias("score")), lambda s, best: s > best * gain, cycle
     ).withColumnRenamed("run", "_run")
-    runs = scored.groupBy("run").agg(F.max("n").alias("n"))
+    runs = scored.groupBy("run").agg(F.max("pos").alias("n"))
     since = F.col("n") - F.coalesce("pos", F.lit(0))
     cuts = F.coalesce("waits", F.lit(0)) + F.floor(since / cycle)
     rate = F.lit(settings.initial_rate) * F.pow(F.lit(settings.factor), F.col("cuts"))

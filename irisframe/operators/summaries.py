@@ -49,7 +49,7 @@ def cv_results(preds: DataFrame, fold: str = "fold") -> DataFrame:
         F.col("macro_recall").alias("recall"),
         "macro_f1",
     )
-    running = cumulative(scores_from_probs(preds, keys=[fold]), keys=[fold])
+    running = cumulative(scores_from_probs(preds, keys=[fold]), keys=[fold], totals=False)
     auc = macro_weighted_auc(curve_areas(running, [fold]), [fold])
     return prf.join(auc.select(fold, F.col("macro_auc").alias("roc_auc")), fold)
 
@@ -61,7 +61,7 @@ def cv_means(results: DataFrame) -> DataFrame:
 
 def summary_parts(preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row of P/R/F1 averages, one row of AUC averages)."""
-    running = cumulative(scores_from_probs(preds))
+    running = cumulative(scores_from_probs(preds), totals=False)
     return macro_weighted(preds), macro_weighted_auc(curve_areas(running))
 
 

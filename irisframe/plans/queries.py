@@ -149,19 +149,19 @@ def class_table_text(spark, folder):
     return confusion.formatted_class_table(raw)
 
 
-def _running(spark, folder):
+def _running(spark, folder, totals=False):
     scores = curves.scores_from_probs(predictions(spark, folder))
-    return curves.cumulative(scores)
+    return curves.cumulative(scores, totals=totals)
 
 
 @query
 def roc_points(spark, folder):
-    return rounded(curves.roc_points(_running(spark, folder)))
+    return rounded(curves.roc_points(_running(spark, folder, totals=True)))
 
 
 @query
 def pr_points(spark, folder):
-    return rounded(curves.pr_points(_running(spark, folder)))
+    return rounded(curves.pr_points(_running(spark, folder, totals=True)))
 
 
 @query
@@ -182,7 +182,7 @@ def average_precision(spark, folder):
 @query
 def roc_large(spark, folder):
     orders = table(spark, folder, "orders")
-    running = curves.cumulative_from_column(orders, "o_orderstatus", "o_totalprice", STATUSES)
+    running = curves.cumulative_from_column(orders, "o_orderstatus", "o_totalprice", STATUSES, totals=False)
     return rounded(curves.curve_areas(running))
 
 
