@@ -31,7 +31,9 @@ class Step:
 
     ``draws`` uniform numbers in [0, 1) are passed to it. With ``chance`` below
     1, one more draw decides whether the step runs. ``channels``, if set, is the
-    only channel count it takes.
+    only channel count it takes, ``least`` the smallest (height, width). ``size`` is
+    the (height, width) it leaves, if that is fixed. ``pixels`` says whether it
+    leaves pixels, which 8-bit tools round.
     """
 
     name: str
@@ -39,6 +41,9 @@ class Step:
     draws: int = 0
     chance: float = 1.0
     channels: int | None = None
+    least: tuple[int, int] | None = None
+    size: tuple[int, int] | None = None
+    pixels: bool = True
 
 
 def _fault(steps: Sequence[Step], pixels: str, binary: bool) -> Column:
@@ -48,6 +53,12 @@ def _fault(steps: Sequence[Step], pixels: str, binary: bool) -> Column:
     fault = F.when(F.col(pixels).isNull() | shape.isNull(), "no pixels").when(size != shape, "wrong size")
     for count in {s.channels for s in steps if s.channels is not None}:
         fault = fault.when(F.col("channels") != count, "wrong channel count")
+    height, width = F.col("height"), F.col("width")
+    for step in steps:
+        if step.least:
+            fault = fault.when((height < step.least[0]) | (width < step.least[1]), f"too small for {step.name}")
+        if step.size:
+            height, width = F.lit(step.size[0]), F.lit(step.size[1])
     return fault
 
 
@@ -65,13 +76,15 @@ def apply_steps(
     seed: int = SPLITS.seed,
     epoch: int = 0,
     pixels: str = "data",
+    eight_bit: bool = False,
 ) -> DataFrame:
     """Apply ``steps``; replaces height, width, channels and adds ``px`` (flat floats).
 
     ``pixels`` names the input column: 8-bit bytes, or an array of numbers. Steps
-    compute in floats and round nothing in between, unlike tools that hold 8-bit
-    pixels throughout. Images that do not fit are left out; ``rejected_images``
-    names them.
+    compute in floats and round nothing in between; with ``eight_bit`` pixels are
+    rounded (half up) and clipped to 0..255 after every step, like those of tools
+    that hold 8-bit pixels throughout. Images that do not fit are left out;
+    ``rejected_images`` names them.
     """
     drawn = df.filter(_fault(steps, pixels, dict(df.dtypes)[pixels] == "binary").isNull())
     spans = []
@@ -96,6 +109,8 @@ def apply_steps(
             draws = u[lo:hi]
             if step.chance == 1 or draws[-1] < step.chance:
                 img = step.kernel(img, draws)
+                if eight_bit and step.pixels:
+                    img = np.clip(np.floor(img + dtype(0.5)), 0, 255)
         return np.ascontiguousarray(img, dtype)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +167,7 @@ def resize(height: int, width: int, antialias: bool = False) -> Step:
         rows = _resize_weights(img.shape[0], height, antialias)
         return _channelwise(rows, img, _resize_weights(img.shape[1], width, antialias))
 
-    return Step("resize", kernel)
+    return Step("resize", kernel, size=(height, width))
 
 
 def flip_horizontal(chance: float = 0.5) -> Step:
@@ -169,7 +184,7 @@ def random_crop(height: int, width: int) -> Step:
         left = int(u[1] * (img.shape[1] - width + 1))
         return img[top : top + height, left : left + width]
 
-    return Step("random_crop", kernel, draws=2)
+    return Step("random_crop", kernel, draws=2, least=(height, width), size=(height, width))
 
 
 def _warp(img: np.ndarray, matrix: np.ndarray, border: str, nearest: bool) -> np.ndarray:
@@ -256,13 +271,13 @@ def normalise(mean: Sequence[float], std: Sequence[float], scale: float = 255.0)
     def kernel(img, _):
         return (img / img.dtype.type(scale) - m.astype(img.dtype)) / s.astype(img.dtype)
 
-    return Step("normalise", kernel, channels=len(m))
+    return Step("normalise", kernel, channels=len(m), pixels=False)
 
 
 def channels_first() -> Step:
     """Channel-first order. The array keeps (height, width, channel) meaning in
     the row's columns; only the element order of ``px`` changes, so it must be last."""
-    return Step("channels_first", lambda img, _: img.transpose(2, 0, 1).reshape(img.shape))
+    return Step("channels_first", lambda img, _: img.transpose(2, 0, 1).reshape(img.shape), pixels=False)
 
 
 # Named recipes: fixed values are the sizes, limits and chances of each recipe.

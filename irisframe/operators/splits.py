@@ -19,6 +19,9 @@ from .small import checked_broadcast
 
 
 ROWS_PER_PREFIX = 100_000
+#: Hex digits that a round of the radix selection adds, and those of a hash.
+DIGITS = 3
+HASH_DIGITS = 32
 
 
 def ceil_percent(n: Column, percent: int) -> Column:
@@ -41,56 +44,55 @@ def rank_cuts(
     targets: Mapping[str, Column],
     *,
     seed: int,
-    hex_digits: int = 3,
+    rows_per_prefix: int = ROWS_PER_PREFIX,
 ) -> DataFrame:
     """Per group, the (hash, id) key of the row at each target rank.
 
     ``targets`` maps a name to a rank computed from column ``n``, the group's
-    size. A rank of 0 gives null. No row is shuffled: counts per (group, hash
-    prefix) locate the one bucket that holds each rank, and only those buckets
-    are sorted. With 3 hex digits a bucket is 1/4096 of its group.
+    size. A rank of 0 gives null. This is a radix selection: counts per (group,
+    hash prefix) tell which prefix holds a rank, and as long as such a prefix has
+    more than ``rows_per_prefix`` rows it is counted again by longer prefixes.
+    Only the rows of the last prefixes are sorted, and no other row is shuffled.
     """
     slim = df.select(F.col(group).alias("_g"), F.col(row_id).alias("_id"))
     slim = slim.withColumn("_h", seeded_hash(seed, F.col("_id")))
-    slim = slim.withColumn("_b", hash_prefix(F.col("_h"), hex_digits))
-    upto = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    hist = (
-        slim.groupBy("_g", "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_end", F.sum("_c").over(upto))
-        .withColumn("n", F.sum("_c").over(W.partitionBy("_g")))
-    )
-    ranks = hist.select("_g", "_b", "_end", "_c", *[r.alias(f"_r_{k}") for k, r in targets.items()])
-    inside = [
-        (F.col(f"_r_{k}") > F.col("_end") - F.col("_c")) & (F.col(f"_r_{k}") <= F.col("_end"))
-        for k in targets
-    ]
-    held = inside[0]
-    for cond in inside[1:]:
-        held = held | cond
-    wanted = ranks.filter(held).select(
-        "_g",
-        "_b",
-        *[
-            F.when(cond, F.col(f"_r_{k}") - (F.col("_end") - F.col("_c"))).alias(f"_at_{k}")
-            for cond, k in zip(inside, targets)
-        ],
-    )
-    in_bucket = slim.join(checked_broadcast(wanted), ["_g", "_b"])
-    placed = in_bucket.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("_g", "_b").orderBy("_h", "_id"))
-    )
-    hits = [F.col("_rank") == F.col(f"_at_{k}") for k in targets]
-    any_hit = hits[0]
-    for cond in hits[1:]:
-        any_hit = any_hit | cond
+    digits = DIGITS
+    ranks = F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), r.cast("long").alias("_at")) for k, r in targets.items()]))
+    first = _counted(slim.withColumn("_p", F.lit("")), digits).withColumn("n", F.sum("_c").over(W.partitionBy("_g")))
+    wanted, most = _evaluated(_holding(first.select("_g", "_b", "_end", "_c", ranks)))
+    while most > rows_per_prefix and digits < HASH_DIGITS:
+        held = slim.withColumn("_p", hash_prefix(F.col("_h"), digits)).join(wanted.select("_g", "_p").distinct(), ["_g", "_p"], "left_semi")
+        digits += DIGITS
+        inside = wanted.select("_g", "_p", "_k", "_at").join(_counted(held, digits), ["_g", "_p"])
+        wanted, most = _evaluated(_holding(inside))
+    keyed = slim.withColumn("_p", hash_prefix(F.col("_h"), digits)).join(wanted.select("_g", "_p").distinct(), ["_g", "_p"], "left_semi")
+    placed = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("_g", "_p").orderBy("_h", "_id")))
+    hits = placed.join(wanted, ["_g", "_p"]).filter(F.col("_rank") == F.col("_at"))
     key = F.struct("_h", "_id")
-    cuts = placed.filter(any_hit).groupBy("_g").agg(
-        *[F.first(F.when(hit, key), ignorenulls=True).alias(k) for hit, k in zip(hits, targets)]
-    )
+    cuts = hits.groupBy("_g").agg(*[F.first(F.when(F.col("_k") == k, key), ignorenulls=True).alias(k) for k in targets])
     return cuts.withColumnRenamed("_g", group)
 
 
+def _counted(rows: DataFrame, digits: int) -> DataFrame:
+    """Rows per (group, prefix, longer prefix), and up to which rank they reach."""
+    upto = W.partitionBy("_g", "_p").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    counts = rows.groupBy("_g", "_p", hash_prefix(F.col("_h"), digits).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.withColumn("_end", F.sum("_c").over(upto))
+
+
+def _holding(ranks: DataFrame) -> DataFrame:
+    """The prefix that holds each wanted rank, and the rank inside it."""
+    before = F.col("_end") - F.col("_c")
+    found = ranks.filter((F.col("_at") > before) & (F.col("_at") <= F.col("_end")))
+    return found.select("_g", F.col("_b").alias("_p"), "_k", (F.col("_at") - before).alias("_at"), "_c")
+
+
+def _evaluated(wanted: DataFrame) -> tuple[DataFrame, int]:
+    """``wanted``, broadcast if it is small, and the most rows that a prefix has."""
+    local = checked_broadcast(wanted)
+    return local, local.agg(F.max("_c")).first()[0] or 0
+
+
 def _below(cut: str, row_id: str, seed: int) -> Column:
     key = F.struct(seeded_hash(seed, F.col(row_id)).alias("_h"), F.col(row_id).alias("_id"))
     return F.coalesce(key <= F.col(cut), F.lit(False))

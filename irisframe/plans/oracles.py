@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .recipe_sql import RECIPES
+
 K = 10
 _LOGITS = "[" + ", ".join(
     " + ".join(f"embedding[{j + 1}]::double" for j in range(k, 64, K)) for k in range(K)
@@ -482,5 +484,6 @@ FROM b JOIN events e ON e.user_id = b.user_id GROUP BY b.user_id, best, last_epo
         "epoch_minutes": "SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::double, 6) + 0 "
         "AS minutes FROM events GROUP BY user_id",
         "stream_incremental": f"SELECT event_id, user_id, {_r6('value / 100', 'value')} FROM events",
+        **RECIPES,
     }
     return out

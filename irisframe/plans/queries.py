@@ -14,7 +14,7 @@ from ..operators import class_index, confusion, curves, heads, images, paired, p
 from ..operators.ordered import Scan, global_index, prefix_scan
 from ..session import scratch_dir
 from ..sources import sinks
-from ..sources.pixels import first_samples
+from ..sources.pixels import first_samples, image_bytes
 from ..streaming import early_stop as live
 from ..streaming import incremental
 from . import views
@@ -575,6 +575,46 @@ def img_crop_flip(spark, folder):
     return _steps(spark, folder, steps)
 
 
+def _recipe(spark, folder, steps, **how):
+    done = images.apply_steps(views.colour_images(spark, folder), steps, "vec_id", epoch=1, pixels="px", **how)
+    return pixels_long(done)
+
+
+@query
+def recipe_valid(spark, folder):
+    return _recipe(spark, folder, images.valid_recipe(6))
+
+
+@query
+def recipe_train(spark, folder):
+    return _recipe(spark, folder, images.train_recipe(8))
+
+
+@query
+def recipe_train_eight_bit(spark, folder):
+    """Pixels rounded after every step, as 8-bit tools do."""
+    return _recipe(spark, folder, images.train_recipe(8), eight_bit=True)
+
+
+@query
+def recipe_translation(spark, folder):
+    """Enlarged by 30 pixels a side, then a window of 5 x 5."""
+    return _recipe(spark, folder, images.translation_recipe(5))
+
+
+@query
+def recipe_two_stream(spark, folder):
+    return _recipe(spark, folder, images.two_stream_train_recipe(5))
+
+
+@query
+def image_bytes_stretched(spark, folder):
+    """Images as stored bytes, plain and min-max scaled."""
+    unit = views.colour_images(spark, folder).withColumn("px", F.transform("px", lambda v: v / 200))
+    plain = image_bytes(unit).select("vec_id", F.hex("data").alias("plain"))
+    return plain.join(image_bytes(unit, stretch=True).select("vec_id", F.hex("data").alias("stretched")), "vec_id")
+
+
 # Losses ----------------------------------------------------------------------
 
 

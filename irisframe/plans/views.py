@@ -103,3 +103,13 @@ def pixels_long(df: DataFrame, px: str = "px") -> DataFrame:
     return df.select("vec_id", F.posexplode_outer(px).alias("pos", "v")).select(
         "vec_id", "pos", r6("v").alias("value")
     )
+
+
+def colour_images(spark: SparkSession, folder: str) -> DataFrame:
+    """8 x 8 images of three channels with values in 0..255 from whole embeddings."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    level = lambda v: F.least(F.greatest(F.floor(v * 48 + 128), F.lit(0)), F.lit(255)).cast("double")
+    pixel = lambda i: F.array(level(F.get("e", i)), level(F.get("e", 63 - i)), level(-F.get("e", i)))
+    px = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel))
+    dims = {"height": 8, "width": 8, "channels": 3}
+    return e.select("vec_id", *[F.lit(n).alias(c) for c, n in dims.items()], px.alias("px"))

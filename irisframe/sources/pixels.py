@@ -56,14 +56,18 @@ def _rgb_bytes(pixels: np.ndarray) -> bytes:
 
 
 def image_bytes(tensors: DataFrame, *, stretch: bool = False) -> DataFrame:
-    """[0, 1] channel-last tensors as 8-bit image rows; ``stretch`` min-max scales first."""
+    """[0, 1] channel-last tensors as 8-bit image rows; ``stretch`` min-max scales first.
+    A null tensor has null bytes, an empty one none, and null or NaN values are 0."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for px in batch.column("px"):
-                v = px.values.to_numpy().astype(np.float64)
-                if stretch:
+                if not px.is_valid:
+                    rows.append(None)
+                    continue
+                v = np.nan_to_num(px.values.to_numpy(zero_copy_only=False).astype(np.float64))
+                if stretch and v.size:
                     low, high = v.min(), v.max()
                     v = (v - low) / max(high - low, 1e-5)
                 # Round half up after scaling, then clip.

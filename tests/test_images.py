@@ -216,3 +216,29 @@ def test_image_bytes(spark):
     wide = {r.id: list(bytes(r.data)) for r in image_bytes(df, stretch=True).collect()}
     assert wide[1] == [0, 64, 128, 255]
     assert [r.id for r in first_samples(df, "id", 1).collect()] == [1]
+
+
+def test_images_too_small_for_a_crop_are_named(spark):
+    rows = [(i, h, w, 1, [float(v) for v in range(h * w)]) for i, (h, w) in enumerate([(4, 4), (6, 5), (6, 4), (8, 9)])]
+    df = spark.createDataFrame(rows, "id long, height int, width int, channels int, data array<double>")
+    steps = [images.random_crop(6, 5)]
+    assert {r.id for r in images.apply_steps(df, steps, "id").collect()} == {1, 3}
+    assert {(r.id, r.reason) for r in images.rejected_images(df, steps).collect()} == {(0, "too small for random_crop"), (2, "too small for random_crop")}
+    # The size that counts is the one at the step's place.
+    grown = [images.resize(9, 9), images.random_crop(6, 5), images.random_crop(6, 6)]
+    assert images.apply_steps(df, grown[:2], "id").count() == 4 and images.apply_steps(df, grown, "id").count() == 0
+
+
+def test_eight_bit_steps_round_in_between(spark):
+    df = spark.createDataFrame([(1, 2, 2, 1, [0.0, 10.0, 251.0, 7.0])], "id long, height int, width int, channels int, data array<double>")
+    steps = [images.resize(3, 3), images.resize(2, 2)]
+    (plain,), (whole,) = (images.apply_steps(df, steps, "id", eight_bit=e).collect() for e in (False, True))
+    assert all(v == int(v) and 0 <= v <= 255 for v in whole.px) and any(v != int(v) for v in plain.px)
+    assert max(abs(a - b) for a, b in zip(plain.px, whole.px)) < 1.5
+
+
+def test_bytes_of_odd_tensors(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [0.5, None, float("nan")]), (4, [2.0, -1.0])], "id long, px array<double>")
+    for stretch in (False, True):
+        got = {r.id: r.data for r in image_bytes(df, stretch=stretch).collect()}
+        assert got[1] is None and got[2] == b"" and len(got[3]) == 3 and got[4] == b"\xff\x00"

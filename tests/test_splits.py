@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,28 @@ def test_holdout_without_broadcast(manifest, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1, 40, 10**6])
+def test_ranks_in_small_and_large_prefixes(spark, limit):
+    """One class with almost all rows, ranks at both ends, any number of rounds."""
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("g"))
+    targets = {"low": F.lit(1), "mid": F.floor(F.col("n") / 2), "high": F.col("n"), "none": F.lit(0)}
+    got = {r.g: r for r in splits.rank_cuts(rows, "g", "id", targets, seed=3, rows_per_prefix=limit).collect()}
+    for g in ("rare", "hot"):
+        keys = sorted((hashlib.md5(f"3:{r.id}".encode()).hexdigest(), r.id) for r in rows.filter(F.col("g") == g).collect())
+        found = {k: None if got[g][k] is None else tuple(got[g][k]) for k in targets}
+        assert found == {"low": keys[0], "mid": keys[len(keys) // 2 - 1], "high": keys[-1], "none": None}
+
+
+def test_last_prefixes_are_bounded(spark, monkeypatch):
+    """However many rows a class has, what is sorted is cut down to the limit."""
+    seen = []
+    whole = splits._evaluated
+    monkeypatch.setattr(splits, "_evaluated", lambda w: seen.append(whole(w)) or seen[-1])
+    rows = spark.range(200_000).select("id", F.lit("all").alias("g"))
+    splits.rank_cuts(rows, "g", "id", {"cut": F.lit(77_777)}, seed=1, rows_per_prefix=10).count()
+    assert [m > 10 for _, m in seen] == [True, False]
+
+
 def test_holdout_moves_no_rows(manifest):
     plan = splits.holdout(manifest, "class", "path")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
