@@ -60,7 +60,7 @@ def page_records(identity: str, page_id: int | None, url: str | None, html: str,
         "WARC-Target-URI": target,
         "WARC-Page-ID": page_id,
         "WARC-Payload-Digest": f"sha256:{hashlib.sha256(raw).hexdigest()}",
-        "WARC-Refers-To": None if refers_to is None else f"<urn:page-id:{refers_to}>",
+        "WARC-Refers-To-Page-ID": refers_to,
         "Content-Type": "application/http; msgtype=response",
     }
     if refers_to is not None:
@@ -115,21 +115,66 @@ def write_archives(pages: DataFrame, path: str) -> None:
     ).text(path, lineSep=_END)
 
 
+class _Records:
+    """Records of a stream of bytes, given out as soon as they are complete."""
+
+    def __init__(self):
+        self._held, self._done = bytearray(), 0
+
+    def add(self, raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        held = self._held
+        held += raw
+        at = 0
+        while True:
+            while held.startswith(b"\r\n", at):
+                at += 2
+            cut = held.find(b"\r\n\r\n", at)
+            if len(held) >= at + 5 and not held.startswith(b"WARC/", at):
+                raise ValueError(f"bytes outside records at {self._done + at}")
+            if cut < 0:
+                break
+            lines = bytes(held[at:cut]).decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            if not fields.get("content-length", "").isdecimal():
+                raise ValueError(f"record without length at {self._done + at}")
+            start, size = cut + 4, int(fields["content-length"])
+            if start + size > len(held):
+                break
+            yield fields, bytes(held[start : start + size])
+            at = start + size
+        del held[:at]
+        self._done += at
+
+    def end(self) -> None:
+        if bytes(self._held).strip():
+            raise ValueError(f"archive ends inside a record at {self._done}")
+
+
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every record of one archive file."""
-    at = 0
-    while raw.startswith(b"WARC/", at):
-        cut = raw.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in raw[at:cut].decode().split("\r\n")[1:])
-        start, size = cut + 4, int(fields["Content-Length"])
-        if start + size > len(raw):
-            raise ValueError("an archive ends inside a record")
-        yield fields, raw[start : start + size]
-        at = start + size
-        while raw.startswith(b"\r\n", at):
-            at += 2
-    if raw[at:].strip():
-        raise ValueError("an archive holds bytes outside records")
+    """(header fields by lower-case name, block) of every record of one archive file.
+
+    Gzip archives may have any number of members; one is unpacked at a time, in
+    steps, and records may also run from one into the next.
+    """
+    records = _Records()
+    if raw[:2] != b"\x1f\x8b":
+        yield from records.add(raw)
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            rest = raw
+            while not member.eof:
+                made = member.decompress(rest, _BATCH_BYTES)
+                rest = member.unconsumed_tail
+                yield from records.add(made)
+                if not made and not rest and not member.eof:
+                    raise ValueError("gzip member cut off")
+        except zlib.error as error:
+            raise ValueError("broken gzip member") from error
+        raw = member.unused_data.lstrip(b"\0")
+        if raw and raw[:2] != b"\x1f\x8b":
+            raise ValueError("bytes after the last gzip member")
+    records.end()
 
 
 def decode_http(block: bytes) -> bytes:
@@ -150,52 +195,68 @@ def decode_http(block: bytes) -> bytes:
 
 
 def _number(value: str | None) -> int | None:
-    return int(value.strip("<>").rpartition(":")[2]) if value is not None else None
+    """A whole number, or None for anything else."""
+    return int(value) if value is not None and value.removeprefix("-").isdecimal() else None
 
 
-_PARTS = "origin string, number int, total long, page_id long, record_type string, refers_to long, digest string, block binary"
+_PARTS = "origin string, number int, total long, page_id long, record_type string, refers_to long, refers_id string, digest string, block binary, reason string"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record; ``number`` is null where a record is not segmented."""
+    """One row per record; ``number`` is null where a record is not segmented.
+
+    A file that is cut off, damaged or no archive gives the records before the fault
+    and a row with ``reason`` (the fault and the file) and nothing else. Record ids
+    are text as they stand; a field that should be a number and is none counts as
+    missing, and a record without id or type has a reason.
+    """
     names = [c.split()[0] for c in _PARTS.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    def row(f: dict[str, str], block: bytes, name: str) -> tuple:
+        number, kind, own = _number(f.get("warc-segment-number")), f.get("warc-type"), f.get("warc-record-id")
+        origin, digest = f.get("warc-segment-origin-id", own), f.get("warc-payload-digest")
+        reason = None if kind and own else f"record without id or type in {name}"
+        numbers = [_number(f.get(k)) for k in ("warc-segment-total-length", "warc-page-id", "warc-refers-to-page-id")]
+        return (origin, number, numbers[0], numbers[1], kind, numbers[2], f.get("warc-refers-to"), digest and digest.partition(":")[2], block, reason)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for file in files.column("content"):
-                raw = file.as_py()
+            for name, file in zip(files.column("path").to_pylist(), files.column("content")):
                 rows, size = [], 0
-                for f, block in parse_records(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw):
-                    number, kind = f.get("WARC-Segment-Number"), f["WARC-Type"]
-                    origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
-                    total, digest = f.get("WARC-Segment-Total-Length"), f.get("WARC-Payload-Digest")
-                    rows.append(
-                        (origin, number and int(number), total and int(total), _number(f.get("WARC-Page-ID")), kind, _number(f.get("WARC-Refers-To")), digest and digest.partition(":")[2], block)
-                    )
-                    size += len(block)
-                    if size > _BATCH_BYTES:
-                        yield batch(rows)
-                        rows, size = [], 0
+                try:
+                    for fields, block in parse_records(file.as_py()):
+                        if fields.get("warc-type") in ("warcinfo", "metadata", "request", "resource", "conversion"):
+                            continue
+                        rows.append(row(fields, block, name))
+                        size += len(block)
+                        if size > _BATCH_BYTES:
+                            yield batch(rows)
+                            rows, size = [], 0
+                except ValueError as error:
+                    rows.append((*[None] * 9, f"{error} in {name}"))
                 yield batch(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, _PARTS)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """(page_id, record_type, refers_to, digest, block, error): one row per page record.
+    """(page_id, record_id, record_type, refers_to, refers_id, digest, block, error): one
+    row per page record, and one for each fault of a file.
 
     Segments of an origin are joined in order; a gap or a total length that does
     not fit is named in ``error`` and leaves a null block. An origin's segments
     are one record, so no group exceeds what a reader holds at once anyway.
     """
-    whole = records.filter("number is null").select("page_id", "record_type", "refers_to", "digest", "block", F.lit(None).cast("string").alias("error"))
+    record = F.col("origin").alias("record_id")
+    single = F.col("number").isNull() | F.col("reason").isNotNull()
+    whole = records.filter(single).select("page_id", record, "record_type", "refers_to", "refers_id", "digest", "block", F.col("reason").alias("error"))
     parts = (
-        records.filter("number is not null")
+        records.filter(~single)
         .groupBy("origin")
         .agg(
             F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"),
@@ -208,15 +269,18 @@ def reassembled(records: DataFrame) -> DataFrame:
     size = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["block"]))
     gap = F.exists(F.transform("s", lambda x, i: x["number"] != i + 1), lambda x: x)
     error = F.when(gap, "missing segment").when(~F.equal_null(size, F.col("total")), "wrong total length")
-    block = F.aggregate("s", F.lit(b""), lambda b, x: F.concat(b, x["block"]))
-    joined = parts.select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "digest", F.when(error.isNull(), block).alias("block"), error.alias("error"))
+    # Joined at once: concatenating segment by segment would copy a page again and again.
+    block = F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["block"])), ""))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("refers_to", "long"), ("refers_id", "string"))]
+    joined = parts.select("page_id", record, "record_type", *none, "digest", F.when(error.isNull(), block).alias("block"), error.alias("error"))
     return whole.unionByName(joined)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, digest, payload, error) of every page record.
+    """(page_id, record_id, record_type, refers_to, refers_id, digest, payload, error) of
+    every page record, and a row with an error alone for each fault of a file.
 
-    Revisits have a null payload. A payload that its digest does not fit, broken
+    A response without a digest is taken as it is. Revisits have a null payload. A payload that its digest does not fit, broken
     framing and incomplete segments are named in ``error``.
     """
 
@@ -228,16 +292,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                 if error is None and kind == "response":
                     try:
                         payload = decode_http(block)
-                        if hashlib.sha256(payload).hexdigest() != digest:
+                        if digest is not None and len(digest) == 64 and hashlib.sha256(payload).hexdigest() != digest:
                             payload, error = None, "wrong digest"
                     except ValueError:
                         error = "broken framing"
                 out.append((payload, error))
-            same = ["page_id", "record_type", "refers_to", "digest"]
+            same = ["page_id", "record_id", "record_type", "refers_to", "refers_id", "digest"]
             found = [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.string())]
             yield pa.record_batch([*[batch.column(n) for n in same], *found], [*same, "payload", "error"])
 
-    schema = "page_id long, record_type string, refers_to long, digest string, payload binary, error string"
+    schema = "page_id long, record_id string, record_type string, refers_to long, refers_id string, digest string, payload binary, error string"
     return reassembled(read_records(spark, path)).mapInArrow(run, schema)
 
 
@@ -247,14 +311,29 @@ def page_payloads(spark: SparkSession, path: str) -> DataFrame:
     with an error, and revisits without a sound response, have no figures but a reason.
     """
     facts = read_pages(spark, path).select(
-        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("error").alias("reason")
+        "page_id",
+        "record_id",
+        "record_type",
+        "refers_to",
+        "refers_id",
+        "digest",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        F.col("error").alias("reason"),
     )
     facts = stored(facts, "warc-facts")
     again = F.coalesce((F.col("record_type") == "revisit") & F.col("reason").isNull(), F.lit(False))
-    responses = facts.filter("record_type = 'response' AND reason IS NULL AND page_id IS NOT NULL")
-    named = responses.select(F.col("page_id").alias("_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).distinct()
-    referring = facts.filter(again).join(named, (F.col("refers_to") == F.col("_to")) & (F.col("digest") == F.col("_d")), "left")
+    # A revisit names its response by page or, as archives do, by record.
+    responses = facts.filter("record_type = 'response' AND reason IS NULL")
+    names = F.array(F.concat(F.lit("page "), F.col("page_id").cast("string")), F.concat(F.lit("record "), F.col("record_id")))
+    named = responses.select(F.explode(names).alias("_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
+    named = named.filter("_to IS NOT NULL").distinct()
+    wanted = F.coalesce(F.concat(F.lit("page "), F.col("refers_to").cast("string")), F.concat(F.lit("record "), F.col("refers_id")))
+    fits = F.col("digest").isNull() | (F.length("digest") != 64) | (F.col("digest") == F.col("_d"))
+    referring = facts.filter(again).withColumn("_name", wanted).join(named, (F.col("_name") == F.col("_to")) & fits, "left")
     reason = F.when(F.col("_to").isNull(), "no sound response").alias("reason")
     return facts.filter(~again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "reason").unionByName(
-        referring.select("page_id", F.col("_n").alias("payload_bytes"), F.col("_d").alias("payload_digest"), "record_type", "refers_to", reason)
+        referring.select(
+            "page_id", F.col("_n").alias("payload_bytes"), F.col("_d").alias("payload_digest"), "record_type", F.coalesce("refers_to", "_page").alias("refers_to"), reason
+        )
     )

@@ -1,5 +1,6 @@
 """Media containers, WARC archives, byte-level BPE and packing against plain versions."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -117,6 +118,41 @@ def test_incomplete_segments_are_named(spark):
         assert row.error and row.block is None
 
 
+def record(block, **fields):
+    head = "".join(f"{k.replace('_', '-')}:{v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """A gzip member for each record, names as uuids, no digests, header lines
+    without a space, a file that is cut off and one that is no archive."""
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    page = b"p" * 500
+    records = [record(b"x: y", WARC_Type="warcinfo", WARC_Record_ID="<urn:uuid:0>")]
+    records += [record(http + page, WARC_Type="response", WARC_Record_ID="<urn:uuid:1>"), record(http, WARC_Type="revisit", WARC_Record_ID="<urn:uuid:2>", WARC_Refers_To="<urn:uuid:1>")]
+    whole = b"".join(gzip.compress(r) for r in records)
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    (tmp_path / "b.warc").write_bytes(b"".join(records) + record(http + b"late", WARC_Type="response", WARC_Record_ID="<urn:uuid:3>")[:-9])
+    (tmp_path / "c.warc.gz").write_bytes(whole[:-20])
+    (tmp_path / "d.warc").write_bytes(b"no archive at all")
+    (tmp_path / "e.warc").write_bytes(b"")
+    out = warc.read_pages(spark, str(tmp_path)).collect()
+    assert [bytes(r.payload) for r in out if r.record_type == "response"] == [page] * 3
+    assert {r.refers_id for r in out if r.record_type == "revisit"} == {"<urn:uuid:1>"}
+    faults = sorted(r.error for r in out if r.error)
+    assert [f.rpartition("/")[2] for f in faults] == ["b.warc", "d.warc", "c.warc.gz"] and len(out) == 3 + 2 + 3
+    found = warc.page_payloads(spark, str(tmp_path / "a.warc.gz")).collect()
+    assert {(r.record_type, r.payload_bytes, r.reason) for r in found} == {("response", 500, None), ("revisit", 500, None)}
+
+
+def test_very_long_page(spark):
+    path = scratch_dir(spark, "test-warc")
+    long = "0123456789abcdef" * (3 << 20)
+    warc.write_archives(pages(spark, [(1, "u", long), (2, "u", "short")]), path)
+    out = {r.page_id: r for r in warc.page_payloads(spark, path).collect()}
+    assert out[1].payload_bytes == len(long) and out[1].payload_digest == hashlib.sha256(long.encode()).hexdigest() and out[1].reason is None
+
+
 def test_archive_edge_cases(spark):
     path = scratch_dir(spark, "test-warc")
     warc.write_archives(pages(spark, []), path)
