@@ -90,7 +90,8 @@ def self_pair(df: DataFrame, column: str) -> DataFrame:
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Inputs without an output yet; exact for any order of earlier work."""
+    """Inputs without an output yet; exact for any order of earlier work. A ``done``
+    that is bucketed by ``key`` (``sinks.write_finished``) is joined where it lies."""
     return inputs.join(done.select(key), key, "left_anti")
 
 

@@ -353,6 +353,7 @@ SELECT i, x_path, y_path FROM t JOIN xs ON xs.k = i % xs.n
 JOIN ys ON ys.k = ('0x' || substr(md5('42:1:' || i), 1, 15))::bigint % ys.n""",
         "pair_self": f"WITH {SYNTHETIC} SELECT vec_id, synthetic_path AS real, synthetic_path AS synthetic FROM y",
         "resume_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "resume_bucketed": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "resume_by_position": "SELECT doc_id, idx FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx "
         "FROM documents) WHERE idx >= (SELECT count(*) FROM labels)",
         "class_index_declared": "SELECT doc_id, lang AS class, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 "

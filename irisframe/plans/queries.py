@@ -398,6 +398,17 @@ def pair_self(spark, folder):
     return pairing.self_pair(rows, "synthetic_path")
 
 
+@query
+def resume_bucketed(spark, folder):
+    """Finished work in two portions in a table bucketed by its key."""
+    labels = table(spark, folder, "labels").select("doc_id")
+    path = scratch_dir(spark, "finished")
+    name = path.rpartition("/")[2].replace("-", "_")
+    sinks.write_finished(labels.filter("doc_id % 2 = 0"), name, path, "doc_id", 8)
+    done = sinks.write_finished(labels.filter("doc_id % 2 <> 0"), name, path, "doc_id", 8, more=True)
+    return pairing.pending(table(spark, folder, "documents").select("doc_id", "lang"), done, "doc_id")
+
+
 @query
 def resume_pending(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang")

@@ -27,3 +27,12 @@ def materialise_split(files: DataFrame, path: str, settings: SplitSettings = SPL
     """
     tagged = files.withColumn("class", parent_name(F.col("path")))
     write_table(holdout(tagged, "class", "path", settings=settings), path, ("split", "class"))
+
+
+def write_finished(done: DataFrame, table: str, path: str, key: str, buckets: int, *, more: bool = False) -> DataFrame:
+    """Store finished rows as a table bucketed and sorted by ``key``; with ``more``
+    add them to what the table holds. Joins on ``key`` then read the table bucket by
+    bucket and move only the other side."""
+    out = done.write.bucketBy(buckets, key).sortBy(key).mode("append" if more else "overwrite").option("path", path)
+    out.saveAsTable(table)
+    return done.sparkSession.table(table)

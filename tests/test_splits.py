@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from irisframe.config import SplitSettings
 from irisframe.operators import pairing, small, splits
+from irisframe.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +148,18 @@ def test_pending_and_skip(spark):
     done = inputs.filter("k % 3 = 0")
     assert sorted(r.k for r in pairing.pending(inputs, done, "k").collect()) == [1, 2, 4, 5, 7, 8]
     assert pairing.skip_until(inputs, "k", 7).count() == 3
+
+
+def test_bucketed_resume_moves_only_the_inputs(spark, tmp_path):
+    rows = spark.range(5000).withColumnRenamed("id", "key")
+    done = sinks.write_finished(rows.filter("key % 3 = 0"), "finished_a", str(tmp_path / "f"), "key", 8)
+    done = sinks.write_finished(rows.filter("key % 3 = 1"), "finished_a", str(tmp_path / "f"), "key", 8, more=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = pairing.pending(rows, done, "key")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert {r.key for r in left.collect()} == {i for i in range(5000) if i % 3 == 2}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE finished_a")
