@@ -24,11 +24,9 @@ def spelled_bytes(token: str) -> bytes:
     return bytes(map(_LETTER_BYTES.__getitem__, token))
 
 
-def rank_encoding(path: str) -> tiktoken.Encoding | None:
-    """The vocabulary as ranks, if its merges are in the order of their ids and it
-    cuts texts as byte-level vocabularies do; else None."""
-    with open(path, encoding="utf-8") as file:
-        given = json.load(file)
+def rank_encoding(given: dict) -> tiktoken.Encoding | None:
+    """A vocabulary file's content as ranks, if its merges are in the order of their
+    ids and it cuts texts as byte-level vocabularies do; else None."""
     model, cut = given["model"], given.get("pre_tokenizer") or {}
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not given.get("normalizer")
     if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
@@ -52,18 +50,29 @@ class TextEncoder:
     """
 
     def __init__(self, path: str, *, special: bool = True):
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = not special
-        self._ranks = rank_encoding(path)
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self.special = added if special else []
-        self.kept_whole = added if special or self._ranks is None else []
-        vocabulary = self._tokenizer.get_vocab()
-        self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = token.encode() if token in added or self._ranks is None else spelled_bytes(token)
+        self._path, self._as_text, self._library = path, not special, None
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        self._ranks = rank_encoding(given)
+        added = {t["content"]: t["id"] for t in given.get("added_tokens", [])}
+        self.special = list(added) if special else []
+        self.kept_whole = list(added) if special or self._ranks is None else []
+        self.token_bytes: list[bytes] = []
+        if self._ranks is not None:
+            vocabulary = given["model"]["vocab"] | added
+            self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
+            for token, i in vocabulary.items():
+                self.token_bytes[i] = token.encode() if token in added else spelled_bytes(token)
         self._sizes = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
 
+    @property
+    def _tokenizer(self) -> Tokenizer:
+        """The library's own, loaded where a text needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self._path)
+            self._library.encode_special_tokens = self._as_text
+        return self._library
+
     def _alone(self, text: str) -> np.ndarray:
         if self._ranks is None or any(s in text for s in self.special):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -105,6 +114,8 @@ class TextEncoder:
         parts = self.cut(texts)
         ids, counts = self.encode_parts(parts.distinct)
         starts = np.cumsum(counts) - counts
+        # Freed buffers of earlier slices go back, so that workers stay small.
+        pa.default_memory_pool().release_unused()
         out = ids.astype("<u4", copy=False)[gather(starts[parts.index], counts[parts.index])]
         ends = np.concatenate(([0], np.cumsum(parts.totals(counts)))).tolist()
         return [out[a:b].tobytes() for a, b in zip(ends, ends[1:])]
