@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,4 +40,30 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    for owned in _owners:
+        owned.append(path)
+    return path
+
+
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owned_scratch() -> Iterator[list[str]]:
+    """The scratch folders that are handed out inside the block, for their owner to
+    remove once nothing reads them."""
+    owned: list[str] = []
+    _owners.append(owned)
+    try:
+        yield owned
+    finally:
+        _owners[:] = [o for o in _owners if o is not owned]
+
+
+def drop_scratch(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Remove scratch folders, wherever they lie."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
