@@ -56,3 +56,20 @@ def test_stages_take_odd_and_empty_tables(spark):
             found = stage(spark, docs, FOLDER)
             found.count()
             docs = found if found.columns == docs.columns else docs
+
+
+def test_stages_remove_what_earlier_ones_stored(spark, tmp_path):
+    """Tables of a stage go when the next one works on its written result, and stay
+    while its result is not written."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    (_, rules), (_, lines), (_, near), (_, passages), _ = corpus_pipeline.STAGES
+    rules(spark, docs, FOLDER).write.parquet(f"{tmp_path}/a")
+    lines(spark, spark.read.parquet(f"{tmp_path}/a"), FOLDER).write.parquet(f"{tmp_path}/b")
+    unwritten = near(spark, spark.read.parquet(f"{tmp_path}/b"), FOLDER)
+    stored = list(corpus_pipeline._held)
+    assert stored
+    last = passages(spark, unwritten, FOLDER)
+    assert unwritten.count() and last.count()
+    last.write.parquet(f"{tmp_path}/c")
+    rules(spark, spark.read.parquet(f"{tmp_path}/c"), FOLDER).count()
+    assert not any(path in corpus_pipeline._held for path in stored)
