@@ -92,3 +92,24 @@ def test_alphabetical_labels_for_many_classes(spark, monkeypatch):
     monkeypatch.setattr(class_index, "evaluated_if_small", lambda d: None)
     large = {r["class"]: r.label for r in class_index.label_alphabetical(df).distinct().collect()}
     assert small == large == {c: i for i, c in enumerate(sorted(f"c{i}" for i in range(100)))}
+
+
+def test_scan_of_nulls_and_nan_equals_windows(spark):
+    """Groups and values of every kind, over several ranges, as Spark's windows have them."""
+    rng = random.Random(8)
+    nan = float("nan")
+    odd = [None, nan, -0.0, 0.0, 1.5, -7.25, float("inf")]
+    rows = [(rng.choice([None, nan, 0.0, -0.0, 2.0]), i, rng.choice(odd), rng.choice([None, 3, -4, 2**40])) for i in range(600)]
+    df = spark.createDataFrame(rows, "g double, o long, v double, k long")
+    scans = {f"{kind}_{c}_{i}": Scan(kind, F.col(c), inclusive=bool(i)) for kind in ("sum", "max", "min") for c in ("v", "k") for i in (0, 1)}
+    shown = lambda out: {r.o: [repr(r[n]).replace("-0.0", "0.0") for n in scans] for r in out.collect()}
+    plain = shown(prefix_scan(df, ["g"], ["o"], scans, F.lit(0)))
+    for size in (40, 10**6):
+        cut = prefix_scan(df, ["g"], ["o"], scans, rows_per_bucket=size)
+        assert shown(cut) == plain
+        assert dict(cut.dtypes)["sum_k_1"] == "bigint" and dict(cut.dtypes)["max_v_0"] == "double"
+
+
+def test_scan_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, o long")
+    assert global_index(df, ["o"], group=["g"]).collect() == []
