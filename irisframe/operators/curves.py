@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan
+from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan, with_next
 
 
 def scores_from_probs(preds: DataFrame, *, keys: Sequence[str] = (), probs: str = "probs") -> DataFrame:
@@ -30,10 +30,12 @@ def rejected_scores(scores: DataFrame) -> DataFrame:
 
 
 def cumulative(
-    scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, totals: bool = True
+    scores: DataFrame, *, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, totals: bool = True, thin: str | None = None
 ) -> DataFrame:
     """Per distinct score: positives, negatives, running TP / FP by falling score,
     and, with ``totals``, the class totals ``p`` and ``q`` that the curves need.
+    ``thin`` drops what a drawing of that curve does not need, see ``thinned``; areas
+    are for curves with all their points.
 
     Equal scores are merged before anything is ordered, so a score shared by a
     third of all rows is one row in the scan. Null and NaN scores and null labels
@@ -50,8 +52,28 @@ def cumulative(
         {"tp": Scan("sum", F.col("pos")), "fp": Scan("sum", F.col("neg"))},
         rows_per_bucket=rows_per_bucket,
         totals={"tp": "p", "fp": "q"} if totals else None,
+        keep_bucket=thin is not None,
     )
-    return ran.withColumn("score", -F.col("_down")).drop("_down")
+    kept = ran if thin is None else thinned(ran, group, thin)
+    return kept.withColumn("score", -F.col("_down")).drop("_down")
+
+
+def thinned(ran: DataFrame, group: Sequence[str], curve: str) -> DataFrame:
+    """The points that shape a curve, each class's first and last among them.
+
+    "roc" drops a point whose next step equals its own: the line goes straight on, so
+    the area stays. "pr" drops a point that neither it nor the next one adds a true
+    positive to: recall stands still before and after it.
+    """
+    if curve not in ("roc", "pr"):
+        raise ValueError(f"curve must be roc or pr, not {curve!r}")
+    near = with_next(ran, group, ["_down"], {"pos": "_pos", "neg": "_neg"})
+    if curve == "roc":
+        turns = (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
+    else:
+        turns = (F.col("pos") > 0) | (F.col("_pos") > 0)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return near.filter(F.col("_pos").isNull() | first | turns).drop("_pos", "_neg", "_bucket")
 
 
 def cumulative_from_column(

@@ -268,6 +268,26 @@ def _with_totals(rows: DataFrame, group: Sequence[str], order: Sequence[str], to
     return keyed.join(ends, "_group").drop("_group")
 
 
+def with_next(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Add to rows that kept their ``_bucket`` what the next row of the group holds:
+    ``columns`` maps each value to the name of its successor, null at the group's end.
+
+    Neighbours inside a bucket are seen by a window over (group, bucket). Across
+    borders only each bucket's first row of a group travels, one row for each (group,
+    bucket).
+    """
+    keys = ["_group", "_bucket"]
+    tagged = df.withColumn("_group", F.struct(*[F.col(g) for g in group]) if group else F.lit(0))
+    tagged = tagged.withColumn("_here", F.struct(*columns))
+    inside = tagged.withColumn("_next", F.lead("_here").over(W.partitionBy(*keys).orderBy(*order)))
+    firsts = tagged.groupBy(*keys).agg(F.min_by("_here", F.struct(*order)).alias("_first"))
+    beyond = firsts.withColumn("_beyond", F.lead("_first").over(W.partitionBy("_group").orderBy("_bucket"))).drop("_first")
+    # As in the scan, the hint keeps the partitioning of the rows: only borders move.
+    joined = inside.join(beyond.hint("merge"), keys).withColumn("_next", F.coalesce("_next", "_beyond"))
+    named = {name: F.col("_next")[c] for c, name in columns.items()}
+    return joined.withColumns(named).drop("_group", "_here", "_next", "_beyond")
+
+
 def global_index(
     df: DataFrame,
     order: Sequence[str],

@@ -53,6 +53,8 @@ u AS (SELECT {keys}class, sum(neg * (2 * tp - pos) / 2.0) / nullif(sum(pos) * su
 
 
 SCORES = f"s AS (SELECT k::int AS class, probs[k + 1] AS score, label = k AS hit FROM p, range({K}) t(k))"
+_THIN = """n AS (SELECT *, lag(score) OVER o AS a, lead(score) OVER o AS b, lead(pos) OVER o AS pos_b,
+  lead(neg) OVER o AS neg_b FROM r WINDOW o AS (PARTITION BY class ORDER BY score DESC))"""
 AUC_MEANS = "am AS (SELECT avg(auc) AS macro_auc, sum(auc * support) / sum(support) AS weighted_auc FROM u)"
 
 
@@ -295,6 +297,14 @@ SELECT name, sort_key, {_cols('precision recall f1 support')} FROM t""",
         "pr_points": f"WITH {PRED}, {SCORES}, {_curve()} SELECT class, {_r6('score', 'threshold')}, "
         f"{_r6('tp / (tp + fp)', 'precision')}, {_r6('tp / support', 'recall')} FROM r JOIN u USING (class) "
         "UNION ALL SELECT class, NULL::double, 1.0::double, 0.0::double FROM u",
+        "roc_points_thin": f"WITH {PRED}, {SCORES}, {_curve()}, {_THIN} SELECT class, {_r6('score', 'threshold')}, "
+        f"{_r6('fp / others', 'fpr')}, {_r6('tp / support', 'tpr')} FROM n JOIN u USING (class) "
+        "WHERE b IS NULL OR a IS NULL OR pos <> pos_b OR neg <> neg_b "
+        "UNION ALL SELECT class, 'inf'::double, 0.0::double, 0.0::double FROM u",
+        "pr_points_thin": f"WITH {PRED}, {SCORES}, {_curve()}, {_THIN} SELECT class, {_r6('score', 'threshold')}, "
+        f"{_r6('tp / (tp + fp)', 'precision')}, {_r6('tp / support', 'recall')} FROM n JOIN u USING (class) "
+        "WHERE b IS NULL OR a IS NULL OR pos > 0 OR pos_b > 0 "
+        "UNION ALL SELECT class, NULL::double, 1.0::double, 0.0::double FROM u",
         "roc_auc_ovr": f"WITH {PRED}, {SCORES}, {_curve()} SELECT class, {_cols('auc')}, support FROM u",
         "roc_auc_means": f"WITH {PRED}, {SCORES}, {_curve()}, {AUC_MEANS} "
         f"SELECT {_cols('macro_auc weighted_auc')} FROM am",

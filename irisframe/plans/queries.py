@@ -164,6 +164,18 @@ def pr_points(spark, folder):
     return rounded(curves.pr_points(_running(spark, folder, totals=True)))
 
 
+@query
+def roc_points_thin(spark, folder):
+    scores = curves.scores_from_probs(predictions(spark, folder))
+    return rounded(curves.roc_points(curves.cumulative(scores, thin="roc")))
+
+
+@query
+def pr_points_thin(spark, folder):
+    scores = curves.scores_from_probs(predictions(spark, folder))
+    return rounded(curves.pr_points(curves.cumulative(scores, thin="pr")))
+
+
 @query
 def roc_auc_ovr(spark, folder):
     return rounded(curves.curve_areas(_running(spark, folder)).select("class", "auc", "support"))

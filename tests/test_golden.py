@@ -136,6 +136,33 @@ def test_curve_points(preds):
     assert [(r.precision, r.recall) for r in pr if r.threshold is None] == [(1.0, 0.0)]
 
 
+@pytest.mark.parametrize("rows_per_bucket", [3, 1000])
+def test_thinned_curves_keep_corners_across_ranges(spark, rows_per_bucket):
+    # Runs of equal steps long enough to cross the borders of ranges, in two classes.
+    hits = [1, 1, 1, 0, 0, 0, 0, 1, 0, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 1]
+    data = [(c, 1.0 - i / 50, bool(h) != (c == 1)) for c in (0, 1) for i, h in enumerate(hits)]
+    scores = spark.createDataFrame(data, "class int, score double, hit boolean")
+    for curve in ("roc", "pr"):
+        thin = curves.cumulative(scores, rows_per_bucket=rows_per_bucket, thin=curve).collect()
+        for c in (0, 1):
+            steps = [h for k, _, h in data if k == c]
+            if curve == "roc":
+                turns = [a != b for a, b in zip(steps, steps[1:])]
+            else:
+                turns = [a or b for a, b in zip(steps, steps[1:])]
+            want = [i for i in range(len(steps)) if i in (0, len(steps) - 1) or turns[i]]
+            assert sorted(round((1.0 - r.score) * 50) for r in thin if r["class"] == c) == want
+    whole = {(r["class"], r.threshold, r.fpr, r.tpr) for r in curves.roc_points(curves.cumulative(scores)).collect()}
+    points = {tuple(r) for r in curves.roc_points(curves.cumulative(scores, thin="roc")).collect()}
+    assert points < whole
+    for c in (0, 1):
+        line = lambda ps: sorted((f, t) for k, _, f, t in ps if k == c)
+        area = lambda ps: sum((f2 - f1) * (t1 + t2) / 2 for (f1, t1), (f2, t2) in zip(line(ps), line(ps)[1:]))
+        close(area(points), area(whole))
+    with pytest.raises(ValueError):
+        curves.cumulative(scores, thin="det")
+
+
 def test_losses(preds):
     nll = -F.log(F.get("probs", F.col("label")))
     row = summaries.mean_of_batch_means(preds, nll).first()
