@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import fuse
-from .splits import fold_parts
+from ..session import scratch_dir
+from .fold_heads import fit_fold_heads, score_by_fold
 
 
 def with_features(df: DataFrame, features: str) -> DataFrame:
@@ -58,10 +57,9 @@ def score_fusion_head(model, df: DataFrame, left: str, right: str) -> DataFrame:
 def cross_validated(folded: DataFrame, features: str, folds: int, **settings) -> DataFrame:
     """Out-of-fold predictions: each fold is scored by a head fitted on the others.
 
-    The loop is over the k folds; fitting and scoring stay distributed.
+    The folded rows are stored once; all folds are fitted in the same scans of them.
     """
-    parts = []
-    for run in range(folds):
-        train, val = fold_parts(folded, run)
-        parts.append(score_head(fit_linear_head(train, features, **settings), val, features))
-    return reduce(DataFrame.unionByName, parts)
+    path = scratch_dir(folded.sparkSession, "folded")
+    folded.write.parquet(path)
+    stored = folded.sparkSession.read.schema(folded.schema).parquet(path)
+    return score_by_fold(fit_fold_heads(stored, features, folds, **settings), stored, features)
