@@ -468,6 +468,14 @@ FROM b JOIN e ON e.user_id = b.user_id GROUP BY b.user_id, best, last_epoch, epo
         + " UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 5 = 0",
         "split_written": f"WITH {DOC_PATHS}, h AS ({_holdout('d', 'path', 'lang')}) "
         "SELECT path, split, h.lang AS class, sha256(t.text) AS content_sha256 FROM h JOIN d USING (path) JOIN documents t USING (doc_id)",
+        "split_sized": f"WITH {DOC_PATHS}, h AS ({_holdout('d', 'path', 'lang')}), "
+        "b AS (SELECT path, split, h.lang AS class, text, octet_length(encode(text)) AS size FROM h JOIN d USING (path) JOIN documents t USING (doc_id)), "
+        "r AS (SELECT *, sum(size) OVER (PARTITION BY split, class ORDER BY path) - size AS start, "
+        "sum(size) OVER (PARTITION BY split, class) AS total FROM b), "
+        "c AS (SELECT *, greatest(1, round(total / 20000.0)) AS n FROM r), "
+        "f AS (SELECT *, least(n - 1, floor(start / ceil(total / n))) AS cut FROM c) "
+        "SELECT path, split, class, (dense_rank() OVER (PARTITION BY split, class ORDER BY cut) - 1)::int AS file, "
+        "sha256(text) AS content_sha256 FROM f",
         "report_written": f"WITH {PRED}, {COUNTS} SELECT class, {_cols('precision recall f1')}, support FROM m",
         "linear_head": "SELECT vec_id, label, label AS pred FROM embeddings",
         "fusion_head": "SELECT vec_id, label, label AS pred FROM embeddings",

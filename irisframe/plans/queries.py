@@ -300,6 +300,16 @@ def split_written(spark, folder):
     return spark.read.parquet(path).select("path", "split", "class", F.sha2("content", 256).alias("content_sha256"))
 
 
+@query
+def split_sized(spark, folder):
+    """As ``split_written``, in files of about 20,000 bytes of content."""
+    docs = views.document_paths(spark, folder).select("doc_id", "path")
+    text = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    path = scratch_dir(spark, "split")
+    sinks.materialise_split(docs.join(text, "doc_id").select("path", "content"), path, file_bytes=20_000)
+    return spark.read.parquet(path).select("path", "split", "class", "file", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query
 def report_written(spark, folder):
     """The class report as CSV, and read back."""

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SPLITS, SplitSettings
 from ..functions.paths import parent_name
+from ..operators.ordered import Scan, prefix_scan
+from ..operators.small import checked_broadcast
 from ..operators.splits import holdout
 
 
@@ -19,14 +25,61 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def materialise_split(files: DataFrame, path: str, settings: SplitSettings = SPLITS) -> None:
+def materialise_split(
+    files: DataFrame, path: str, settings: SplitSettings = SPLITS, *, file_bytes: int | None = None
+) -> None:
     """Write (path, content) files as Parquet partitioned by split and class.
 
     The split is decided by broadcast cut points, so file content goes from the
-    scan straight to the writer without a shuffle.
+    scan straight to the writer without a shuffle, and each task writes a file for
+    every split and class it meets. With ``file_bytes`` content moves once, into files
+    of about that size, see ``write_sized``.
     """
     tagged = files.withColumn("class", parent_name(F.col("path")))
-    write_table(holdout(tagged, "class", "path", settings=settings), path, ("split", "class"))
+    split = holdout(tagged, "class", "path", settings=settings)
+    if file_bytes is None:
+        write_table(split, path, ("split", "class"))
+    else:
+        write_sized(split, path, ("split", "class"), "path", F.length("content"), file_bytes)
+
+
+def file_numbers(df: DataFrame, group: Sequence[str], key: str, size: Column, file_bytes: int) -> tuple[DataFrame, int]:
+    """``df`` with ``file``, the number of each row's file inside its group, and how
+    many files there are.
+
+    Files are stretches of the group along ``key``, cut where the running sum of sizes
+    passes another equal share, so a file differs from its share by at most one row at
+    either end. Only keys and sizes are ordered. What goes to every task is the first
+    key of each file; a row finds its file among them by halving. Rows of equal keys
+    share a file, null keys are in the first, and a null size counts as none.
+    """
+    slim = df.select(*group, key, F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    ran = prefix_scan(slim, group, [key], {"_end": Scan("sum", F.col("_size"))}, totals={"_end": "_total"})
+    count = F.greatest(F.lit(1), F.round(F.col("_total") / file_bytes)).cast("long")
+    share = F.greatest(F.lit(1), F.ceil(F.col("_total") / count)).cast("long")
+    shared = ran.withColumn("_count", count).withColumn("_share", share)
+    cut = shared.withColumn("_file", F.expr("least(_count - 1, (_end - _size) div _share)"))
+    firsts = cut.groupBy(*group, "_file").agg(F.min(key).alias("_first"))
+    cuts = firsts.groupBy(*group).agg(F.sort_array(F.collect_list("_first")).alias("_cuts"))
+    cuts = checked_broadcast(cuts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_cuts"))
+    files = cuts.agg(F.sum(F.greatest(F.size("_cuts"), F.lit(1)))).first()[0] or 0
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(24))])
+
+    def halve(at: Column, step: Column) -> Column:
+        there = F.get(F.col("_cuts"), at + step)
+        return F.when(there.isNotNull() & (there <= F.col(key)), at + step).otherwise(at)
+
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    found = df.join(cuts, same, "left").withColumn("file", F.aggregate(steps, F.lit(0), halve))
+    return found.drop("_cuts", *[f"_g{i}" for i in range(len(group))]), files
+
+
+def write_sized(df: DataFrame, path: str, group: Sequence[str], key: str, size: Column, file_bytes: int) -> None:
+    """Write Parquet partitioned by ``group`` and ``file``, one file of about
+    ``file_bytes`` (before compression) in each folder, however many tasks read ``df``."""
+    numbered, files = file_numbers(df, group, key, size, file_bytes)
+    placed = numbered.repartition(max(1, files), *group, "file").sortWithinPartitions(*group, "file", key)
+    write_table(placed, path, (*group, "file"))
 
 
 def write_finished(done: DataFrame, table: str, path: str, key: str, buckets: int, *, more: bool = False) -> DataFrame:

@@ -163,3 +163,26 @@ def test_bucketed_resume_moves_only_the_inputs(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE finished_a")
+
+
+def test_files_by_bytes_whatever_the_tasks(spark, tmp_path):
+    # One class holds most rows; one row has no class, one no content.
+    names = [f"/in/{'big' if i % 10 else 'small'}/{i:05d}.bin" for i in range(3000)]
+    rows = [(n, bytes(50 + (i * 37) % 100)) for i, n in enumerate(names)] + [(None, b"x"), ("/in/small/none.bin", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    layouts = []
+    for tasks in (1, 7):
+        out = str(tmp_path / f"sized{tasks}")
+        sinks.materialise_split(files.repartition(tasks), out, file_bytes=10_000)
+        back = spark.read.parquet(out).withColumn("name", F.input_file_name())
+        sizes = back.groupBy("split", "class", "file").agg(
+            F.sum(F.length("content")).alias("bytes"), F.countDistinct("name").alias("names")
+        ).collect()
+        assert all(r.names == 1 for r in sizes)
+        big = [r.bytes for r in sizes if r["class"] == "big"]
+        assert len(big) > 20 and max(big) <= 2 * min(big) and 5_000 <= min(big) and max(big) <= 20_000
+        layouts.append({(r.path, r.split, r["class"], r.file) for r in back.collect()})
+        assert len(layouts[-1]) == len(rows)
+    assert layouts[0] == layouts[1]
+    empty = str(tmp_path / "empty")
+    sinks.materialise_split(files.limit(0), empty, file_bytes=10_000)
