@@ -1,21 +1,21 @@
 """Analysis of run logs: best so far, early stopping, plateau steps, phases.
 
 A run may hold a large share of the log, so ordered work goes through
-:func:`~irisframe.operators.ordered.prefix_scan`. Stopping rules need a
-sequential rule only at rows that can improve on the best value; those are
-strict records of the running maximum, found in parallel first.
+:func:`~irisframe.operators.ordered.prefix_scan`. Stopping rules look only at
+rows that can improve on the best value, found in parallel first; rules with a
+threshold follow these by :mod:`~irisframe.operators.successors`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EARLY_STOP_PATIENCE, PLATEAU, PlateauSettings
 from .ordered import ROWS_PER_BUCKET, Scan, prefix_scan
+from .successors import follow_improvements
 
 
 def _log(df: DataFrame, run: str, epoch: str, value: str, mode: str) -> DataFrame:
@@ -91,7 +91,7 @@ def early_stop(
     if delta < 0:
         raise ValueError("delta must not be negative")
     scored = _scored(df, run, epoch, value, mode, rows_per_bucket)
-    out = _stop_by_records(scored, patience) if delta == 0 else _stop_by_fold(scored, delta, patience)
+    out = _stop_by_records(scored, patience) if delta == 0 else _stop_by_successors(scored, delta, patience, rows_per_bucket)
     # A run that starts without a usable score keeps it as its best for ever.
     hopeless = F.col("first.rank").isNull()
     sign = 1.0 if mode == "max" else -1.0
@@ -143,54 +143,16 @@ def _stop_by_records(scored: DataFrame, patience: int) -> DataFrame:
     )
 
 
-def fold_improvements(
-    candidates: DataFrame, improves: Callable[[float, float], bool], patience: int
-) -> DataFrame:
-    """Walk each run's candidate rows in order and keep the improving ones.
-
-    The rule is sequential, so a run's candidates pass through one task. There
-    they arrive sorted and are consumed as a stream: memory holds one Arrow
-    batch and one run's state, never a whole run. Per run it reports the best
-    value and position at the first gap of ``patience`` rows without improvement
-    (``at_*``), the final ones, and how many whole ``patience``-row waits were
-    completed, also before the first candidate.
-    """
+def _candidates(scored: DataFrame, may: Column, head: Column) -> DataFrame:
+    """The rows that may improve; ``head`` is true where a row sets its run's first best."""
+    return scored.filter(may).select("run", "pos", F.col("rank").alias("score"), head.alias("head"))
+
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None  # [run, best, pos, waits, at_best, at_pos]
-        for pdf in batches:
-            done = []
-            for run, pos, score in zip(pdf["run"], pdf["pos"], pdf["score"]):
-                if state is None or state[0] != run:
-                    if state is not None:
-                        done.append(state)
-                    state = [run, score, pos, (pos - 1) // patience, None, None]
-                elif improves(score, state[1]):
-                    waits = (pos - state[2] - 1) // patience
-                    if waits and state[5] is None:
-                        state[4:6] = state[1], state[2]
-                    state[1:4] = score, pos, state[3] + waits
-            if done:
-                yield _frame(done)
-        if state is not None:
-            yield _frame([state])
-
-    run_type = candidates.schema["run"].dataType.simpleString()
-    schema = f"run {run_type}, best double, pos long, waits long, at_best double, at_pos long"
-    ordered = candidates.select("run", "pos", "score").repartition("run")
-    return ordered.sortWithinPartitions("run", "pos").mapInPandas(walk, schema)
-
-
-def _frame(rows: list[list]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=["run", "best", "pos", "waits", "at_best", "at_pos"])
-    return pdf.astype({"at_best": "float64", "at_pos": "Int64"})
-
-
-def _stop_by_fold(scored: DataFrame, delta: float, patience: int) -> DataFrame:
+def _stop_by_successors(scored: DataFrame, delta: float, patience: int, rows_per_bucket: int) -> DataFrame:
     """With delta > 0 an improvement is still a strict record, but not every
-    record is one: walk the records only."""
-    walked = fold_improvements(
-        scored.filter(_records()).select("run", "pos", F.col("rank").alias("score")), lambda s, best: s > best + delta, patience
+    record is one: follow each to the first beyond ``delta``."""
+    walked = follow_improvements(
+        _candidates(scored, _records(), F.col("pos") == 1), lambda best: best + delta, patience, rows_per_part=rows_per_bucket
     ).withColumnRenamed("run", "_run")
     runs = scored.groupBy("run").agg(*_firsts(patience))
     ended = runs.join(walked, F.col("run").eqNullSafe(F.col("_run")), "left").withColumn(
@@ -231,11 +193,13 @@ def plateau_rate(
     # While the best is positive only strict records can improve on it. Up to
     # the first positive value every row with a score stays a candidate.
     before = F.col("before")
-    may = F.col("rank").isNotNull() & (before.isNull() | (F.col("rank") > before) | (before <= 0))
+    usable = F.col("rank") > float("-inf")
+    head = before.isNull() | (before == float("-inf"))
+    may = usable & (head | (F.col("rank") > before) | (before <= 0))
     gain = 1.0 + settings.threshold
     cycle = settings.patience + 1
-    walked = fold_improvements(
-        scored.filter(may).select("run", "pos", F.col("rank").alias("score")), lambda s, best: s > best * gain, cycle
+    walked = follow_improvements(
+        _candidates(scored, may, head), lambda best: best * gain, cycle, rows_per_part=rows_per_bucket
     ).withColumnRenamed("run", "_run")
     runs = scored.groupBy("run").agg(F.max("pos").alias("n"))
     since = F.col("n") - F.coalesce("pos", F.lit(0))

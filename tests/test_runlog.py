@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from irisframe.config import PLATEAU
-from irisframe.operators import runlog
+from irisframe.operators import runlog, successors
 
 
 def logs():
@@ -16,6 +17,9 @@ def logs():
     runs["flat"] = [1.0] * 100
     runs["one"] = [0.5]
     runs["slow"] = [1 + i * 1e-5 for i in range(300)]
+    # Below zero a relative gain lets the best fall.
+    runs["sinking"] = [-1 - i * 1e-5 * rng.randrange(3) for i in range(300)] + [0.0, -1.0, 0.0, 2.0, 2.0001, 2.001]
+    runs["unset"] = [float("-inf")] * 15 + [-3.0, -2.0, float("inf"), 5.0]
     return runs
 
 
@@ -72,6 +76,35 @@ def test_plateau(table, rows_per_bucket):
         assert got[run].rate == pytest.approx(rate)
 
 
+def test_first_above_equals_a_search():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 7, 64, 301):
+        values = rng.integers(0, 40, size).astype(float)
+        start, bound = rng.integers(0, size + 1, 200), rng.integers(-1, 41, 200).astype(float)
+        want = [next((j for j in range(a, size) if values[j] > b), size) for a, b in zip(start, bound)]
+        assert successors.first_above(values, start, bound).tolist() == want
+
+
+@pytest.mark.parametrize("delta", [0.5, 7.0, 150.0])
+def test_one_run_that_always_rises_is_cut(spark, delta):
+    # Every row is a record; a third of the log or all of it must not meet in a task.
+    rows, part = 6000, 250
+    values = [float(i % 7 + i) for i in range(rows)]
+    log = spark.createDataFrame([(None, 10 * e + 3, v) for e, v in enumerate(values)], "run string, epoch long, value double")
+    got = runlog.early_stop(log, "run", "epoch", "value", delta=delta, patience=200, rows_per_bucket=part).collect()
+    assert [(r.best, r.counter, r.stop_epoch) for r in got] == [walk_stop(values, "max", delta, 200)]
+    records = log.selectExpr("run", "(epoch - 3) div 10 + 1 AS pos", "value AS score", "epoch = 3 AS head")
+    cut = records.repartitionByRange(rows // part, "run", "pos").rdd.glom().map(len).collect()
+    assert max(cut) < 2 * part
+    entries = successors._entries(records, rows // part, lambda best: best + delta, 200)
+    assert entries.filter("head").count() == 1 and entries.select("part").distinct().count() == rows // part
+
+
+def test_runs_without_records_are_left_out(spark):
+    none = spark.createDataFrame([], "run string, pos long, score double, head boolean")
+    assert successors.follow_improvements(none, lambda best: best + 1, 3).collect() == []
+
+
 @pytest.mark.parametrize("mode", ["max", "min"])
 def test_best_so_far(table, mode):
     got = {(r.run, r.epoch): r for r in runlog.best_so_far(table, "run", "epoch", "value", mode=mode, rows_per_bucket=100).collect()}
