@@ -29,15 +29,14 @@ def _log(df: DataFrame, run: str, epoch: str, value: str, mode: str) -> DataFram
     return log.withColumn("rank", F.when(~F.isnan("score"), F.col("score")))
 
 
-def _scored(df: DataFrame, run: str, epoch: str, value: str, mode: str, rows_per_bucket: int) -> DataFrame:
-    """The log with each row's position, the best rank before it, and ``_bucket`` for
-    further scans."""
+def _scored(log: DataFrame, rows_per_bucket: int, step: Column | None = None) -> DataFrame:
+    """The log with each row's position, the sum of ``step`` (1) up to it, and the best
+    rank before it."""
     scans = {
-        "pos": Scan("sum", F.lit(1).cast("long")),
+        "pos": Scan("sum", F.lit(1).cast("long") if step is None else step),
         "before": Scan("max", F.col("rank"), inclusive=False),
     }
-    log = _log(df, run, epoch, value, mode)
-    return prefix_scan(log, ["run"], ["epoch"], scans, rows_per_bucket=rows_per_bucket, keep_bucket=True)
+    return prefix_scan(log, ["run"], ["epoch"], scans, rows_per_bucket=rows_per_bucket)
 
 
 def best_so_far(
@@ -56,7 +55,7 @@ def best_so_far(
     mode (accuracies), infinity in min mode (losses). A NaN or missing value
     never improves.
     """
-    scored = _scored(df, run, epoch, value, mode, rows_per_bucket)
+    scored = _scored(_log(df, run, epoch, value, mode), rows_per_bucket)
     sign = 1.0 if mode == "max" else -1.0
     if initial is None:
         initial = 0.0 if mode == "max" else float("inf")
@@ -88,28 +87,74 @@ def early_stop(
     ones improve only beyond ``delta``. NaN and missing values never improve, and
     nothing improves on a first value of that kind.
     """
+    state = early_stop_state(
+        df, run, epoch, value, mode=mode, delta=delta, patience=patience, rows_per_bucket=rows_per_bucket
+    )
+    return state.drop("last_epoch")
+
+
+def early_stop_state(
+    df: DataFrame,
+    run: str,
+    epoch: str,
+    value: str,
+    *,
+    mode: str = "max",
+    delta: float = 0.0,
+    patience: int = EARLY_STOP_PATIENCE,
+    earlier: DataFrame | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """:func:`early_stop` with each run's ``last_epoch``, from which it can go on.
+
+    ``earlier`` is such a result for the epochs before those of ``df``: its runs go on
+    with their best and counter, also those without new rows. Rows of stopped runs, and
+    epochs not after a run's last one, are ignored. The result equals one over all
+    epochs at once.
+    """
     if delta < 0:
         raise ValueError("delta must not be negative")
-    scored = _scored(df, run, epoch, value, mode, rows_per_bucket)
-    out = _stop_by_records(scored, patience) if delta == 0 else _stop_by_successors(scored, delta, patience, rows_per_bucket)
+    sign = 1.0 if mode == "max" else -1.0
+    log = _log(df, run, epoch, value, mode)
+    if earlier is None:
+        scored = _scored(log, rows_per_bucket).withColumn("reach", F.col("pos"))
+    else:
+        going = F.col("stop_epoch").isNull()
+        known = earlier.select(F.col(run).alias("_run"), "stop_epoch", "last_epoch")
+        new = going & (F.col("last_epoch").isNull() | (F.col("epoch") > F.col("last_epoch")))
+        log = log.join(known, F.col("run").eqNullSafe(F.col("_run")), "left").filter(new).select(*log.columns)
+        # The best so far opens the new part of a run, as far back as it was found.
+        best, idle = F.col("best") * sign, F.col("counter")
+        usable = F.when(~F.isnan("best"), best)
+        opening = earlier.filter(going).select(
+            F.col(run).alias("run"), F.col("last_epoch").alias("epoch"), best.alias("score"), usable.alias("rank"), idle.alias("idle")
+        )
+        both = log.withColumn("idle", F.lit(None).cast("long")).unionByName(opening)
+        idle = F.coalesce("idle", F.lit(0))
+        # The pause before the new part moves its rows on, but not the opening itself.
+        scored = _scored(both, rows_per_bucket, 1 + idle)
+        scored = scored.withColumn("reach", F.col("pos")).withColumn("pos", F.col("pos") - idle).drop("idle")
+    out = _stop_by_successors(scored, delta, patience, rows_per_bucket)
     # A run that starts without a usable score keeps it as its best for ever.
     hopeless = F.col("first.rank").isNull()
-    sign = 1.0 if mode == "max" else -1.0
-    return out.select(
+    state = out.select(
         F.col("run").alias(run),
         (F.when(hopeless, F.col("first.score")).otherwise(F.col("best")) * sign).alias("best"),
         F.when(hopeless, F.least(F.col("n") - 1, F.lit(patience))).otherwise(F.col("counter")).cast("long").alias("counter"),
         F.when(hopeless, F.col("idle_end")).otherwise(F.col("stop_epoch")).alias("stop_epoch"),
+        "last_epoch",
     )
+    return state if earlier is None else state.unionByName(earlier.filter("stop_epoch IS NOT NULL").select(*state.columns))
 
 
 def _firsts(patience: int) -> list[Column]:
-    """Aggregates per run: its first row, length, and the epoch where a run without
-    any improvement ends."""
+    """Aggregates per run: its first row, length, last epoch, and the epoch where a run
+    without any improvement ends."""
     first = F.when(F.col("pos") == 1, F.struct("score", "rank"))
     return [
         F.first(first, ignorenulls=True).alias("first"),
-        F.max("pos").alias("n"),
+        F.max("reach").alias("n"),
+        F.max("epoch").alias("last_epoch"),
         F.max(F.when(F.col("pos") == 1 + patience, F.col("epoch"))).alias("idle_end"),
     ]
 
@@ -118,39 +163,14 @@ def _records() -> Column:
     return F.col("rank").isNotNull() & ((F.col("pos") == 1) | (F.col("rank") > F.col("before")))
 
 
-def _stop_by_records(scored: DataFrame, patience: int) -> DataFrame:
-    """With delta 0 improvements are exactly the strict records: no sequential part."""
-    flagged = scored.withColumn("record_pos", F.when(_records(), F.col("pos")))
-    last = prefix_scan(flagged, ["run"], ["epoch"], {"last": Scan("max", F.col("record_pos"))}, F.col("_bucket"))
-    waiting = last.withColumn("idle", F.col("pos") - F.col("last"))
-    # Positions are unique in a run, so these pick one row each.
-    hit = F.col("idle") == patience
-    return (
-        waiting.groupBy("run")
-        .agg(
-            F.min(F.when(hit, F.col("pos"))).alias("stop_pos"),
-            F.min_by("epoch", F.when(hit, F.col("pos"))).alias("stop_epoch"),
-            F.min_by("before", F.when(hit, F.col("pos"))).alias("stop_best"),
-            F.max("rank").alias("top"),
-            F.max("last").alias("last_record"),
-            *_firsts(patience),
-        )
-        .withColumn("best", F.coalesce("stop_best", "top"))
-        .withColumn(
-            "counter",
-            F.when(F.col("stop_pos").isNotNull(), F.lit(patience)).otherwise(F.col("n") - F.col("last_record")),
-        )
-    )
-
-
 def _candidates(scored: DataFrame, may: Column, head: Column) -> DataFrame:
     """The rows that may improve; ``head`` is true where a row sets its run's first best."""
     return scored.filter(may).select("run", "pos", F.col("rank").alias("score"), head.alias("head"))
 
 
 def _stop_by_successors(scored: DataFrame, delta: float, patience: int, rows_per_bucket: int) -> DataFrame:
-    """With delta > 0 an improvement is still a strict record, but not every
-    record is one: follow each to the first beyond ``delta``."""
+    """An improvement is always a strict record, but with delta > 0 not every record
+    is one: follow each to the first beyond ``delta``."""
     walked = follow_improvements(
         _candidates(scored, _records(), F.col("pos") == 1), lambda best: best + delta, patience, rows_per_part=rows_per_bucket
     ).withColumnRenamed("run", "_run")
@@ -163,6 +183,7 @@ def _stop_by_successors(scored: DataFrame, delta: float, patience: int, rows_per
         F.col("run").alias("_run"),
         "first",
         "n",
+        "last_epoch",
         "idle_end",
         F.coalesce("at_best", "best").alias("best"),
         F.when(F.col("wait_from").isNotNull(), F.lit(patience)).otherwise(F.col("n") - F.col("pos")).alias("counter"),
@@ -189,7 +210,7 @@ def plateau_rate(
     relative gain of ``threshold``; the count then starts again. NaN and missing
     values are epochs without gain; a run of them alone has a best of -infinity.
     """
-    scored = _scored(df, run, epoch, value, "max", rows_per_bucket)
+    scored = _scored(_log(df, run, epoch, value, "max"), rows_per_bucket)
     # While the best is positive only strict records can improve on it. Up to
     # the first positive value every row with a score stays a candidate.
     before = F.col("before")

@@ -817,9 +817,8 @@ def stream_early_stop(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = incremental.table_stream(spark, f"{folder}/events.parquet", schema)
     out, state = scratch_dir(spark, "stops"), scratch_dir(spark, "stops-state")
-    watch = lambda df: live.early_stop_stream(df, "user_id", "event_id", "value")
-    incremental.run_pending(stream, watch, out, state)
-    return live.latest_per_run(spark.read.parquet(out)).withColumnRenamed("run", "user_id")
+    live.run_early_stop(stream, "user_id", "event_id", "value", out, state)
+    return live.current_runs(spark, out).drop("last_epoch")
 
 
 # Heads -----------------------------------------------------------------------

@@ -1,77 +1,79 @@
-"""Early stopping on a live stream of epoch values."""
+"""Early stopping on a live stream of epoch values.
 
-from __future__ import annotations
+A keyed state would hand all new rows of a run to one task. Instead every micro-batch
+goes through the batch rule, which cuts long runs into parts, and goes on from the
+table of runs that the batch before it left: five numbers a run. The table of batch n
+is written from that of batch n - 1 alone, so a batch that is repeated after a failure
+writes the same table again.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import EARLY_STOP_PATIENCE
+from ..operators.runlog import early_stop_state
+from ..session import drop_scratch, owned_scratch
 
-_STATE = "best double, counter long, last_epoch long, stop_epoch long"
-_OUTPUT = "run {run}, best double, counter long, stop_epoch long, last_epoch long"
 
+def _written_batches(spark: SparkSession, output: str) -> dict[int, str]:
+    """Finished tables of runs by batch number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(output)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    done = [n for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{output}/{n}/_SUCCESS"))]
+    return {int(n.removeprefix("batch=")): f"{output}/{n}" for n in done}
 
-def early_stop_stream(
+
+def run_early_stop(
     stream: DataFrame,
     run: str,
     epoch: str,
     value: str,
+    output: str,
+    checkpoint: str,
     *,
     mode: str = "max",
     delta: float = 0.0,
     patience: int = EARLY_STOP_PATIENCE,
-) -> DataFrame:
-    """One updated row per run and micro-batch: best, counter, stop epoch (-1 if none).
+    rows_per_bucket: int | None = None,
+) -> None:
+    """Take everything new from ``stream``, bring the table of runs below ``output`` up
+    to date, then stop. Run again after new arrivals or a failure.
 
-    Per run the state is four numbers. Inside a micro-batch rows are taken in
-    epoch order; epochs at or below the last one seen are dropped. The source's
-    files-per-trigger setting bounds what a micro-batch holds.
+    Inside a micro-batch rows are taken in epoch order; epochs at or below a run's last
+    one are dropped. Values that are NaN or missing never improve, as in the batch rule.
     """
-    sign = 1.0 if mode == "max" else -1.0
+    rows = stream.select(F.col(run).alias(run), F.col(epoch).cast("long").alias(epoch), F.col(value).cast("double").alias(value))
+    settings = {"mode": mode, "delta": delta, "patience": patience}
+    if rows_per_bucket:
+        settings["rows_per_bucket"] = rows_per_bucket
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, counter, last, stop = state.get if state.exists else (None, 0, -(2**63), -1)
-        parts = [(p["epoch"].to_numpy(np.int64), p["value"].to_numpy(np.float64)) for p in batches]
-        epochs = np.concatenate([e for e, _ in parts])
-        scores = sign * np.concatenate([v for _, v in parts])
-        for i in np.argsort(epochs, kind="stable"):
-            if epochs[i] <= last or stop >= 0:
-                continue
-            last, score = int(epochs[i]), float(scores[i])
-            if best is None or score > best + delta:
-                best, counter = score, 0
-            else:
-                counter += 1
-                if counter >= patience:
-                    stop = last
-        state.update((best, counter, last, stop))
-        yield pd.DataFrame(
-            {
-                "run": [key[0]],
-                "best": [sign * best],
-                "counter": [counter],
-                "stop_epoch": [stop],
-                "last_epoch": [last],
-            }
-        )
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        tables = _written_batches(spark, output)
+        last = max((n for n in tables if n < number), default=None)
+        earlier = None if last is None else spark.read.parquet(tables[last])
+        with owned_scratch() as owned:
+            state = early_stop_state(batch, run, epoch, value, earlier=earlier, **settings)
+            state.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        # The table this one was made from stays, for a batch that is repeated.
+        drop_scratch(spark, [*owned, *(path for n, path in tables.items() if last is not None and n < last)])
 
-    rows = stream.select(
-        F.col(run).alias("run"), F.col(epoch).cast("long").alias("epoch"), F.col(value).cast("double").alias("value")
-    )
-    output = _OUTPUT.format(run=rows.schema["run"].dataType.simpleString())
-    return rows.groupBy("run").applyInPandasWithState(
-        update, output, _STATE, "append", GroupStateTimeout.NoTimeout
+    query = (
+        rows.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
 
 
-def latest_per_run(updates: DataFrame) -> DataFrame:
-    """The final state per run from the appended updates."""
-    state = F.struct("best", "counter", "stop_epoch")
-    rank = F.struct("last_epoch", "stop_epoch", "counter")
-    last = updates.groupBy("run").agg(F.max_by(state, rank).alias("s")).select("run", "s.*")
-    return last.withColumn("stop_epoch", F.when(F.col("stop_epoch") >= 0, F.col("stop_epoch")))
+def current_runs(spark: SparkSession, output: str) -> DataFrame:
+    """The state of every run after the last batch: best, counter, stop epoch (null while
+    it goes on) and last epoch."""
+    tables = _written_batches(spark, output)
+    return spark.read.parquet(tables[max(tables)])
