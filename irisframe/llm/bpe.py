@@ -4,7 +4,8 @@ Spark spreads the documents; each task holds an in-memory DuckDB with the merge
 table. Texts fall into pieces by the tokenizer's pattern, and each distinct piece
 is encoded once per worker: a recursive query keeps one row per (piece, position,
 token), joins neighbours with the merge table, and contracts every piece's
-leftmost pair of least rank until none is left. Decoding joins the ids with the
+leftmost pair of least rank until none is left; its first position stays in every
+step, so the last step with it is the result. Decoding joins the ids with the
 vocabulary and aggregates their bytes in order.
 """
 
@@ -54,13 +55,17 @@ WITH RECURSIVE parts(step, w, pos, tok, next_tok, next_pos) AS (
     )
     WINDOW word AS (PARTITION BY w ORDER BY pos)
 )
-SELECT w, string_agg(tok, ',' ORDER BY pos) AS ids
-FROM parts JOIN (SELECT w, max(step) AS step FROM parts GROUP BY w) USING (w, step)
+SELECT w, string_agg(tok, ',') AS ids
+FROM (
+    SELECT w, tok
+    FROM parts JOIN (SELECT w, max(step) AS step FROM parts WHERE pos = 0 GROUP BY w) USING (w, step)
+    ORDER BY w, pos
+)
 GROUP BY w
 """
 
-#: A token's bytes are held as the letters of the same code. One thread aggregates
-#: the rows in the order that the subquery gives them.
+#: A token's bytes are held as the letters of the same code. Here and above one thread
+#: aggregates the rows in the order that the subquery gives them.
 _DECODE = """
 SELECT d, string_agg(letters, '') AS raw
 FROM (SELECT d, letters FROM encoded JOIN vocabulary USING (tok) ORDER BY pos)
