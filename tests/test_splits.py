@@ -186,3 +186,27 @@ def test_files_by_bytes_whatever_the_tasks(spark, tmp_path):
     assert layouts[0] == layouts[1]
     empty = str(tmp_path / "empty")
     sinks.materialise_split(files.limit(0), empty, file_bytes=10_000)
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    # About 200 files, of which each task writes many.
+    rows = [(f"/in/{'ab'[i % 2]}/{i:05d}.bin", bytes(100)) for i in range(2000)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    out, setting = str(tmp_path / "small"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    sinks.materialise_split(files, out, file_bytes=1_000)
+    before = spark.conf.get(setting)
+    back = sinks.read_sized(spark, out)
+    assert spark.conf.get(setting) == before
+    named = back.withColumn("name", F.input_file_name()).groupBy("split", "class", "file").agg(F.countDistinct("name").alias("n"), F.max("name").alias("name"))
+    names = named.collect()
+    assert len(names) >= 190 and all(r.n == 1 for r in names)
+    assert len({r.name.rsplit("part-", 1)[1][:5] for r in names}) <= 8
+    assert {(r.path, bytes(r.content)) for r in back.collect()} == set(rows)
+
+
+def test_write_tasks_follow_bytes_and_files():
+    assert sinks.write_tasks(0, 20_000, 12) == 1
+    assert sinks.write_tasks(5, 20_000, 12) == 5
+    assert sinks.write_tasks(5_000, 20_000, 12) == 12
+    assert sinks.write_tasks(50_000, 20_000, 12) == 100
+    assert sinks.write_tasks(400, 256 << 20, 12) == 400
