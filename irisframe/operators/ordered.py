@@ -8,7 +8,8 @@ Ranges are scanned while they are written: the task that holds a sorted range ru
 through it batch by batch with the state of the current group, and adds the totals
 of its last group. Only the first group of a range can have begun in an earlier
 one, so what is carried over is one row for each range, and the result needs no
-further shuffle. Buckets by a function of the key are scanned by windows over
+further shuffle. A range is one task's work and is cut into buckets where it stands, so
+small buckets cost no task of their own. Buckets by a function of the key are scanned by windows over
 (group, bucket), and bucket totals are prefix-scanned (groups + buckets rows).
 
 Ranges are written to the shared scratch folder once, so that every later use
@@ -34,6 +35,10 @@ from pyspark.sql import types as T
 from ..session import scratch_dir
 
 ROWS_PER_BUCKET = 2_000_000
+#: Rows that one task sorts and scans, whatever the size of the buckets cut from them.
+ROWS_PER_RANGE = 2_000_000
+#: Bits that ``monotonically_increasing_id`` leaves to the row inside a partition.
+_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -60,23 +65,25 @@ class Scan:
 def range_cut(df: DataFrame, keys: Sequence[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``df`` with ``_bucket``, a number that never falls along ``keys``.
 
-    The number of buckets grows with the rows and has no ceiling. All columns of
-    ``df`` move once and are stored, so it should be slim: keys and values, with
-    wide payload joined to the result by key.
+    A bucket has at most ``rows_per_bucket`` rows, and their number has no ceiling.
+    All columns of ``df`` move once and are stored, so it should be slim: keys and
+    values, with wide payload joined to the result by key.
     """
-    ranged = df.repartitionByRange(_ranges(df, rows_per_bucket), *keys).withColumn("_bucket", F.spark_partition_id())
-    return _written(ranged)
+    ranged = df.repartitionByRange(_ranges(df), *keys).sortWithinPartitions(*keys)
+    placed = ranged.withColumn("_place", F.monotonically_increasing_id())
+    row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return _written(placed.withColumn("_bucket", F.col("_place") - row % rows_per_bucket).drop("_place"))
 
 
-def _ranges(df: DataFrame, rows_per_bucket: int) -> int:
+def _ranges(df: DataFrame) -> int:
     """Number of ranges: the session's shuffle partitions, or more if these would
-    hold more than ``rows_per_bucket`` rows each. Rows are counted only where the
+    hold more than ``ROWS_PER_RANGE`` rows each. Rows are counted only where the
     optimizer's estimate of the table's bytes, at least eight a row, leaves that open."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate <= 8 * parts * rows_per_bucket:
+    if estimate <= 8 * parts * ROWS_PER_RANGE:
         return parts
-    return max(parts, -(-df.count() // rows_per_bucket))
+    return max(parts, -(-df.count() // ROWS_PER_RANGE))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -146,20 +153,21 @@ class _Running:
 
 
 def _scan_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan], rows_per_bucket: int) -> DataFrame:
-    """The rows with ``_bucket``, their running values inside it and whether they are
-    of its first group; and, marked by ``_edge``, a row for the first and the last
-    group of every bucket, whose values are the group's totals there."""
+    """The rows with ``_range`` and ``_bucket``, their running values inside the range
+    and whether they are of its first group; and, marked by ``_edge``, a row for the
+    first and the last group of every range, whose values are the group's totals there."""
     kept = df.columns
     taken = df.withColumns({f"_v_{n}": s.value for n, s in scans.items()})
-    sorted_rows = taken.repartitionByRange(_ranges(df, rows_per_bucket), *group, *order).sortWithinPartitions(*group, *order)
+    sorted_rows = taken.repartitionByRange(_ranges(df), *group, *order).sortWithinPartitions(*group, *order)
     kinds = {n: _scanned_type(taken.schema[f"_v_{n}"].dataType) for n in scans}
     rules = {n: (s.kind, s.inclusive) for n, s in scans.items()}
+    marked = ("_range", "_bucket", "_head", "_edge")
     slim = sorted_rows.select(*kept, *[F.col(f"_v_{n}").cast(kinds[n]).alias(f"_v_{n}") for n in scans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, running = TaskContext.get().partitionId(), {n: _Running(*r) for n, r in rules.items()}
+        at_range, running = TaskContext.get().partitionId(), {n: _Running(*r) for n, r in rules.items()}
         first = last = None
-        groups, types = 0, {}
+        groups, rows, types = 0, 0, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -172,8 +180,11 @@ def _scan_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], scan
             first, last = first or [c[:1] for c in columns], [c[-1:] for c in columns]
             types = {n: batch.column(n).type for n in kept} | {n: a.type for n, a in made.items()}
             size = batch.num_rows
-            marks = [pa.array(np.full(size, bucket, dtype=np.int32)), pa.array(head), pa.nulls(size, pa.bool_())]
-            yield pa.record_batch([*[batch.column(n) for n in kept], *made.values(), *marks], [*kept, *made, "_bucket", "_head", "_edge"])
+            row = np.arange(rows, rows + size)
+            rows += size
+            bucket = (at_range << _ROW_BITS) + row - row % rows_per_bucket
+            marks = [pa.array(np.full(size, at_range, dtype=np.int32)), pa.array(bucket), pa.array(head), pa.nulls(size, pa.bool_())]
+            yield pa.record_batch([*[batch.column(n) for n in kept], *made.values(), *marks], [*kept, *made, *marked])
         if not groups:
             return
         # Only totals of the last group are ever carried on; a first group that ends
@@ -183,11 +194,11 @@ def _scan_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], scan
                 named = dict(zip(group, at))
                 values = [named.get(n, pa.nulls(1, types[n])) for n in kept]
                 values += [r.total(types[n]) if totals else pa.nulls(1, types[n]) for n, r in running.items()]
-                marks = [pa.array([bucket], pa.int32()), pa.nulls(1, pa.bool_()), pa.array([is_first])]
-                yield pa.record_batch([*values, *marks], [*kept, *running, "_bucket", "_head", "_edge"])
+                marks = [pa.array([at_range], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([is_first])]
+                yield pa.record_batch([*values, *marks], [*kept, *running, *marked])
 
     fields = [T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField(n, kinds[n]) for n in scans]
-    marks = [T.StructField("_bucket", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.BooleanType())]
+    marks = [T.StructField(n, k) for n, k in zip(marked, (T.IntegerType(), T.LongType(), T.BooleanType(), T.BooleanType()))]
     return _written(slim.mapInArrow(run, T.StructType(fields + marks)))
 
 
@@ -199,14 +210,14 @@ def _carried_on(ranges: DataFrame, group: Sequence[str], scans: Mapping[str, Sca
     """Running values over ranges from their own and what earlier ranges hold of
     their first group."""
     key = F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
-    earlier = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     edges = ranges.filter("_edge IS NOT NULL").withColumn("_group", key)
-    carried = edges.select("_bucket", "_edge", *[s.over(F.col(n)).over(earlier).alias(f"_c_{n}") for n, s in scans.items()])
-    # One row for each bucket.
+    carried = edges.select("_range", "_edge", *[s.over(F.col(n)).over(earlier).alias(f"_c_{n}") for n, s in scans.items()])
+    # One row for each range.
     carried = F.broadcast(carried.filter("_edge").drop("_edge"))
-    rows = ranges.filter("_edge IS NULL").join(carried, "_bucket", "left")
+    rows = ranges.filter("_edge IS NULL").join(carried, "_range", "left")
     both = {n: F.when(F.col("_head"), s.combine(F.col(n), F.col(f"_c_{n}"))).otherwise(F.col(n)) for n, s in scans.items()}
-    return rows.withColumns(both).drop("_head", "_edge", *[f"_c_{n}" for n in scans])
+    return rows.withColumns(both).drop("_range", "_head", "_edge", *[f"_c_{n}" for n in scans])
 
 
 def prefix_scan(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from irisframe.operators.ordered import Scan, global_index, prefix_scan, range_cut
+from irisframe.operators.ordered import Scan, _scan_ranges, global_index, prefix_scan, range_cut
 from irisframe.operators.small import checked_broadcast
 
 
@@ -113,3 +113,17 @@ def test_scan_of_nulls_and_nan_equals_windows(spark):
 def test_scan_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, o long")
     assert global_index(df, ["o"], group=["g"]).collect() == []
+
+
+def test_small_buckets_need_no_task_each(spark):
+    """Ranges follow the rows a task can take; buckets of any size are cut inside them."""
+    df = spark.range(4_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
+    scans = {"n": Scan("sum", F.lit(1))}
+    for stored in (_scan_ranges(df, ["g"], ["o"], scans, 10).filter("_edge IS NULL"), range_cut(df, ["g", "o"], rows_per_bucket=10)):
+        assert stored.select(F.input_file_name()).distinct().count() <= 8
+        ends = [F.count("*").alias("rows"), F.min(F.struct("g", "o")).alias("low"), F.max(F.struct("g", "o")).alias("high")]
+        buckets = stored.groupBy("_bucket").agg(*ends).orderBy("_bucket").collect()
+        assert len(buckets) >= 400 and max(b.rows for b in buckets) == 10
+        assert all(tuple(a.high) < tuple(b.low) for a, b in zip(buckets, buckets[1:]))
+    ran = prefix_scan(df, ["g"], ["o"], scans, rows_per_bucket=10)
+    assert ran.filter(F.col("n") != F.floor(F.col("o") / 3) + 1).count() == 0
