@@ -307,7 +307,8 @@ def split_sized(spark, folder):
     text = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     path = scratch_dir(spark, "split")
     sinks.materialise_split(docs.join(text, "doc_id").select("path", "content"), path, file_bytes=20_000)
-    return sinks.read_sized(spark, path).select("path", "split", "class", "file", F.sha2("content", 256).alias("content_sha256"))
+    back = sinks.read_sized(spark, path, "path string, content binary")
+    return back.select("path", "split", "class", "file", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query

@@ -210,3 +210,106 @@ def test_write_tasks_follow_bytes_and_files():
     assert sinks.write_tasks(5_000, 20_000, 12) == 12
     assert sinks.write_tasks(50_000, 20_000, 12) == 100
     assert sinks.write_tasks(400, 256 << 20, 12) == 400
+
+
+def _odd_files(spark, n=600):
+    """Files of classes whose names a folder cannot have as they are, one without class, one without content."""
+    odd = ["a b", "a=b", "50%", "ü", "x:y", "[z]", "q'", '"', "#", "w^", "{", "007", "~", "back\\slash", "*", "tab\t", "%2F"]
+    rows = [(f"/in/{odd[i % len(odd)]}/{i:05d}.bin", bytes(100 + i % 7), i if i % 3 else None, i / 8, bool(i % 2)) for i in range(n)]
+    rows += [(None, b"x", 1, None, None), ("/in/a b/none.bin", None, 2, 1.0, None)]
+    columns = "path string, content binary, n int, d double, b boolean"
+    return spark.createDataFrame(rows, columns), columns, len(rows)
+
+
+def _folders(top):
+    return sorted(str(f.parent.relative_to(top)) for f in top.rglob("part-*.parquet"))
+
+
+def test_files_of_a_mounted_folder_equal_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    files, columns, n = _odd_files(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sinks.materialise_split(files, str(tmp_path / "near"), file_bytes=1_000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with monkeypatch.context() as far:
+        far.setattr(sinks, "mounted", lambda *_: False)
+        sinks.materialise_split(files, str(tmp_path / "far"), file_bytes=1_000)
+        listed = sinks.read_sized(spark, str(tmp_path / "far"), columns)
+    assert _folders(tmp_path / "near") == _folders(tmp_path / "far")
+    assert len(_folders(tmp_path / "near")) == len(set(_folders(tmp_path / "near"))) > 60
+    backs = [spark.read.parquet(str(tmp_path / "far")), listed]
+    for name in ("near", "far"):
+        backs += [sinks.read_sized(spark, str(tmp_path / name)), sinks.read_sized(spark, str(tmp_path / name), columns)]
+    rows = sorted(map(repr, backs[0].collect()))
+    assert len(rows) == n
+    for back in backs[1:]:
+        assert back.dtypes == backs[0].dtypes and sorted(map(repr, back.collect())) == rows
+
+
+def test_a_mounted_folder_has_its_files_alone(spark, tmp_path):
+    # Hadoop's local file system adds a checksum file to each, and starts processes for both.
+    files, columns, _ = _odd_files(spark, 300)
+    out = tmp_path / "out"
+    sinks.materialise_split(files, str(out), file_bytes=1_000)
+    assert [f for f in out.rglob(".*") if f.name != "._SUCCESS.crc"] == []
+    sinks.materialise_split(files.limit(3), str(out), file_bytes=1_000)
+    assert sinks.read_sized(spark, str(out), columns).count() == 3
+    # A write that fails leaves what was there, and nothing beside it.
+    broken = files.withColumn("content", F.expr("if(n = 299, raise_error('unreadable'), content)"))
+    held = _folders(out)
+    with pytest.raises(Exception, match="unreadable"):
+        sinks.write_mounted(broken.selectExpr("path", "content", "'x' AS class"), str(out), ("class",))
+    assert _folders(out) == held and [f.name for f in tmp_path.iterdir()] == ["out"]
+    sinks.materialise_split(files.limit(0), str(out), file_bytes=1_000)
+    assert sinks.read_sized(spark, str(out), columns).count() == 0
+
+
+def test_other_columns_and_other_stores_go_through_spark(spark, tmp_path):
+    files = spark.range(400).selectExpr("concat('/in/a/', id) AS path", "cast(repeat('x', 100) AS binary) AS content", "timestamp_seconds(id) AS at")
+    sinks.materialise_split(files, str(tmp_path / "at"), file_bytes=1_000)
+    back = sinks.read_sized(spark, str(tmp_path / "at"), "path string, content binary, at timestamp")
+    assert {(r.path, r.at) for r in back.collect()} == {(r.path, r.at) for r in files.collect()}
+    assert back.select("file").distinct().count() > 20
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.box.link./in", f"file://{tmp_path}")
+    try:
+        sinks.materialise_split(files.drop("at"), "viewfs://box/in/far", file_bytes=1_000)
+        assert sinks.read_sized(spark, "viewfs://box/in/far", "path string, content binary").count() == 400
+    finally:
+        conf.unset("fs.viewfs.mounttable.box.link./in")
+
+
+def test_small_files_share_a_task_that_reads_them(spark, tmp_path):
+    files, columns, n = _odd_files(spark)
+    out = str(tmp_path / "out")
+    sinks.materialise_split(files, out, file_bytes=1_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        for back in (sinks.read_sized(spark, out), sinks.read_sized(spark, out, columns)):
+            assert back.rdd.getNumPartitions() <= 8 and back.count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_found_in_parts_of_the_list(spark, monkeypatch):
+    # About 90 files in one group, the others small; keys that repeat, null keys and a group of these alone.
+    rows = [("big", f"{i * 7 % 900:04d}", 10) for i in range(900)] + [("big", "0500", 10), ("big", None, 5), ("small", "a", 1), ("small", "b", None)]
+    rows += [(None, "0001", 3), ("keyless", None, 30)]
+    df = spark.createDataFrame(rows, "g string, k string, size int")
+    found = {}
+    for bits in (1, 3, 9):
+        monkeypatch.setattr(sinks, "CUT_BITS", bits)
+        numbered, files = sinks.file_numbers(df, ["g"], "k", F.col("size"), 100)
+        assert numbered.columns == ["g", "k", "size", "file"]
+        found[bits] = files, sorted(map(repr, numbered.collect()))
+    assert found[1] == found[3] == found[9] and len(found[9][1]) == len(rows)
+    start, total, cuts = 0, 9_015, {}
+    for k, size in [(None, 5)] + sorted((r[1], r[2]) for r in rows if r[0] == "big" and r[1]):
+        cuts.setdefault(k, min(89, start // -(-total // 90)))
+        start += size
+    numbers = {c: n for n, c in enumerate(sorted(set(cuts.values())))}
+    got = {r.k: r.file for r in numbered.filter("g = 'big'").collect()}
+    assert got == {k: numbers[c] for k, c in cuts.items()}
+    assert {(r.g, r.file) for r in numbered.filter("g IS NULL OR g <> 'big'").collect()} == {("small", 0), (None, 0), ("keyless", 0)}
