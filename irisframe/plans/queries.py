@@ -305,8 +305,9 @@ def split_sized(spark, folder):
     """As ``split_written``, in files of about 20,000 bytes of content."""
     docs = views.document_paths(spark, folder).select("doc_id", "path")
     text = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    files = docs.join(text.withColumn("length", F.length("content")), "doc_id").select("path", "content", "length")
     path = scratch_dir(spark, "split")
-    sinks.materialise_split(docs.join(text, "doc_id").select("path", "content"), path, file_bytes=20_000)
+    sinks.materialise_split(files, path, file_bytes=20_000, size="length")
     back = sinks.read_sized(spark, path, "path string, content binary")
     return back.select("path", "split", "class", "file", F.sha2("content", 256).alias("content_sha256"))
 

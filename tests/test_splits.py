@@ -313,3 +313,15 @@ def test_files_are_found_in_parts_of_the_list(spark, monkeypatch):
     got = {r.k: r.file for r in numbered.filter("g = 'big'").collect()}
     assert got == {k: numbers[c] for k, c in cuts.items()}
     assert {(r.g, r.file) for r in numbered.filter("g IS NULL OR g <> 'big'").collect()} == {("small", 0), (None, 0), ("keyless", 0)}
+
+
+def test_a_known_length_is_used_and_not_written(spark, tmp_path):
+    files, columns, n = _odd_files(spark, 300)
+    known = files.join(files.select("path", F.length("content").alias("length")), "path")
+    sinks.materialise_split(known, str(tmp_path / "known"), file_bytes=1_000, size="length")
+    sinks.materialise_split(files.filter("path IS NOT NULL"), str(tmp_path / "measured"), file_bytes=1_000)
+    known, measured = (sinks.read_sized(spark, str(tmp_path / name)) for name in ("known", "measured"))
+    assert known.dtypes == measured.dtypes and known.count() == n - 1
+    assert sorted(map(repr, known.collect())) == sorted(map(repr, measured.collect()))
+    sinks.materialise_split(files.withColumn("length", F.lit(1)), str(tmp_path / "plain"), size="length")
+    assert "length" not in spark.read.parquet(str(tmp_path / "plain")).columns
