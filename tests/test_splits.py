@@ -265,6 +265,15 @@ def test_a_mounted_folder_has_its_files_alone(spark, tmp_path):
     assert sinks.read_sized(spark, str(out), columns).count() == 0
 
 
+def test_mounted_files_hold_their_content_once(spark, tmp_path):
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 512) for k in range(20)])
+    files = spark.range(300).select(F.format_string("/in/a/%05d", "id").alias("path"), F.unhex(text).alias("content"))
+    sinks.materialise_split(files, str(tmp_path / "out"), file_bytes=6_400)
+    written = [f.stat().st_size for f in (tmp_path / "out").rglob("part-*")]
+    assert len(written) > 50 and sum(written) < 1.25 * 300 * 1_280
+    assert spark.read.parquet(str(tmp_path / "out")).filter("path = '/in/a/00007'").count() == 1
+
+
 def test_other_columns_and_other_stores_go_through_spark(spark, tmp_path):
     files = spark.range(400).selectExpr("concat('/in/a/', id) AS path", "cast(repeat('x', 100) AS binary) AS content", "timestamp_seconds(id) AS at")
     sinks.materialise_split(files, str(tmp_path / "at"), file_bytes=1_000)
